@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, separators
+from . import chat, packing, quality, separators
 from .common import table
 from .tokens import word_bpe
 
@@ -22,6 +22,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.document_tokens(table(spark, sf_dir, "documents"), word_bpe(), END_OF_TEXT)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.windows(turns.unionByName(tricky), word_bpe()))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_chat": op9_chat,
     "op10_quality": op10_quality,
 }
 
