@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neardup, packing, quality, separators
+from . import chat, neardup, packing, pii, quality, separators
 from .common import table
 from .tokens import word_bpe
 
@@ -18,6 +18,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe(), capacity=2048, terminator=0)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
@@ -38,6 +42,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
