@@ -11,10 +11,11 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8g", name: str = "sourceloom") -> SparkSession:
+def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8g", name: str = "sourceloom", shared: str | None = None) -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.sql.adaptive.enabled", True)
