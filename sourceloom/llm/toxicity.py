@@ -33,7 +33,8 @@ from .neardup import fold, mix, powers, word_hashes
 
 TRAIN_DOCS, TRAIN_BYTES = 2400, 16_000
 WINDOW, STRIDE = 48, 32
-WORD_ROWS = CHAR_ROWS = 1 << 15
+TABLE_BITS = 17
+WORD_ROWS = CHAR_ROWS = 1 << TABLE_BITS
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
 GRAMS = (3, 4, 5)
 EPOCHS, RATE, BATCH = 9, 0.01, 128
@@ -55,7 +56,7 @@ class Words:
         joined = b" " + b" ".join(texts) + b" "
         hashes = word_hashes(joined)
         distinct, first, self.index = np.unique(hashes, return_index=True, return_inverse=True)
-        self.word_rows = (distinct >> np.uint64(64 - 15)).astype(np.int64)
+        self.word_rows = (distinct >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         codes = np.frombuffer(joined, np.uint8)
         edges = np.flatnonzero((codes[1:] == 32) != (codes[:-1] == 32)) + 1
         starts, ends = edges[::2][first], edges[1::2][first]
@@ -74,7 +75,7 @@ class Words:
             for k in range(n):
                 key = key * np.uint64(_GRAM) + letters[k : k + size]
             whole = owner[:size] == owner[n - 1 :]
-            rows.append((mix(key[whole]) >> np.uint64(64 - 15)).astype(np.int64))
+            rows.append((mix(key[whole]) >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
             owners.append(owner[:size][whole])
         rows_, owners_ = np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
         order = np.argsort(owners_, kind="stable")
@@ -230,6 +231,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
             logits[k : k + BLOCK] = net.forward(gates, at, live)
         if epoch == 0:  # nothing is known yet: any window will do
             logits = rng.random(len(docs))
+        pace = 1 - epoch / epochs
         order = np.lexsort((-logits, docs))
         worst = order[np.append(True, docs[order][1:] != docs[order][:-1])]
         # beside it one more window of each text: a clean text is clean everywhere, a toxic one is learned where it is worst
@@ -253,11 +255,11 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
                 m, v = moments[name]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
-                net.p[name] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            _descend(net.word, squares["word"], words.word_rows[inside], np.where((x[:, :WIDTH] != 0).any(axis=1)[:, None], dx[:, :WIDTH], 0))
+                net.p[name] -= (RATE * pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            _descend(net.word, squares["word"], pace, words.word_rows[inside], np.where((x[:, :WIDTH] != 0).any(axis=1)[:, None], dx[:, :WIDTH], 0))
             spans = [np.arange(words.char_starts[w], words.char_starts[w] + words.counts[w]) for w in inside]
             each = words.counts[inside]
-            _descend(net.char, squares["char"], words.char_rows[np.concatenate(spans)], np.repeat(dx[:, WIDTH:] / each[:, None], each, axis=0))
+            _descend(net.char, squares["char"], pace, words.char_rows[np.concatenate(spans)], np.repeat(dx[:, WIDTH:] / each[:, None], each, axis=0))
     return net
 
 
@@ -268,13 +270,13 @@ def _rows(words: Words, some: np.ndarray, net: Network) -> np.ndarray:
     return np.concatenate([net.word[words.word_rows[some]], sums / each[:, None]], axis=1, dtype=np.float32)
 
 
-def _descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+def _descend(table: np.ndarray, squares: np.ndarray, pace: float, rows: np.ndarray, grad: np.ndarray) -> None:
     """One step for the rows of a table, scaled by their past gradients."""
     used, at = np.unique(rows, return_inverse=True)
     total = np.zeros((len(used), table.shape[1]))
     np.add.at(total, at, grad)
     squares[used] += (total * total).mean(axis=1)
-    table[used] -= (0.1 * total / np.sqrt(squares[used])[:, None]).astype(np.float32)
+    table[used] -= (0.1 * pace * total / np.sqrt(squares[used])[:, None]).astype(np.float32)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]:
