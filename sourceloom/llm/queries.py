@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neardup, packing, pii, quality, separators
+from . import chat, decontaminate, neardup, packing, pii, quality, separators, toxicity
 from .common import table
 from .tokens import word_bpe
 
@@ -14,6 +14,14 @@ from .tokens import word_bpe
 END_OF_TEXT = 49407
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe(), capacity=2048, terminator=0)
 
@@ -41,6 +49,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_near_duplicates": op7_near_duplicates,
