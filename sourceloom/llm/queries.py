@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, neardup, packing, pii, quality, separators, suffixes, toxicity
+from . import chat, decontaminate, licenses, neardup, packing, pii, quality, separators, suffixes, toxicity
 from .common import table
 from .tokens import word_bpe
 
@@ -15,6 +15,10 @@ from .tokens import word_bpe
 END_OF_TEXT = 49407
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(
@@ -61,6 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
