@@ -80,6 +80,22 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list
     return df.select(*columns).mapInArrow(run, out)
 
 
+def keep_rows(df: DataFrame, text: str, keeps: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows, all columns as they are, whose texts ``keeps`` says true of (null: empty text)."""
+    ship(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = max(1, batch.column(at).nbytes)
+            step = max(1, min(batch.num_rows, int(batch.num_rows * BATCH_BYTES / size)))
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                yield part.filter(pa.array(keeps([(x or "").encode() for x in part.column(at).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def with_bytes(df: DataFrame, text: str = "text") -> DataFrame:
     """The text as UTF-8 bytes (null: empty), as column ``raw``."""
     return df.withColumn("raw", F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))

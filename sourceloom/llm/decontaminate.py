@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, with_bytes
+from .common import keep_rows, map_rows, with_bytes
 from .neardup import word_hashes
 
 #: words of a passage and of a step; windows have two and four steps
@@ -224,24 +224,48 @@ class Index:
 MATCHES = "doc_id long, item_id long, cosine double, lcs double, answered boolean"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """MATCHES: the documents that hold benchmark passages, exact or in other words."""
-    spark = docs.sparkSession
-    # the query set comes to the driver a block at a time
-    rows = passages_of(benchmark).toLocalIterator()
-    out, block = None, []
-    for row in rows:
+def _blocks(benchmark: DataFrame) -> Iterator[list]:
+    """The query set's passages, a block at a time."""
+    block = []
+    for row in passages_of(benchmark).toLocalIterator():
         block.append(row)
         if len(block) == BLOCK:
-            found = _block(docs, block)
-            out, block = found if out is None else out.unionByName(found), []
+            yield block
+            block = []
     if block:
+        yield block
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """MATCHES: the documents that hold benchmark passages, exact or in other words."""
+    out = None
+    for block in _blocks(benchmark):
         found = _block(docs, block)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], MATCHES) if out is None else out
+    return docs.sparkSession.createDataFrame([], MATCHES) if out is None else out
 
 
-def _block(docs: DataFrame, block: list) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, all columns, that hold no benchmark passage."""
+
+    def keeps(held):
+        def run(raws: list[bytes]) -> list[bool]:
+            clean = [True] * len(raws)
+            for text, passage, found, places in held.value.search(raws):
+                if clean[text] and held.value.confirm(passage, found, places):
+                    clean[text] = False
+            return clean
+
+        return run
+
+    kept = docs
+    for block in _blocks(benchmark):
+        kept = keep_rows(kept, "text", keeps(_index(docs, block)))
+    return kept
+
+
+def _index(docs: DataFrame, block: list):
+    """The broadcast index of a block, of bounded size."""
     spark = docs.sparkSession
     words = [list(r.words) for r in block]
     vocabulary = np.unique(np.concatenate([np.array(w, np.int64).view(np.uint64) for w in words]))
@@ -255,7 +279,11 @@ def _block(docs: DataFrame, block: list) -> DataFrame:
         if made.kept >= KEPT or rank >= min(len(block), len(vocabulary)):
             break
         rank *= 2
-    held = spark.sparkContext.broadcast(made)
+    return spark.sparkContext.broadcast(made)
+
+
+def _block(docs: DataFrame, block: list) -> DataFrame:
+    held = _index(docs, block)
 
     def run(chunks: Iterator[list[list]]) -> Iterator[dict]:
         index = held.value

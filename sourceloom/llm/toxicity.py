@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, with_bytes
+from .common import keep_rows, map_rows, with_bytes
 from .neardup import fold, mix, powers, word_hashes
 
 TRAIN_DOCS, TRAIN_BYTES = 2400, 16_000
@@ -291,21 +291,31 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarra
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.float32)
 
 
+def probabilities(net: Network | float, raws: list[bytes]) -> list[float]:
+    if isinstance(net, float):
+        return [net if r.split() else 0.0 for r in raws]
+    return [1 / (1 + math.exp(-min(max(float(x), -700.0), 700.0))) if np.isfinite(x) else 0.0 for x in net.score(raws)]
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Network | float:
+    texts, y = labelled(docs, labels)
+    return train(texts, y) if 0 < y.sum() < len(y) else (float(y.mean()) if len(y) else 0.0)
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    spark = docs.sparkSession
-    texts, y = labelled(docs, labels)
-    both = 0 < y.sum() < len(y)
-    held = spark.sparkContext.broadcast(train(texts, y) if both else (float(y.mean()) if len(y) else 0.0))
+    held = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
     def run(chunks: Iterator[list[list]]) -> Iterator[dict]:
         for doc_ids, held_out, raws in chunks:
-            net = held.value
-            if isinstance(net, float):
-                scores = [net if r.split() else 0.0 for r in raws]
-            else:
-                scores = [1 / (1 + math.exp(-min(max(float(x), -700.0), 700.0))) if np.isfinite(x) else 0.0 for x in net.score(raws)]
+            scores = probabilities(held.value, raws)
             yield {"doc_id": doc_ids, "held_out": held_out, "score": scores, "predicted": [int(s >= THRESHOLD) for s in scores]}
 
     source = with_bytes(docs).withColumn("held_out", fold_of(F.col("doc_id")) == 2)
     return map_rows(source, ["doc_id", "held_out", "raw"], run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, all columns, whose score is under the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    return keep_rows(docs, "text", lambda raws: [s < THRESHOLD for s in probabilities(held.value, raws)])
