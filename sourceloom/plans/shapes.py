@@ -81,7 +81,7 @@ SELECT l_suppkey, date_trunc('month', l_shipdate) AS month, round(CAST(sum(CAST(
 FROM {lineitem} GROUP BY l_suppkey, date_trunc('month', l_shipdate)""",
     "r10_rankings": """
 SELECT o_orderkey, CAST(ntile(4) OVER w AS BIGINT) AS quarter, CAST(rank() OVER w AS BIGINT) AS rnk, CAST(dense_rank() OVER w AS BIGINT) AS dense,
-  round(percent_rank() OVER w, 6) AS pct, CAST(row_number() OVER w AS BIGINT) AS rn, lag(o_orderkey) OVER w AS before
+  round(percent_rank() OVER w, 6) AS pct, CAST(row_number() OVER w AS BIGINT) AS rn, coalesce(lag(o_orderkey) OVER w, -1) AS before
 FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""",
     "r11_range_interval": """
 SELECT event_id, CAST(count(*) OVER w AS BIGINT) AS n_hour, round(sum(value) OVER w, 4) AS value_hour
