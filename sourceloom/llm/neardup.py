@@ -7,11 +7,14 @@ similarity. Signatures are banded, documents that share a band are candidates,
 and links are confirmed on full sets.
 
 No group's pairs are all emitted. Documents with equal sets are one node from
-the start. In a band's bucket, first every node is compared with one leader;
-buckets whose nodes are then in one component are done, and the others get
-more leaders, 8, then 64, then all: a pair in one bucket is either compared or
-joined by other links, so nothing is lost to a cap. Components come from
-repeated joins over confirmed links, in the shared folder, never on the driver.
+the start. In a band's bucket every node is first compared with one leader.
+Where a bucket's nodes are then not all in one component, those outside its
+largest component meet all of that component, and each other, in blocks of
+``BLOCK`` nodes: a task holds one block's sets and streams the others past it,
+and only confirmed links come out. So each pair in a bucket is compared or
+already joined by other links, and nothing is lost to a cap. Components come
+from repeated joins over confirmed links, in the shared folder, never on the
+driver.
 
 With 32 bands of 4 values a pair at similarity 0.75 shares no band once in
 200,000 times; a pair is not fetched for confirmation if its sizes rule it out
@@ -33,16 +36,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import map_rows, stored, with_bytes
+from .common import map_rows, partitions, stored, with_bytes
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
 #: similarity in percent
 SIMILARITY = 75
-#: leaders of a bucket up to which each round compares; the last compares with all
-LEADERS = (8, 64, 1 << 62)
+#: nodes of one block when outsiders meet a component
+BLOCK = 256
 
 _FOLD = bytes(32 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _seeds = np.random.default_rng(20240607)
@@ -139,14 +141,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys, one byte of each signature value, packed folded text."""
+    """doc_id, text_key, n_shingles, digest of the set, band keys, one byte of each signature value, packed folded text."""
 
     def run(chunks: Iterator[list[list]]) -> Iterator[dict]:
-        for doc_ids, raws in chunks:
+        for doc_ids, text_keys, raws in chunks:
             folded = [fold(r) for r in raws]
             sets = [shingle_set(r) for r in folded]
             n = len(sets)
-            out: dict[str, list] = {"doc_id": doc_ids, "n_shingles": list(map(len, sets)), "digest": [None] * n, "bands": [None] * n, "sig": [None] * n, "folded": [None] * n}
+            out: dict[str, list] = {"doc_id": doc_ids, "text_key": text_keys, "n_shingles": list(map(len, sets)), "digest": [None] * n, "bands": [None] * n, "sig": [None] * n, "folded": [None] * n}
             full = [k for k in range(n) if len(sets[k])]
             if full:
                 low, high = signatures([sets[k] for k in full])
@@ -161,7 +163,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                     out["folded"][k] = len(folded[k]).to_bytes(8, "little") + pa.compress(folded[k], codec="zstd", asbytes=True)
             yield out
 
-    return map_rows(with_bytes(docs), ["doc_id", "raw"], run, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary, folded binary")
+    source = with_bytes(docs).withColumn("text_key", F.xxhash64("raw"))
+    return map_rows(source, ["doc_id", "text_key", "raw"], run, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, sig binary, folded binary")
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -198,6 +201,67 @@ def confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(texts, ["a", "b", "folded_a", "folded_b"], exact, "a long, b long")
 
 
+def meet(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) found in groups; ``rows``: part, place, block, target, node, label.
+
+    Within a group each other node is compared with the targets of other labels,
+    and linked with the first similar one of each label.
+    """
+    from ..session import ship
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, targets, index = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for part, place, block, target, node, label, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if (part, place, block) != group:
+                    group, targets, index = (part, place, block), [], None
+                if target:
+                    targets.append((node, label, _unpacked(blob)))
+                elif targets:
+                    index = index or _Block(targets)
+                    for other in index.links(node, label, _unpacked(blob)):
+                        a.append(other)
+                        b.append(node)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    ship(rows.sparkSession)
+    key = ["part", "place", "block"]
+    dealt = rows.join(nodes.select("node", "folded"), "node").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, F.desc("target"), "node")
+    return dealt.select(*key, "target", "node", "label", "folded").mapInArrow(run, "a long, b long")
+
+
+class _Block:
+    """Where each shingle of some sets is found."""
+
+    def __init__(self, targets: list[tuple[int, int, np.ndarray]]) -> None:
+        self.nodes = [t[0] for t in targets]
+        self.labels = np.array([t[1] for t in targets])
+        self.sizes = np.array([len(t[2]) for t in targets])
+        hashes, owners = np.concatenate([t[2] for t in targets]), np.repeat(np.arange(len(targets)), self.sizes)
+        order = np.argsort(hashes, kind="stable")
+        self.owners, hashes = owners[order], hashes[order]
+        self.first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        self.known, self.counts = hashes[self.first], np.diff(np.append(self.first, len(hashes)))
+
+    def links(self, node: int, label: int, own: np.ndarray) -> list[int]:
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        at = at[self.known[at] == own]
+        counts = self.counts[at]
+        places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[at], counts)
+        shared = np.bincount(self.owners[places], minlength=len(self.nodes))
+        near = np.flatnonzero((100 * shared >= SIMILARITY * (self.sizes + len(own) - shared)) & (self.labels != label))
+        return [self.nodes[k] for k in near[np.unique(self.labels[near], return_index=True)[1]]]
+
+
+def blocks_of(targets: DataFrame, probes: DataFrame, part: int) -> DataFrame:
+    """Rows for ``meet``: targets (place, node, label) dealt over blocks, and each probe of their place to all blocks."""
+    sizes = targets.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = targets.join(sizes, "place").select("place", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("target"), "node", "label")
+    sent = probes.join(sizes, "place").select("place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("target"), "node", "label")
+    return dealt.union(sent).select(F.lit(part).alias("part"), "place", "block", "target", "node", "label")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) of every node that has a link."""
     both = stored(links.union(links.select("b", "a")).distinct())
@@ -213,10 +277,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; and ``row``, which tells repeated rows apart."""
+    """doc_id, n_shingles, component_id, kept; and text_key and group, for ``deduplicated``."""
     rows = stored(sketch(docs).withColumn("row", F.monotonically_increasing_id()))
     sets = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    keyed = rows.select("row", "doc_id", "digest", "n_shingles").join(sets, "digest", "left").select("row", "doc_id", "n_shingles", F.coalesce("node", "row").alias("node"))
+    keyed = rows.select("row", "doc_id", "text_key", "digest", "n_shingles").join(sets, "digest", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("node", "row").alias("node"))
 
     members = rows.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("band"))
     leaders = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n")
@@ -226,22 +290,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     links = stored(confirmed(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes))
     labels = components(links)
-    done = 1
-    for most in LEADERS:
-        labelled = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        first = Window.partitionBy("band").orderBy("node")
-        open_ = stored(labelled.join(split, "band", "left_semi").withColumn("rank", F.row_number().over(first)))
-        if open_.isEmpty():
-            break
-        lead = open_.where((F.col("rank") > done) & (F.col("rank") <= most)).select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("rank").alias("rank_a"))
-        # a leader meets those after it; those before it have led already
-        pairs = lead.join(open_.select("band", F.col("node").alias("b"), "label", "rank"), "band").where("label <> label_a and rank > rank_a").select("a", "b").distinct()
-        found = confirmed(pairs, nodes)
-        links = stored(links.union(found))
+    labelled = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    main = labelled.groupBy("band", "label").count().groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("count", "label"))["label"].alias("main")).where("labels > 1")
+    outside = stored(labelled.join(main, "band").where("label <> main").select("band", "node", "label", "main"))
+    if not outside.isEmpty():
+        probes = outside.select(F.col("main").alias("place"), "node", "label").distinct()
+        targets = labelled.join(probes.select(F.col("place").alias("label")).distinct(), "label", "left_semi").select(F.col("label").alias("place"), "node", "label").distinct()
+        # those outside the same bucket's largest component, among themselves
+        several = outside.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+        among = outside.join(several, "band", "left_semi").select(F.col("band").alias("place"), "node", "label")
+        found = meet(blocks_of(targets, probes, 0).union(blocks_of(among, among, 1)), nodes)
+        links = stored(links.union(found).distinct())
         labels = components(links)
-        done = most
 
     grouped = keyed.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
     smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(smallest, "group").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row")
+    return grouped.join(smallest, "group").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "group")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, one row of each group: that with the smallest doc_id (null last).
+
+    Rows that agree in doc_id and text are one row, also where texts are empty.
+    """
+    found = near_duplicates(docs).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "_id")).alias("first"))
+    winners = first.select("first._id", F.col("first.text_key").alias("_key"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))})
+    return keyed.join(winners, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
