@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.rewrite import camel
 
@@ -116,9 +117,20 @@ def word_edges(assignments: DataFrame, variables: DataFrame) -> DataFrame:
 
 
 def similar_issues(issues: DataFrame, least: float = 0.5) -> DataFrame:
-    """(a, b, overlap): issues whose word sets overlap by more than ``least`` of the smaller, found by shared words."""
-    words = issues.select("id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != ""))).alias("word"))
-    sizes = words.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    shared = words.alias("x").join(words.alias("y"), F.expr("x.word = y.word and x.id < y.id")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    scored = shared.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("sb")), "b")
-    return scored.select("a", "b", (F.col("shared") / F.least("sa", "sb")).alias("overlap")).where(F.col("overlap") > least)
+    """(a, b, overlap): issues whose word sets overlap by more than ``least`` of the smaller set.
+
+    A pair that passes shares one of the smaller set's rarest words: so many
+    that the rest alone could not pass. Only those words are looked up, so a
+    word that is in all issues joins nothing but sets made of such words.
+    """
+    sets = issues.select("id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")).alias("words")).withColumn("size", F.size("words"))
+    words = sets.select("id", "size", F.explode("words").alias("word"))
+    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("id").orderBy("df", "word")
+    probes = words.join(frequency, "word").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= F.col("size") - F.floor(F.col("size") * least))
+    met = probes.alias("x").join(words.alias("y"), F.expr("x.word = y.word and x.id <> y.id and (x.size < y.size or (x.size = y.size and x.id < y.id))"))
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("words").alias(f"words_{k}"))
+    scored = pairs.join(side("a"), "a").join(side("b"), "b")
+    overlap = F.size(F.array_intersect("words_a", "words_b")) / F.least(F.size("words_a"), F.size("words_b"))
+    return scored.select("a", "b", overlap.alias("overlap")).where(F.col("overlap") > least)

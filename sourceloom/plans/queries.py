@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hostvars as hv
 from ..functions import rewrite as rw
-from ..functions import rules
+from ..functions import rules, text
 from ..functions.corpus import check_statements, statements
-from ..operators import checks, graphs, relations
+from ..operators import checks, context, graphs, java, relations
 from ..operators.scanner import scan_files
 from ..sources import sinks
 
@@ -422,6 +422,76 @@ def s21(spark, sf_dir):
     return sinks.mapper_texts(st.select("file_id", "line_start", "sql_name", rules.tag(kind).alias("tag"), rw.mapper_sql(text, kind, hv.outputs(text, kind), hv.inputs(text, kind)).alias("sql")), "app", "2024-01-01")
 
 
+@query("j6_last_wins_cursors", TYPED + r""", c AS (SELECT *, lower(regexp_extract(sql_text, '(?i)\b(?:DECLARE|OPEN|FETCH|CLOSE)\s+(\w+)', 1)) AS name FROM ty) SELECT name, max(CASE WHEN sql_type = 'declare_cursor' THEN line_start END) AS declare_line,
+ CAST(count(CASE WHEN sql_type = 'fetch_into' THEN 1 END) AS BIGINT) AS fetches, count(CASE WHEN sql_type = 'fetch_into' THEN 1 END) > 1 AS is_loop FROM c WHERE name <> '' GROUP BY file_id, name HAVING declare_line IS NOT NULL""")
+def j6(spark, sf_dir):
+    return context.last_wins_cursors(typed(spark, sf_dir)).select("name", "declare_line", "fetches", "is_loop")
+
+
+@query("j16_derived_names", "SELECT lower(c_mktsegment) || 'Id' AS java_name, 'h_' || lower(c_mktsegment) || '_id,w_' || lower(c_mktsegment) || '_id' AS source_names FROM customer GROUP BY c_mktsegment")
+def j16(spark, sf_dir):
+    seg = F.lower("c_mktsegment")
+    names = read(spark, sf_dir, "customer").select(F.explode(F.array(*(F.concat(F.lit(p), seg, F.lit("_id")) for p in ("h_", "w_")))).alias("name"))
+    return context.java_names(names, ("h_", "w_")).select("java_name", F.array_join("source_names", ",").alias("source_names"))
+
+
+@query("a14_adjacency", "SELECT n_regionkey AS source_id, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS targets FROM nation GROUP BY n_regionkey")
+def a14(spark, sf_dir):
+    edges = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("source_id"), F.col("n_nationkey").alias("target_id"))
+    return context.adjacency(edges)[0].select("source_id", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
+
+
+@query("a18_latest_macros", "SELECT o_orderpriority AS name, CAST(max(o_orderkey) AS VARCHAR) AS value FROM orders GROUP BY o_orderpriority")
+def a18(spark, sf_dir):
+    macros = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("file_ord"))
+    return context.latest_macros(macros, numeric=True)
+
+
+@query("a11_use_summary", "SELECT event_type AS variable_name, CAST(count(DISTINCT CASE WHEN user_id % 2 = 0 THEN user_id END) AS BIGINT) AS n_read, CAST(count(DISTINCT CASE WHEN user_id % 2 = 1 THEN user_id END) AS BIGINT) AS n_write FROM events GROUP BY event_type")
+def a11(spark, sf_dir):
+    uses = read(spark, sf_dir, "events").select(F.col("event_type").alias("variable_name"), F.when(F.col("user_id") % 2 == 0, "read").otherwise("write").alias("use_type"), F.col("user_id").alias("line"))
+    return context.use_summary(uses).select("variable_name", F.size("read").cast("long").alias("n_read"), F.size("write").cast("long").alias("n_write"))
+
+
+@query("a16_stage_verdicts", "SELECT o_orderpriority AS stage, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS BIGINT) AS failed, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) = 0 AS passed FROM orders GROUP BY o_orderpriority")
+def a16(spark, sf_dir):
+    results = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stage"), F.when(F.col("o_orderstatus") == "P", "fail").otherwise("pass").alias("status"))
+    return context.verdicts(results)
+
+
+@query("b18_line_slice", "SELECT doc_id AS file_id, CAST(k AS BIGINT) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE k BETWEEN 2 AND 4")
+def b18(spark, sf_dir):
+    return text.line_slice(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content")), 2, 4)
+
+
+@query("n17_spliced_markers", ST + " SELECT file_id, string_agg('int f' || line_start || '() {' || chr(10) || '  char *s = \"EXEC SQL no;\"; /* EXEC SQL no; */' || chr(10) || '  /* @sql ' || line_start || ' x */' || chr(10) || '  g(s);' || chr(10) || '}' || chr(10), '' ORDER BY line_start) AS content FROM st GROUP BY file_id")
+def n17(spark, sf_dir):
+    texts = source_texts(spark, sf_dir)
+    line = F.regexp_extract("name", "[0-9]+", 0)
+    ids = scan_files(texts, "c").where("kind = 'function'").select("file_id", "line_start", line.alias("id"))
+    blocks = scan_files(texts, "sql").select("file_id", "start", "end", F.col("line_start") - 2)
+    blocks = blocks.toDF("file_id", "start", "end", "line_start").join(ids, ["file_id", "line_start"])
+    return text.spliced(texts, blocks.select("file_id", "start", "end", text.marker(F.col("id"), F.lit("x")).alias("marker")))
+
+
+@query("k8_java_merge")
+def k8(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").cast("string").alias("class_id"), F.lit("package p;\npublic class A {\n}\n").alias("skeleton"), F.format_string("public int m%d() { return %d; }", F.col("o_orderkey") % 3, F.col("o_orderkey")).alias("llm_response"), F.col("o_orderkey").alias("ord"))
+    return java.merge_classes(rows)
+
+
+@query("j26_function_contexts")
+def j26(spark, sf_dir):
+    texts = source_texts(spark, sf_dir)
+    c = scan_files(texts, "c")
+    fns = c.where("kind = 'function'").select("file_id", "name", "line_start", "line_end")
+    owned = relations.scoped(scan_files(texts, "sql").select("file_id", "line_start", "line_end", "raw"), fns).withColumn("sql_type", rules.sql_type(F.col("raw")))
+    held = relations.scoped(c.where("kind = 'variable'").select("file_id", "line_start", "line_end", "name", "data_type"), fns)
+    calls = c.where("kind = 'function_call'").select("file_id", F.col("parent").alias("function"), "name")
+    return context.prompt_text(context.function_contexts(fns, held, owned, calls))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each file and function: statements by kind, variables in and out, and how many a boundary closes."""
     text, kind = F.col("sql_text"), F.col("sql_type")

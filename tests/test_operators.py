@@ -75,6 +75,18 @@ def test_graphs(spark):
     assert [(r.source, r.target) for r in flow.collect()] == [("bb", "t")]
 
 
+def test_similar_issues(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    texts = {k: " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(0, 8))) + " the" * (k % 2) for k in range(60)}
+    sets = {k: set(t.split()) for k, t in texts.items()}
+    want = {(a, b): len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) for a, b in itertools.combinations(texts, 2) if sets[a] and sets[b] and 2 * len(sets[a] & sets[b]) > min(len(sets[a]), len(sets[b]))}
+    got = {(r.a, r.b): r.overlap for r in graphs.similar_issues(spark.createDataFrame(list(texts.items()), "id int, text string")).collect()}
+    assert want and got == want
+
+
 def test_checks_and_reports(spark):
     pairs = spark.createDataFrame([("x", 0, "EXEC SQL SELECT a INTO :h FROM t WHERE b = :v;", "SELECT a FROM t WHERE b = #{v}"), ("x", 1, "EXEC SQL SELECT a FROM t;", "EXEC SQL SELECT a FROM t WHERE c = :v;")], "file string, idx int, sql string, parsed_sql string")
     long = {(r.idx, r.check): r.status for r in checks.conversion_checks(pairs).collect()}
