@@ -272,7 +272,7 @@ def a3(spark, sf_dir):
     return relations.merged_cursor(fetched)
 
 
-@query("a6_built_sql", "SELECT o_custkey AS file_id, string_agg(o_orderpriority, '' ORDER BY o_orderkey) AS sql_text, round(greatest(0, 1 - 0.05 * count(*)), 4) AS confidence FROM orders GROUP BY o_custkey")
+@query("a6_built_sql", "SELECT o_custkey AS file_id, string_agg(o_orderpriority, '' ORDER BY o_orderkey) AS sql_text, round(CAST(greatest(0, 1 - 0.05 * count(*)) AS DOUBLE), 4) AS confidence FROM orders GROUP BY o_custkey")
 def a6(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     calls = o.select(F.col("o_custkey").alias("file_id"), F.lit("f").alias("function"), F.col("o_orderkey").alias("line_start"), F.lit("strcat").alias("name"), F.lit("buf").alias("target"), F.col("o_orderpriority").alias("value"))
@@ -374,7 +374,7 @@ def g2(spark, sf_dir):
     return graphs.externals(edges, read(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("id")))
 
 
-@query("j13_name_match_ladder", "SELECT a.c_custkey AS source_id, b.c_custkey AS target_id, 'USED_IN' AS link_type, 0.95 AS confidence, 'lower' AS rule FROM customer a JOIN customer b ON a.c_name = b.c_name")
+@query("j13_name_match_ladder", "SELECT a.c_custkey AS source_id, b.c_custkey AS target_id, 'USED_IN' AS link_type, CAST(0.95 AS DOUBLE) AS confidence, 'lower' AS rule FROM customer a JOIN customer b ON a.c_name = b.c_name")
 def j13(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     return graphs.name_links(c.select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name")), c.select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("name")), "USED_IN")
