@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import ship
 
 #: bytes of text that one vectorised step holds at a time
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 _own: dict[str, str] = {}
