@@ -127,7 +127,7 @@ def _by_doc(rows: Iterator[tuple]) -> dict[tuple, list[tuple]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return with_bytes(docs).withColumn("text_key", F.xxhash64("raw"))
+    return with_bytes(docs).withColumn("text_key", F.hash("raw"))
 
 
 def _grouped(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -154,14 +154,14 @@ def _emit(flags: dict[tuple, list], asks: dict[tuple, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {
             "doc_id": pa.array([k[0] for k, _ in keys], pa.int64()),
-            "text_key": pa.array([k[1] for k, _ in keys], pa.int64()),
+            "text_key": pa.array([k[1] for k, _ in keys], pa.int32()),
             "ask": pa.array([ask for _, ask in keys], pa.bool_()),
             "spans": pa.array([np.array(asks[k] if ask else flags[k], "<i4").tobytes() for k, ask in keys], pa.binary()),
         }
     )
 
 
-_CONTROL = "doc_id long, text_key long, ask boolean, spans binary"
+_CONTROL = "doc_id long, text_key int, ask boolean, spans binary"
 
 
 def first_buckets(docs: DataFrame) -> DataFrame:
@@ -198,11 +198,11 @@ def first_buckets(docs: DataFrame) -> DataFrame:
                 if len(some):
                     own = doc[send[cuts[p] : cuts[p + 1]]]
                     used, some["doc"] = np.unique(own, return_inverse=True)
-                    # hashes don't compress; places and lengths do
-                    small = pa.compress(b"".join(np.ascontiguousarray(some[k]).tobytes() for k in ("doc", "start", "starts")), codec="zstd", asbytes=True)
+                    # hashes don't compress; places, lengths and steps between ids do
+                    small = pa.compress(np.diff(ids[used], prepend=0).tobytes() + b"".join(np.ascontiguousarray(some[k]).tobytes() for k in ("doc", "start", "starts")), codec="zstd", asbytes=True)
                     head = np.array([len(some), len(used), len(small)], "<i8").tobytes()
                     out["part"].append(p)
-                    out["payload"].append(head + ids[used].tobytes() + text_keys[used].tobytes() + small + np.ascontiguousarray(some["gram"]).tobytes() + np.ascontiguousarray(some["context"]).tobytes())
+                    out["payload"].append(head + text_keys[used].astype("<i4").tobytes() + small + np.ascontiguousarray(some["gram"]).tobytes() + np.ascontiguousarray(some["context"]).tobytes())
             yield out
 
     def unpack(payloads: list[bytes]) -> dict[str, np.ndarray]:
@@ -210,10 +210,11 @@ def first_buckets(docs: DataFrame) -> DataFrame:
         for blob in payloads:
             n, used, small = np.frombuffer(blob, "<i8", 3)
             at = 24
-            ids, keys = np.frombuffer(blob, "<i8", used, at), np.frombuffer(blob, "<i8", used, at + 8 * used)
-            at += 16 * used
-            rest = pa.decompress(blob[at : at + small], 9 * n, codec="zstd", asbytes=True)
-            doc, start, starts = np.frombuffer(rest, "<i4", n), np.frombuffer(rest, "<i4", n, 4 * n), np.frombuffer(rest, "u1", n, 8 * n)
+            keys = np.frombuffer(blob, "<i4", used, at)
+            at += 4 * used
+            rest = pa.decompress(blob[at : at + small], 8 * used + 9 * n, codec="zstd", asbytes=True)
+            ids = np.cumsum(np.frombuffer(rest, "<i8", used))
+            doc, start, starts = (np.frombuffer(rest, kind, n, 8 * used + skip * n) for kind, skip in (("<i4", 0), ("<i4", 4), ("u1", 8)))
             at += small
             gram = np.zeros((n, 8), np.uint8)
             gram[:, :5] = np.frombuffer(blob, "u1", 5 * n, at).reshape(n, 5)
@@ -261,17 +262,19 @@ def refined(docs: DataFrame, asked: DataFrame) -> DataFrame:
             for part, rows in parts.items():
                 numbers = np.array([(r[0], r[1], r[2], len(r[3])) for r in rows], "<i8")
                 out["part"].append(part)
-                out["payload"].append(len(rows).to_bytes(8, "little") + numbers.tobytes() + b"".join(r[3] for r in rows))
+                body = numbers.tobytes() + b"".join(r[3] for r in rows)
+                out["payload"].append(np.array([len(rows), len(body)], "<i8").tobytes() + pa.compress(body, codec="zstd", asbytes=True))
             yield out
 
     def refine(part: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         numbers, runs = [], []
         for blob in payloads:
-            n = int.from_bytes(blob[:8], "little")
-            some = np.frombuffer(blob, "<i8", 4 * n, 8).reshape(n, 4)
+            n, size = np.frombuffer(blob, "<i8", 2).tolist()
+            body = pa.decompress(blob[16:], size, codec="zstd", asbytes=True)
+            some = np.frombuffer(body, "<i8", 4 * n).reshape(n, 4)
             numbers.append(some)
-            ends = 8 + 32 * n + np.cumsum(some[:, 3])
-            runs += [blob[e - size : e] for e, size in zip(ends.tolist(), some[:, 3].tolist())]
+            ends = 32 * n + np.cumsum(some[:, 3])
+            runs += [body[e - size : e] for e, size in zip(ends.tolist(), some[:, 3].tolist())]
         rows = np.concatenate(numbers)
         again = repeated(runs, rows[:, 0], [np.arange(size - LENGTH + 1) for size in rows[:, 3].tolist()])
         flags: dict[tuple, list] = {}
