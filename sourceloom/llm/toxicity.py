@@ -38,8 +38,8 @@ WORD_ROWS = CHAR_ROWS = 1 << TABLE_BITS
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
 GRAMS = (3, 4, 5)
 EPOCHS, RATE, BATCH = 9, 0.01, 128
-#: windows scored at a time
-BLOCK = 1024
+#: windows scored, and texts hashed, at a time
+BLOCK, HASHED = 1024, 128
 THRESHOLD = 0.3
 
 _GRAM = 0x9E3779B97F4A7C15
@@ -54,7 +54,8 @@ class Words:
 
     def __init__(self, texts: list[bytes]) -> None:
         joined = b" " + b" ".join(texts) + b" "
-        hashes = word_hashes(joined)
+        # by parts, so that what hashing needs stays small beside the texts
+        hashes = np.concatenate([word_hashes(b" ".join(texts[k : k + HASHED])) for k in range(0, max(len(texts), 1), HASHED)])
         distinct, first, self.index = np.unique(hashes, return_index=True, return_inverse=True)
         self.word_rows = (distinct >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         codes = np.frombuffer(joined, np.uint8)
@@ -66,7 +67,7 @@ class Words:
         place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths) + np.repeat(starts - 1, lengths)
         letters = codes[place].astype(np.uint64) + np.uint64(1)
         rows, owners = [], []
-        owner = np.repeat(np.arange(len(lengths)), lengths)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         for n in GRAMS:
             if len(letters) < n:
                 continue
@@ -75,9 +76,11 @@ class Words:
             for k in range(n):
                 key = key * np.uint64(_GRAM) + letters[k : k + size]
             whole = owner[:size] == owner[n - 1 :]
-            rows.append((mix(key[whole]) >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
+            rows.append((mix(key[whole]) >> np.uint64(64 - TABLE_BITS)).astype(np.int32))
             owners.append(owner[:size][whole])
-        rows_, owners_ = np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
+        del letters, place
+        rows_, owners_ = np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate(owners or [np.zeros(0, np.int32)])
+        del rows, owners
         order = np.argsort(owners_, kind="stable")
         self.char_rows, self.char_owner = rows_[order], owners_[order]
         self.counts = np.bincount(self.char_owner, minlength=len(distinct))  # a one-letter word has one n-gram at least
