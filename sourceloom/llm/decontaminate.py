@@ -2,15 +2,18 @@
 
 Benchmark items are cut into passages. Inverse document frequencies of their
 words are counted over all documents; a randomised SVD of the passages' TF-IDF
-rows, with its sums made by Spark, gives a latent space. Every window of every
-document is folded into that space and compared with all passages by cosine;
-candidates pass if their longest common subsequence with the passage is long
+rows, with its sums made by Spark, gives a latent space. A stretch of a document
+is compared with a passage if it has so many of its words (each counted as often
+as the passage has it) that their longest common subsequence can be long enough:
+that bound loses no window, however common or rare its words are. The windows of
+such a stretch are folded into the latent space and tried from the highest cosine
+down; one passes if its longest common subsequence with the passage is long
 enough, or shorter but with the passage's answer present, so paraphrases count.
 
 The benchmark is the stated query set: it is taken in blocks of ``BLOCK``
 passages, each one more pass over the documents, so what is broadcast has a
-bound. A window's cosine uses its whole weight, with words unknown to the
-benchmark at the highest weight, so that a few common words can't stand out.
+bound. A window's cosine uses its whole weight; a word unknown to the benchmark
+has the highest weight of the block's words. No weight is zero.
 
 Defined results: one row for each document row and item that match, with the
 best passage's figures; a null or empty text matches nothing, and a benchmark
@@ -38,10 +41,9 @@ RANK, OVERSAMPLE, POWERS = 64, 16, 2
 KEPT = 0.6
 #: passages in one pass over the documents
 BLOCK = 512
-#: a candidate window holds half the passage's latent mass, at a cosine that allows for four times as much else
-HELD, COSINE, LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.5, 0.1, 0.8, 0.6, 0.8
-#: words whose latent vectors are held at a time
-WORDS_HELD = 1 << 16
+LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
+#: windows' starts in a stretch, words looked up at a time, stretches counted at a time
+STARTS, WORDS_HELD, COUNTED = 8, 1 << 16, 64
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -164,9 +166,24 @@ class Index:
         self.kept = float((np.linalg.norm(latent, axis=1) / np.maximum(whole, 1e-9))[whole > 1e-6].min(initial=1.0))
         self.sizes = np.maximum(np.linalg.norm(latent, axis=1), 1e-9).astype(np.float32)
         self.queries = (latent / self.sizes[:, None]).T.astype(np.float32)
+        # the passages of each word, and how often the word is in them
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        place = np.searchsorted(vocabulary, np.concatenate([np.array(w, np.int64) for w in words]).view(np.uint64))
+        pairs, self.times = np.unique(place * len(words) + owner, return_counts=True)
+        self.holders = pairs % len(words)
+        self.ends = np.cumsum(np.bincount(pairs // len(words), minlength=len(vocabulary)))
+        self.held = np.diff(self.ends, prepend=0)
+        # the shortest common subsequence that could pass
+        self.least = np.array([next(k for k in range(len(w) + 1) if k / len(w) >= LCS_WITH_ANSWER) for w in words])
+        self.longest = max(map(len, words))
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Each word's place in the vocabulary, or its length."""
+        place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[place] == words, place, len(self.vocabulary))
 
-    def search(self, raws: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, list[tuple[float, int, int]]]]:
-        """(text, passage, the text's words, candidate windows: cosine, start, width) for each passage a text may hold."""
+    def search(self, raws: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, list[int]]]:
+        """(text, passage, the text's words, stretches) for each passage a text may hold."""
         ids = [word_ids(r) for r in raws]
         at = 0
         while at < len(ids):
@@ -178,45 +195,60 @@ class Index:
             at = stop
 
     def _some(self, first: int, ids: list[np.ndarray]) -> Iterator[tuple]:
-        counts = np.array([-(-len(x) // STEP) for x in ids])
+        step, reach, n = STARTS * STEP, self.longest, len(self.vocabulary)
+        sizes = np.array([len(x) for x in ids])
+        counts = -(-sizes // step)
         if not counts.sum():
             return
-        words = np.concatenate(ids)
-        place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        place = np.where(self.vocabulary[place] == words, place, len(self.vocabulary))
-        base = np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]])
         owner = np.repeat(np.arange(len(ids)), counts)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = base[owner] + inner * STEP
-        dots = np.empty((len(owner), self.queries.shape[1]), np.float32)
-        for k in range(0, len(starts), WORDS_HELD // STEP):  # a very long text in parts
-            low, high = starts[k], starts[k + WORDS_HELD // STEP] if k + WORDS_HELD // STEP < len(starts) else len(words)
-            sums = np.add.reduceat(self.vectors[place[low:high]], starts[k : k + WORDS_HELD // STEP] - low, axis=0)
-            dots[k : k + WORDS_HELD // STEP] = sums @ self.queries
-        squares = np.add.reduceat(self.squares[place], starts)
-        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        for shift in (1, 2):
-            same = np.append(owner[shift:] == owner[:-shift], np.zeros(min(shift, len(owner)), bool))[: len(owner)]
-            nearer = np.flatnonzero(same)
-            dots[nearer] += dots[nearer + shift]  # ascending, so what is added is not yet widened
-            squares[nearer] += squares[nearer + shift]
-            norms = np.sqrt(np.maximum(squares, 1e-9))
-            blocks, passages = np.nonzero(dots >= HELD * self.sizes)
-            near = dots[blocks, passages] >= COSINE * norms[blocks]
-            for block, passage in zip(blocks[near], passages[near]):
-                key = (int(owner[block]), int(passage))
-                found.setdefault(key, []).append((float(dots[block, passage] / norms[block]), int(inner[block]) * STEP, 2 * shift * STEP))
-        for (text, passage), places in found.items():
-            yield first + text, passage, ids[text], sorted(places, reverse=True)
-
-    def confirm(self, passage: int, words: np.ndarray, places: list[tuple[float, int, int]]) -> tuple[float, float, bool] | None:
+        before = np.cumsum(counts) - counts
+        place = self.places(np.concatenate(ids))
+        at = np.flatnonzero(place < n)
+        text = np.repeat(np.arange(len(ids)), sizes)[at]
+        place, inner = place[at], at - (np.cumsum(sizes) - sizes)[text]
+        # a stretch's windows see the words from ``reach`` before the first to ``reach`` after the last
+        keys = []
+        for k in range((step + 3 * STEP + 2 * reach) // step + 1):
+            stretch = (inner + reach) // step - k
+            seen = (stretch >= 0) & (stretch < counts[text]) & (inner < (stretch + 1) * step + 3 * STEP + reach)
+            keys.append((before[text[seen]] + stretch[seen]) * n + place[seen])
+        stretches, place = np.divmod(np.unique(np.concatenate(keys)), n)
+        found: dict[tuple[int, int], list[int]] = {}
+        for low in range(0, len(owner), COUNTED):
+            part = slice(*np.searchsorted(stretches, (low, low + COUNTED)))
+            held = self.held[place[part]]
+            entry = np.arange(held.sum()) + np.repeat(self.ends[place[part]] - np.cumsum(held), held)
+            shared = np.bincount(np.repeat(stretches[part] - low, held) * len(self.words) + self.holders[entry], self.times[entry], COUNTED * len(self.words))
+            for stretch, passage in zip(*np.nonzero(shared.reshape(COUNTED, -1) >= self.least)):
+                text_at = int(owner[low + stretch])
+                found.setdefault((text_at, int(passage)), []).append(int(low + stretch - before[text_at]))
+        for (text_at, passage), where in found.items():
+            yield first + text_at, passage, ids[text_at], where
+
+    def confirm(self, passage: int, words: np.ndarray, stretches: list[int]) -> tuple[float, float, bool] | None:
         """(share of the passage in order, cosine, answer present) at the likeliest place that passes."""
         want, answer = self.words[passage], self.answers[passage]
-        for cosine, start, width in places:
-            near = words[max(0, start - len(want)) : start + width + len(want)].astype(np.int64).tolist()
+        known = np.array([*want, *answer], np.int64)
+        windows = []
+        for stretch in stretches:
+            begin = stretch * STARTS * STEP
+            end = min(begin + STARTS * STEP, len(words))
+            near = words[max(0, begin - len(want)) : end + 3 * STEP + len(want)].astype(np.int64)
+            if lcs(want, near[np.isin(near, known)].tolist()) < self.least[passage]:
+                continue  # no window has more than the whole stretch
+            for start in range(begin, end, STEP):
+                for width in (2 * STEP, 4 * STEP):
+                    place = self.places(words[start : start + width])
+                    cosine = self.vectors[place].sum(axis=0) @ self.queries[:, passage] / np.sqrt(self.squares[place].sum())
+                    windows.append((float(cosine), start, width))
+        for cosine, start, width in sorted(windows, reverse=True):
+            near = words[max(0, start - len(want)) : start + width + len(want)].astype(np.int64)
+            near = near[np.isin(near, known)].tolist()
             share = lcs(want, near) / len(want)
+            if share < LCS_WITH_ANSWER:
+                continue
             told = lcs(answer, near) >= ANSWER * len(answer)
-            if share >= LCS_ALONE or (share >= LCS_WITH_ANSWER and told):
+            if share >= LCS_ALONE or told:
                 return share, cosine, told
         return None
 
@@ -270,7 +302,8 @@ def _index(docs: DataFrame, block: list):
     words = [list(r.words) for r in block]
     vocabulary = np.unique(np.concatenate([np.array(w, np.int64).view(np.uint64) for w in words]))
     frequency, n = document_frequencies(docs, vocabulary)
-    idf, unknown = np.log((n + 1) / (frequency + 1)), float(np.log(n + 1))
+    idf = 1 + np.log((n + 1) / (frequency + 1))
+    unknown = float(idf.max())
     passages = spark.createDataFrame([(w,) for w in words], "words array<long>")
     rank = RANK
     while True:
