@@ -1,18 +1,21 @@
 """Licence scans by a trained paragraph classifier.
 
-Each paragraph (a line with words) is scored by a sparse logistic regression for
-each licence family over hashed n-grams of one to three words. Only a document's
-text is read. The score is calibrated on held-out made-up paragraphs: a family is
-predicted where its probability passes the threshold that keeps PRECISION there,
-and any other paragraph is of the unknown class. A prediction counts once one of
-the family's templates confirms it: enough of the template's word pairs must be
-in the paragraph, in the closest template.
+A paragraph is a run of lines with words, so a notice may be wrapped at any place.
+Wherever enough of a template's word pairs lie in one line, or within SPREAD times
+the template's words of a paragraph, its lines, the stretch itself and the stretch
+with MARGIN words on each side are scored by a sparse logistic regression for each
+licence family over hashed n-grams of one to three words; so words around a notice
+don't hide it. Only a document's text is read. The score is calibrated on held-out
+made-up paragraphs: a family is predicted where its probability passes the threshold
+that keeps PRECISION there, and anything else is of the unknown class. A prediction
+counts if it is the family of the template; of overlapping ones the closest
+template's stays.
 
 The classifier is fitted in numpy, once for each process, on TRAIN_ROWS made-up
 paragraphs: templates cut, reworded and set among other words, and near misses
 (words of licences out of order, mentions of other licences).
 
-Defined results: a document without confirmed paragraphs has the family list ''
+Defined results: a document without confirmed notices has the family list ''
 and confidence 0; a null or empty text has no paragraphs; repeated rows are
 scanned again; a null doc_id stays null; an empty table gives no rows; texts of
 any length are scanned whole; other columns are not looked at.
@@ -20,14 +23,17 @@ any length are scanned whole; other columns are not looked at.
 
 from __future__ import annotations
 
+import bisect
 import random
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_rows, with_bytes
-from .decontaminate import word_ids
+from .decontaminate import _FOLD, word_ids
 from .neardup import mix
 
 # fixed values: short notices of licence families, as their stewards word them
@@ -49,7 +55,10 @@ BITS, NGRAM = 16, 3
 TRAIN_ROWS, PRECISION = 6000, 0.995
 #: share of a template's word pairs that confirms a prediction
 CONFIRM = 0.6
+#: a notice's words, in template lengths; words scored on each side of it
+SPREAD, MARGIN = 2, 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_LINES = _FOLD[:10] + b"\n" + _FOLD[11:]
 
 
 def features(words: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +135,10 @@ class Classifier:
             right = np.cumsum(y[~fit][order] == f) / np.arange(1, len(order) + 1)
             good = np.flatnonzero(right >= PRECISION)
             self.thresholds[f] = scores[order[good[-1]], f] if len(good) else np.inf
-        self.pairs = [[_pairs(word_ids(t.encode())) for t in TEMPLATES[f]] for f in FAMILIES]
+        self.templates = [(f, len(word_ids(t.encode())), np.unique(_pairs(word_ids(t.encode())))) for f, name in enumerate(FAMILIES) for t in TEMPLATES[name]]
+        self.least = [next(k for k in range(len(pairs) + 1) if k / len(pairs) >= CONFIRM) for _, _, pairs in self.templates]
+        self.known = np.unique(np.concatenate([pairs for _, _, pairs in self.templates]))
+        self.holders: list[list[int]] = [[t for t, (_, _, pairs) in enumerate(self.templates) if k in pairs] for k in self.known]
 
     @staticmethod
     def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int, length: np.ndarray) -> np.ndarray:
@@ -135,33 +147,99 @@ class Classifier:
             out[:, f] = np.bincount(rows, weights[cols, f], n)
         return out / length[:, None] + bias
 
+    def scores(self, units: list[np.ndarray]) -> np.ndarray:
+        """Units x families."""
+        lines, buckets = features(np.concatenate(units), np.repeat(np.arange(len(units)), [len(x) for x in units]))
+        order = np.argsort(lines, kind="stable")
+        counts = np.bincount(lines, minlength=len(units))
+        return np.add.reduceat(self.weights[buckets[order]], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None] + self.bias
+
+    def _hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where template pairs are, and which."""
+        pairs = _pairs(words)
+        which = np.minimum(np.searchsorted(self.known, pairs), len(self.known) - 1)
+        at = np.flatnonzero(self.known[which] == pairs)
+        return at, which[at]
+
+    def _possible(self, which: np.ndarray) -> set[int]:
+        """Templates with enough pairs among these."""
+        seen = defaultdict(int)
+        for k in np.unique(which).tolist():
+            for t in self.holders[k]:
+                seen[t] += 1
+        return {t for t, n in seen.items() if n >= self.least[t]}
+
     def scan(self, raw: bytes) -> tuple[int, list[tuple[int, int, float, float]]]:
-        """Paragraphs of a text, and (paragraph, family, probability, template share) of the confirmed ones."""
-        ids = [x for x in map(word_ids, raw.split(b"\n")) if len(x)]
-        if not ids:
-            return 0, []
+        """Paragraphs of a text, and (paragraph, family, probability, template share) of each confirmed notice."""
+        paragraphs = sum(1 for x in re.split(rb"\n[ \n]*\n", raw.translate(_LINES)) if x.strip())
+        if not self._possible(self._hits(word_ids(raw))[1]):
+            return paragraphs, []
+        ids = [word_ids(x) for x in raw.split(b"\n")]
         sizes = np.array([len(x) for x in ids])
-        words = np.concatenate(ids)
-        lines, buckets = features(words, np.repeat(np.arange(len(ids)), sizes))
-        weights = self.weights[buckets]
-        order = np.argsort(lines, kind="stable")
-        counts = np.bincount(lines, minlength=len(ids))
-        sums = np.add.reduceat(weights[order], np.cumsum(counts) - counts, axis=0)
-        scores = sums / np.sqrt(counts)[:, None] + self.bias
-        best = scores.argmax(axis=1)
-        top = scores[np.arange(len(ids)), best]
-        out = []
-        for k in np.flatnonzero(top >= self.thresholds[best]):
-            own = _pairs(ids[k])
-            share = max(len(own & pairs) / len(pairs) for pairs in self.pairs[best[k]])
-            if share >= CONFIRM:
-                out.append((int(k), int(best[k]), float(1 / (1 + np.exp(-top[k]))), share))
-        return len(ids), out
+        words, line = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
+        paragraph = (np.cumsum((sizes > 0) & (np.append(0, sizes[:-1]) == 0)) - 1)[line]
+        at, which = self._hits(words)
+        inside = paragraph[at] == paragraph[at + 1]
+        at, which = at[inside], which[inside]
+        places = defaultdict(list)
+        possible = self._possible(which)
+        for x, k in zip(at.tolist(), which.tolist()):
+            for t in self.holders[k]:
+                if t in possible:
+                    places[t].append((x, k))
+        found = []
+        for t, hits in places.items():
+            family, _, pairs = self.templates[t]
+            near, by_line = self._spans(t, hits, line, paragraph)
+            for whole, (n, size, begin, end) in [(False, x) for x in _apart(near)] + [(True, x) for x in by_line]:
+                first, last = np.searchsorted(line, (line[begin], line[end - 1] + 1))
+                low, high = np.searchsorted(paragraph, (paragraph[begin], paragraph[begin] + 1))
+                scores = self.scores([words[first:last], words[begin:end], words[max(low, begin - MARGIN) : min(high, end + MARGIN)]])
+                top = scores[(scores.argmax(axis=1) == family) & (scores[:, family] >= self.thresholds[family]), family]
+                if len(top):
+                    found.append(((whole, n / len(pairs)), size, begin, end, family, float(1 / (1 + np.exp(-top.max()))), n / len(pairs)))
+        kept = sorted(_apart(found), key=lambda x: x[2])
+        return paragraphs, [(int(paragraph[begin]), family, p, -share) for _, _, begin, _, family, p, share in kept]
+
+    def _spans(self, t: int, hits: list[tuple[int, int]], line: np.ndarray, paragraph: np.ndarray) -> tuple[list[tuple], list[tuple]]:
+        """(-pairs, words, begin, end) where a template has enough pairs, from each of its hits and by line."""
+        reach = SPREAD * self.templates[t][1]
+        near, by_line, lines = [], [], defaultdict(list)
+        for a, (begin, k) in enumerate(hits):
+            if line[begin] == line[begin + 1]:
+                lines[int(line[begin])].append((begin, k))
+            seen: set[int] = set()
+            end = begin
+            for x, other in hits[a : a + reach]:
+                if x + 2 - begin > reach or paragraph[x] != paragraph[begin]:
+                    break
+                if other not in seen:
+                    seen.add(other)
+                    end = x + 2
+            if len(seen) >= self.least[t]:
+                near.append((-len(seen), end - begin, begin, end))
+        for own in lines.values():
+            if (n := len({k for _, k in own})) >= self.least[t]:
+                by_line.append((-n, own[-1][0] + 2 - own[0][0], own[0][0], own[-1][0] + 2))
+        return near, by_line
+
+
+def _apart(spans: list[tuple]) -> list[tuple]:
+    """Of overlapping (rank, words, begin, end, ...) the first by rank, then the shortest."""
+    kept, ranges = [], []
+    for span in sorted(spans):
+        begin, end = span[2:4]
+        k = bisect.bisect(ranges, (begin, end))
+        if (k and ranges[k - 1][1] > begin) or (k < len(ranges) and ranges[k][0] < end):
+            continue
+        ranges.insert(k, (begin, end))
+        kept.append(span)
+    return kept
 
 
-def _pairs(words: np.ndarray) -> set[tuple[int, int]]:
-    listed = words.tolist()
-    return set(zip(listed, listed[1:])) or {(x, x) for x in listed}
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """A hash of each two words in a row."""
+    return mix(words[:-1] * _STEP + words[1:])
 
 
 _model: list[Classifier] = []
@@ -174,7 +252,7 @@ def classifier() -> Classifier:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_licensed, families (sorted, comma-joined), confidence, paragraphs (of each licence found)."""
+    """doc_id, n_paragraphs, n_licensed, families (sorted, comma-joined), confidence, paragraphs (of each notice found)."""
     held = docs.sparkSession.sparkContext.broadcast(classifier())
 
     def run(chunks: Iterator[list[list]]) -> Iterator[dict]:
