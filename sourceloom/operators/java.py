@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from ..session import ship
 
 _TOKEN = re.compile(r'/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|[{}]', re.S)
-_METHOD = re.compile(r"(?:^|\n)([ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:public|protected|private)?\s*(?:static\s+|final\s+|synchronized\s+)*[\w<>\[\], ?.]+\s+(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w., ]+)?)\s*\{")
+#: main, its words in camel case or after an underscore; not the letters inside another word (domain)
+_MAIN = re.compile(r"^(?i:main)(?![a-z])|Main|(?i:_main)")
+_METHOD = re.compile(r"(?:^|\n|(?<=[{}]))([ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:public|protected|private)?\s*(?:static\s+|final\s+|synchronized\s+)*[\w<>\[\], ?.]+\s+(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w., ]+)?)\s*\{")
 
 
 def closing(text: str, opening: int) -> int | None:
@@ -24,34 +26,66 @@ def closing(text: str, opening: int) -> int | None:
     return None
 
 
-def methods(text: str) -> Iterator[tuple[str, str]]:
-    """(name, text) of each method with a body."""
+def _spans(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(name, parameters, begin, end) of each method with a body."""
     at = 0
     while m := _METHOD.search(text, at):
         end = closing(text, m.end() - 1)
         if end is None or m[2] in ("if", "for", "while", "switch", "catch") or re.match(r"\s*(?:new|return|else)\b", m[1]):
             at = m.end()
             continue
-        yield m[2], text[m.start(1) : end + 1].strip("\n")
+        yield m[2], m[1][m[1].index("(", m.end(2) - m.start(1)) + 1 : m[1].rindex(")")], m.start(1), end + 1
         at = end + 1
 
 
+def methods(text: str) -> Iterator[tuple[str, str]]:
+    """(name, text) of each method with a body."""
+    for name, _, begin, end in _spans(text):
+        yield name, text[begin:end].strip("\n")
+
+
+def _types(parameters: str) -> tuple[str, ...]:
+    """Parameter types, without names, annotations and final."""
+    flat = re.sub(r"@\w+(?:\([^)]*\))?|\bfinal\b|\bthrows\b.*", " ", parameters, flags=re.S)
+    out, level, part = [], 0, ""
+    for c in flat + ",":
+        level += (c == "<") - (c == ">")
+        if c == "," and not level:
+            out.append("".join(re.sub(r"\b\w+(\s*(?:\[\s*\]\s*)*)$", r"\1", part.strip()).split()))
+            part = ""
+        else:
+            part += c
+    return tuple(out)
+
+
+def one_main(code: str) -> str:
+    """The code with only the last of its main methods."""
+    for _, _, begin, end in [x for x in _spans(code) if _MAIN.search(x[0])][-2::-1]:
+        code = code[:begin].rstrip(" \t") + code[end:].lstrip()
+    return code
+
+
 def code_of(answer: str) -> str:
     """The fenced code of an answer, or all of it."""
     found = re.findall(r"```(?:java)?\s*\n(.*?)```", answer, re.S)
     return "\n".join(found) if found else answer
 
 
-def merged(skeleton: str, answers: list[str], visibility: str | None = None) -> str:
-    """The skeleton with the answers' imports and methods; of methods with one name the last stays."""
+def merged(skeleton: str, answers: list[str], visibility: str | None = None, every: bool = False) -> str:
+    """The skeleton with the answers' imports and methods, in order, overloads too.
+
+    Of methods with the same name and parameter types, which no class can hold, the
+    last stays, or all with ``every``. Of main methods, the skeleton's too, the last stays.
+    """
     imports, found = set(re.findall(r"^\s*import\s+([^;]+);", skeleton, re.M)), {}
     for answer in answers:
         code = code_of(answer)
         imports.update(re.findall(r"^\s*import\s+([^;]+);", code, re.M))
-        for name, text in methods(code):
+        for name, parameters, begin, end in _spans(code):
+            text = code[begin:end].strip("\n")
             if visibility:
                 text = re.sub(r"^(\s*(?:@\w+(?:\([^)]*\))?\s+)*)(?:public|protected|private)\s+", rf"\1{visibility} ", text, count=1)
-            found[name] = text
+            found[len(found) if every else (name, _types(parameters))] = text
     order = sorted(imports, key=lambda i: (0 if i.startswith("java.") else 1 if i.startswith("javax.") else 2, i))
     body = re.sub(r"^\s*import\s+[^;]+;[ \t]*\n?", "", skeleton, flags=re.M)
     package = re.match(r"\s*package\s+[^;]+;[ \t]*\n?", body)
@@ -59,16 +93,16 @@ def merged(skeleton: str, answers: list[str], visibility: str | None = None) ->
     opening = re.search(r"\b(?:class|interface|enum)\s+\w+[^{]*\{", rest)
     end = closing(rest, opening.end() - 1) if opening else None
     if end is None:
-        return skeleton
-    return head + "".join(f"import {i};\n" for i in order) + ("\n" if order else "") + rest[:end].rstrip() + "\n\n" + "\n\n".join(found.values()) + "\n" + rest[end:]
+        return one_main("\n\n".join([skeleton, *found.values()]))
+    return one_main(head + "".join(f"import {i};\n" for i in order) + ("\n" if order else "") + rest[:end].rstrip() + "\n\n" + "\n\n".join(found.values()) + "\n" + rest[end:])
 
 
-def merge_classes(translations: DataFrame, visibility: str | None = None) -> DataFrame:
+def merge_classes(translations: DataFrame, visibility: str | None = None, every: bool = False) -> DataFrame:
     """class_id, text: each class's skeleton with its answers (skeleton, llm_response, ord) in order."""
     ship(translations.sparkSession)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord")
-        return pd.DataFrame({"class_id": frame["class_id"].iloc[:1], "text": [merged(frame["skeleton"].iloc[0], list(frame["llm_response"].fillna("")), visibility)]})
+        return pd.DataFrame({"class_id": frame["class_id"].iloc[:1], "text": [merged(frame["skeleton"].iloc[0], list(frame["llm_response"].fillna("")), visibility, every)]})
 
     return translations.select("class_id", "skeleton", "llm_response", "ord").groupBy("class_id").applyInPandas(one, "class_id string, text string")

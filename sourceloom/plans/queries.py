@@ -478,7 +478,7 @@ def n17(spark, sf_dir):
 def k8(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     rows = o.select(F.col("o_custkey").cast("string").alias("class_id"), F.lit("package p;\npublic class A {\n}\n").alias("skeleton"), F.format_string("public int m%d() { return %d; }", F.col("o_orderkey") % 3, F.col("o_orderkey")).alias("llm_response"), F.col("o_orderkey").alias("ord"))
-    return java.merge_classes(rows)
+    return java.merge_classes(rows, every=True)
 
 
 @query("j26_function_contexts")
