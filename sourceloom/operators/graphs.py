@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,22 +41,24 @@ def name_links(left: DataFrame, right: DataFrame, link_type: str, *same: str) ->
     return matched.select("source_id", "target_id", F.lit(link_type).alias("link_type"), best["confidence"].alias("confidence"), best["rule"].alias("rule"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, levels: int = 100) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, depth: all that is reached from the seeds, each once at its least depth.
 
-    Frontiers grow by joins, and nodes already reached are left out, so cycles end.
+    Frontiers grow by joins until one is empty, and nodes already reached are left
+    out, so cycles end. Each frontier is kept, and now and then what is reached, so
+    that neither plan nor parts grow with the depth.
     """
-    reached = seeds.select(F.col("node"), F.lit(0).alias("depth")).distinct()
+    kept = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
+    reached = kept(seeds.select(F.col("node"), F.lit(0).alias("depth")).distinct())
     frontier = reached
-    for depth in range(1, levels + 1):
+    for depth in itertools.count(1):
         new = frontier.join(edges, frontier["node"] == edges["source_id"]).select(F.col("target_id").alias("node")).distinct()
-        frontier = new.join(reached.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"))
-        if edges.sparkSession.sparkContext.getCheckpointDir():  # so that the plan doesn't grow with the depth
-            frontier = frontier.checkpoint()
+        frontier = kept(new.join(reached.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
-            break
+            return reached
         reached = reached.union(frontier)
-    return reached
+        if depth % 16 == 0:
+            reached = kept(reached.repartition("node"))
 
 
 CLOSURE_SQL = """
