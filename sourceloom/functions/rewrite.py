@@ -194,14 +194,20 @@ CONCATS = 10
 
 
 def decode_to_case(c: Column) -> Column:
-    """A flat DECODE as CASE; one whose arguments have calls inside stays."""
-    args = split_columns(F.regexp_extract(c, r"(?i)\bDECODE\s*\(([^()]*)\)", 1))
-    n = F.size(args)
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 3) / 2).cast("int"), F.lit(0))), lambda k: F.concat(F.lit(" WHEN "), F.get(args, 2 * k + 1), F.lit(" THEN "), F.get(args, 2 * k + 2)))
-    tail = F.when(n % 2 == 0, F.concat(F.lit(" ELSE "), F.get(args, n - 1))).otherwise("")
-    new = F.concat(F.lit("CASE "), F.get(args, F.lit(0)), F.array_join(pairs, ""), tail, F.lit(" END"))
-    whole = F.regexp_extract(c, r"(?i)\bDECODE\s*\([^()]*\)", 0)
-    return F.when((whole != "") & (n >= 3), F.replace(c, whole, new)).otherwise(c)
+    """Each flat DECODE as CASE; one whose arguments have calls inside stays."""
+    flat = r"(?i)\bDECODE\s*\(([^()]*)\)"
+
+    def case(whole: Column, inside: Column) -> Column:
+        args = split_columns(inside)
+        n = F.size(args)
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 3) / 2).cast("int"), F.lit(0))), lambda k: F.concat(F.lit(" WHEN "), F.get(args, 2 * k + 1), F.lit(" THEN "), F.get(args, 2 * k + 2)))
+        tail = F.when(n % 2 == 0, F.concat(F.lit(" ELSE "), F.get(args, n - 1))).otherwise("")
+        return F.when(n >= 3, F.concat(F.lit("CASE "), F.get(args, F.lit(0)), F.array_join(pairs, ""), tail, F.lit(" END"))).otherwise(whole)
+
+    new = F.zip_with(F.regexp_extract_all(c, F.lit(flat), F.lit(0)), F.regexp_extract_all(c, F.lit(flat), F.lit(1)), case)
+    # text, DECODE, text, ..., DECODE, text
+    rewritten = F.array_join(F.zip_with(F.split(c, flat), new, lambda text, one: F.concat(text, F.coalesce(one, F.lit("")))), "")
+    return F.when(F.regexp_like(c, F.lit(flat)), rewritten).otherwise(c)
 
 
 def concat_calls(c: Column) -> Column:

@@ -198,6 +198,14 @@ def h2(spark, sf_dir):
     return statements(spark, sf_dir).where("sql_text like '%DELETE%'").select("line_start", rw.oracle_to_mysql(F.col("sql_text")).alias("sql"))
 
 
+_ALL = " SELECT line_start, replace(replace(replace(replace(replace(sql_text, 'NVL(', 'IFNULL('), 'SYSDATE', 'NOW()'), 'SUBSTR(', 'SUBSTRING('), 'DECODE(k, 1, :x1, :x2)', 'CASE k WHEN 1 THEN :x1 ELSE :x2 END'), 'first_nm || last_nm', 'CONCAT(first_nm, last_nm)') AS sql FROM st"
+
+
+@query("h2_oracle_to_mysql_all", ST + _ALL)
+def h2_all(spark, sf_dir):
+    return statements(spark, sf_dir).select("line_start", rw.oracle_to_mysql(F.col("sql_text")).alias("sql"))
+
+
 @query("h4_concat_calls", ST + " SELECT line_start, replace(sql_text, 'first_nm || last_nm', 'CONCAT(first_nm, last_nm)') AS sql FROM st WHERE sql_text LIKE '%||%'")
 def h4(spark, sf_dir):
     return statements(spark, sf_dir).where("sql_text like '%||%'").select("line_start", rw.concat_calls(F.col("sql_text")).alias("sql"))
