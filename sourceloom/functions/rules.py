@@ -125,9 +125,9 @@ def tag(kind: Column, tags: tuple[dict[str, str], str] = CONVERTER_TAGS) -> Colu
 
 
 def classify_by_table(df: DataFrame, rules: DataFrame, text: str = "sql_text", key: str = "line_start") -> DataFrame:
-    """Rules from a small table (name, priority, ord, pattern): the first by priority wins; adds ``rule``."""
+    """Rules from a table, all of them (name, priority, ord, pattern): the first by priority wins; adds ``rule``."""
     best = Window.partitionBy(key).orderBy(F.desc("priority"), "ord")
-    hits = df.select(key, text).join(F.broadcast(rules.limit(1000)), F.expr(f"regexp_like({text}, pattern)")).withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select(key, F.col("name").alias("rule"))
+    hits = df.select(key, text).join(rules, F.expr(f"regexp_like({text}, pattern)")).withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select(key, F.col("name").alias("rule"))
     return df.join(hits, key, "left").fillna("unknown", ["rule"])
 
 
