@@ -80,18 +80,23 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list
     return df.select(*columns).mapInArrow(run, out)
 
 
-def keep_rows(df: DataFrame, text: str, keeps: Callable[[list[bytes]], list[bool]]) -> DataFrame:
-    """The rows, all columns as they are, whose texts ``keeps`` says true of (null: empty text)."""
+def keep_rows(df: DataFrame, text: str, judge: Callable[[], Callable[[list[bytes]], list]], keeps: Callable[[object], bool]) -> DataFrame:
+    """The rows, all columns as they are, of whose texts ``keeps`` accepts the judgement (null: empty text).
+
+    ``judge`` is called once in each task and gives what judges a list of texts.
+    """
     ship(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged = judge()
         for batch in batches:
             size = max(1, batch.column(at).nbytes)
             step = max(1, min(batch.num_rows, int(batch.num_rows * BATCH_BYTES / size)))
             for k in range(0, batch.num_rows, step):
                 part = batch.slice(k, step)
-                yield part.filter(pa.array(keeps([(x or "").encode() for x in part.column(at).to_pylist()]), pa.bool_()))
+                verdicts = judged([(x or "").encode() for x in part.column(at).to_pylist()])
+                yield part.filter(pa.array([keeps(v) for v in verdicts], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

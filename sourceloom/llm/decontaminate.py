@@ -280,7 +280,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that hold no benchmark passage."""
 
-    def keeps(held):
+    def judge(held):
         def run(raws: list[bytes]) -> list[bool]:
             clean = [True] * len(raws)
             for text, passage, found, places in held.value.search(raws):
@@ -288,11 +288,11 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean[text] = False
             return clean
 
-        return run
+        return lambda: run
 
     kept = docs
     for block in _blocks(benchmark):
-        kept = keep_rows(kept, "text", keeps(_index(docs, block)))
+        kept = keep_rows(kept, "text", judge(_index(docs, block)), bool)
     return kept
 
 

@@ -116,9 +116,9 @@ def test_personal_data(odd, none):
 
 def test_network_gradient():
     """Analytic gradients of the toxicity network against differences."""
-    net = toxicity.Network()
     words = toxicity.Words([b"aa bb cc dd ee"])
-    x = words.vectors(net.word, net.char)
+    net = toxicity.Network(words.hashes, np.unique(words.grams))
+    x = net.vectors(words)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     at, live = np.array([[0, 1, 2, 5], [3, 4, 1, 0]]), np.array([[True, True, True, False], [True] * 4])
     loss = lambda: float((net.forward(net.project(x), at, live) * [1.0, -0.5]).sum())
