@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,6 +16,8 @@ from ..session import ship
 
 #: bytes of text that one vectorised step holds at a time
 BATCH_BYTES = 2 << 20
+#: a key with more than this part of all rows is hot
+HOT_KEYS = 1000
 
 
 _own: dict[str, str] = {}
@@ -98,7 +100,30 @@ def keep_rows(df: DataFrame, text: str, judge: Callable[[], Callable[[list[bytes
                 verdicts = judged([(x or "").encode() for x in part.column(at).to_pylist()])
                 yield part.filter(pa.array([keeps(v) for v in verdicts], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # names with dots and the like stay out of it
+    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """All columns in one, ``row``, beside those named: whatever is added then clashes with no column's name."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *names)
+
+
+def brought_back(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns set aside, some of them anew."""
+    return df.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the one row of ``right`` (stored) for its key; ``n`` of ``right`` says how many rows of ``left`` have it.
+
+    Keys with over a HOT_KEYS-th of all rows are HOT_KEYS at most: those rows of
+    ``right`` are broadcast, so that no task gets all of a hot key's rows.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(right.where(F.col("n") > total // HOT_KEYS).drop("n"))
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= total // HOT_KEYS).drop("n"), key)
+    return left.join(hot, key).unionByName(rest)
 
 
 def with_bytes(df: DataFrame, text: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, partitions, stored, with_bytes
+from .common import brought_back, map_rows, partitions, set_aside, spread_join, stored, with_bytes
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
@@ -279,12 +279,13 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; and text_key and group, for ``deduplicated``."""
     rows = stored(sketch(docs).withColumn("row", F.monotonically_increasing_id()))
-    sets = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    keyed = rows.select("row", "doc_id", "text_key", "digest", "n_shingles").join(sets, "digest", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("node", "row").alias("node"))
+    # a node for each distinct set
+    sets = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
 
-    members = rows.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("band"))
-    leaders = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n")
-    buckets = stored(members.join(leaders, "band"))
+    heads = stored(rows.select("row", "bands").join(sets.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"))
+    members = heads.select("node", F.explode("bands").alias("band"))
+    leaders = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1"))
+    buckets = stored(spread_join(members, leaders, "band"))
     wanted = buckets.select(F.col("node").alias("row")).distinct()
     nodes = stored(rows.join(wanted, "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "sig", "folded"))
 
@@ -303,9 +304,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = stored(links.union(found).distinct())
         labels = components(links)
 
-    grouped = keyed.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
-    smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(smallest, "group").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "group")
+    # the smallest doc_id of each component, for nodes, then for rows
+    of_nodes = stored(sets.join(labels, "node", "left").select("digest", "least", "n", F.coalesce("label", "node").alias("group")))
+    smallest = stored(of_nodes.groupBy("group").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    answers = stored(spread_join(of_nodes.withColumnRenamed("n", "rows"), smallest, "group").select("digest", "group", "component_id", F.col("rows").alias("n")))
+    own = rows.select("doc_id", "text_key", "n_shingles", "digest", "row")
+    full = spread_join(own.where("n_shingles > 0"), answers, "digest").select("doc_id", "text_key", "n_shingles", "group", "component_id")
+    empty = own.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("row").alias("group"), F.col("doc_id").alias("component_id"))
+    return full.unionByName(empty).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "group")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -313,8 +319,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows that agree in doc_id and text are one row, also where texts are empty.
     """
-    found = near_duplicates(docs).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "_id")).alias("first"))
-    winners = first.select("first._id", F.col("first.text_key").alias("_key"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))})
-    return keyed.join(winners, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    text_id = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    found = near_duplicates(docs).withColumn("id", text_id(F.col("doc_id")))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "id")).alias("first"))
+    winners = first.select("first.id", F.col("first.text_key").alias("key"))
+    keyed = set_aside(docs, "doc_id", "text").select("row", text_id(F.col("doc_id")).alias("id"), F.xxhash64(text_id(F.col("text")).cast("binary")).alias("key"))
+    return brought_back(keyed.join(winners, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]), docs.columns)

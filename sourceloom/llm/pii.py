@@ -12,7 +12,8 @@ that finding and redacting run in one narrow pass without Python.
 Spans are code points, end exclusive. Defined results: a null or empty text has
 no spans; repeated rows are scanned again; a null doc_id stays null; an empty
 table gives no rows; texts of any length are scanned whole, by patterns that
-neither recurse nor retry a run of characters; other columns pass through.
+neither recurse nor retry a run of characters; other columns, whatever their
+names, pass through.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import brought_back, set_aside
+
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS = 4000
 PRECISION = 0.995
@@ -289,7 +292,7 @@ def describe(spans: str) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents, with each run of overlapping spans replaced by the first one's kind in brackets."""
-    found = find(docs).withColumn("_at", F.expr(parts_of("spans")))
+    found = find(set_aside(docs, "text")).withColumn("_at", F.expr(parts_of("spans")))
     # overlapping spans become one; spans of one text only are held
     merged = """aggregate(_at, cast(array() as array<struct<kind:string,start:int,end:int>>), (acc, s) ->
         if(size(acc) > 0 and element_at(acc, -1).end > s.start,
@@ -298,7 +301,7 @@ def redact(docs: DataFrame) -> DataFrame:
     found = found.withColumn("_at", F.expr(merged))
     kept = "transform(_at, (s, i) -> concat(substring(text, if(i = 0, 0, _at[i - 1].end) + 1, s.start - if(i = 0, 0, _at[i - 1].end)), '[', upper(s.kind), ']'))"
     new = F.expr(f"if(size(_at) = 0, _own, concat(array_join({kept}, ''), substring(text, element_at(_at, -1).end + 1)))")
-    return found.withColumn("text", new).select(*docs.columns)
+    return brought_back(found, docs.columns, text=new)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -14,11 +14,15 @@ ODD = [
 ]
 
 
+CLASHES = ["base", "g0", "g1", "g7", "_own", "_at", "_id", "_key", "id", "key", "row", "node", "n", "group", "digest", "band", "label", "windows", "rank", "toxic", "piece", "length", "ids", "kept", "a.b"]
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and very long texts, repeated rows, and columns whose names clash with the operators' own."""
-    rows = [(i, t, lang, "s", n, 1, b"x", "k", 0) for i, t, lang, n in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, raw binary, text_key string, spans int")
+    rows = [(i, t, lang, "s", n, 1, b"x", "k", 0, *CLASHES) for i, t, lang, n in ODD]
+    clashing = ", ".join(f"`{c}` string" for c in CLASHES)
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, score int, raw binary, text_key string, spans int, {clashing}")
 
 
 @pytest.fixture(scope="session")

@@ -8,7 +8,7 @@ from sourceloom.llm import chat, decontaminate, licenses, neardup, packing, pii,
 from sourceloom.llm.queries import END_OF_TEXT
 from sourceloom.llm.tokens import word_bpe
 
-from .conftest import ODD
+from .conftest import CLASHES, ODD
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +85,7 @@ def test_near_duplicates(odd, none):
     assert by[7].n_shingles == 1 and by[None].component_id is None
     kept = neardup.deduplicated(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
+    assert all(r[c] == c for r in kept.collect() for c in CLASHES)
     assert neardup.near_duplicates(none).collect() == [] and neardup.deduplicated(none).collect() == []
 
 
@@ -109,9 +110,11 @@ def test_quality(odd, none):
 
 def test_personal_data(odd, none):
     assert len(pii.report(odd).collect()) == len(ODD)
-    out = pii.redact(odd.drop("spans"))
-    assert out.columns == odd.drop("spans").columns and {r.doc_id: r.text for r in out.collect()}[8].endswith("[EMAIL]")
-    assert pii.redact(none.drop("spans")).collect() == []
+    out = pii.redact(odd)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert out.columns == odd.columns and rows[8].text.endswith("[EMAIL]") and rows[2].text is None
+    assert all(rows[8][c] == c for c in CLASHES)
+    assert pii.redact(none).collect() == []
 
 
 def test_network_gradient():
@@ -136,6 +139,20 @@ def test_network_gradient():
         assert abs((up - down) / 2e-3 - g.reshape(-1)[k]) < 1e-2 * max(1, abs(g.reshape(-1)[k])), name
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_documents(spark, odd, labels, benchmark, tmp_path, empty):
+    """Nulls, long and repeated texts, clashing columns, and empty tables, through all stages."""
+    (odd.limit(0) if empty else odd).write.parquet(f"{tmp_path}/documents.parquet")
+    (labels.limit(0) if empty else labels).write.parquet(f"{tmp_path}/labels.parquet")
+    (benchmark.limit(0) if empty else benchmark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd.columns
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (rows == []) if empty else {2, 3, 4} <= {r.doc_id for r in rows}
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage on its predecessor's rows, against what its operator says of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
