@@ -8,8 +8,9 @@ their length.
 
 Defined results: a null or empty text has the terminator as its only token; a
 repeated row is packed again as its own document; a null ``doc_id`` stays null;
-ties in length take slots by doc_id, piece and checksum; an empty table gives
-no rows; other columns of the input are not looked at. A document longer than
+ties in length take slots by a hash of doc_id, piece and checksum where there
+are over SALT_ROWS of them, then by doc_id, piece, checksum and start; an empty
+table gives no rows; other columns of the input are not looked at. A document longer than
 ``capacity`` is cut into pieces of ``capacity`` tokens, any length of text.
 """
 
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_rows, partitions, stored, with_bytes
+from .common import map_rows, stored, with_bytes
 from .tokens import tokenizer
 
-#: ranks within one length are dealt over at most so many tasks
-MOST_SALTS = 256
+#: pieces of one length that one task ranks
+SALT_ROWS = 1 << 15
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, terminator: int = 0, ids: bool = False) -> DataFrame:
@@ -101,26 +102,33 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def place(cut: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Add sequence_id and offset to pieces (``cut`` must be stored: it is read three times)."""
+    """Add sequence_id and offset to pieces (``cut`` must be stored: it is read several times).
+
+    A piece of ``capacity`` tokens is a sequence of its own and needs no rank;
+    those have negative numbers.
+    """
     spark = cut.sparkSession
+    whole = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rest = cut.where(F.col("length") < capacity)
     # at most ``capacity`` rows come to the driver
-    histogram = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}
+    histogram = {int(r[0]): int(r[1]) for r in rest.groupBy("length").count().collect()}
     slots = spark.createDataFrame(plan(histogram, capacity), "slot_length long, rank_from long, rank_to long, slots long, first_sequence long, slot_offset long")
 
-    salts = max(1, min(MOST_SALTS, partitions(spark)))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    # ranks are counted within a length and salt; one task ranks about SALT_ROWS pieces, however many share a length
+    parts = spark.createDataFrame([(length, -(-n // SALT_ROWS)) for length, n in histogram.items()], "length long, salts long")
+    salted = rest.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
-    # both broadcasts have a bound: capacity x MOST_SALTS rows, and some rows of the plan for each length
+    # broadcast: a row for each length and SALT_ROWS pieces, and some rows of the plan for each length
     ranked = salted.withColumn("own_rank", F.row_number().over(own) - 1).join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own_rank"))
     within = F.col("rank") - F.col("rank_from")
-    return (
+    placed = (
         ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
         .withColumn("sequence_id", (F.col("first_sequence") + F.floor(within / F.col("slots"))).cast("long"))
         .withColumn("offset", (F.col("slot_offset") + within % F.col("slots") * F.col("length")).cast("long"))
-        .select(*cut.columns, "sequence_id", "offset")
     )
+    return placed.select(*cut.columns, "sequence_id", "offset").unionByName(whole)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, terminator: int = 0, ids: bool = False) -> DataFrame:
