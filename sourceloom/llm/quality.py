@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
 Every document gets the base measures. The verdict of the other rules comes from
-a cascade: the cost and the rejections of each rule are estimated on a bounded
-sample, rules run in the order of rejections per cost, and a document that one
+a cascade: what each rule costs beside the measures already made, and what it
+rejects of the documents that earlier rules leave, are estimated on a random
+sample; rules run in the order of rejections per cost, and a document that one
 rule rejects is not shown to the next. The order changes the time only, never a
 verdict, as a document is kept when no rule rejects it.
 
@@ -14,6 +15,7 @@ looked at.
 
 from __future__ import annotations
 
+import copy
 import time
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -27,6 +29,7 @@ from .common import map_rows, with_bytes
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: documents on which costs and rejections are estimated
 SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 18
 
@@ -106,29 +109,46 @@ def base_failed(d: Measured) -> bool:
 
 
 def order_rules(raws: list[bytes], rules: dict[str, Callable[[Measured], bool]]) -> list[str]:
-    """Names by rejections per second on the sample, highest first."""
-    worth = {}
-    for name, rejects in rules.items():
-        docs = [Measured(r) for r in raws]  # anew, so that a rule pays for its own measures
-        began = time.perf_counter()
-        rejected = sum(map(rejects, docs))
-        worth[name] = (rejected + 0.5) / (time.perf_counter() - began + 1e-6)
-    return sorted(worth, key=lambda name: (-worth[name], name))
+    """Names of the rules, each next one that with most rejections per second on what the former leave.
+
+    The base measures are there before the cascade begins, and those that a
+    chosen rule makes are there for the next, so a rule's cost is what it adds.
+    """
+    alive = [d for d in map(Measured, raws) if not base_measured(d)]
+    left, order = sorted(rules), []
+    while left:
+        worth = {}
+        for name in left:
+            docs = [copy.copy(d) for d in alive]  # a trial leaves no measures behind
+            began = time.perf_counter()
+            rejected = sum(map(rules[name], docs))
+            worth[name] = (rejected + 0.5) / (time.perf_counter() - began + 1e-6)
+        best = max(left, key=worth.__getitem__)
+        order.append(best)
+        left.remove(best)
+        alive = [d for d in alive if not rules[best](d)]
+    return order
+
+
+def base_measured(d: Measured) -> bool:
+    """Make all base measures; whether the base rules reject."""
+    for m in MEASURES:
+        getattr(d, m)
+    return base_failed(d)
 
 
 def judge(docs: DataFrame, rules: dict[str, Callable[[Measured], bool]] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the base measures, base_failed and kept."""
     rules = RULES if rules is None else rules
     source = with_bytes(docs)
-    # a plan, not a verdict: texts over SAMPLE_BYTES say nothing more about an order
-    sample = [bytes(r[0]) for r in source.where(F.octet_length("raw") <= SAMPLE_BYTES).select("raw").limit(sample_rows).collect()]
+    # a plan, not a verdict: a random sample of about ``sample_rows`` texts, of at most SAMPLE_BYTES each
+    rows = max(1, docs.count())
+    sample = [bytes(r[0]) for r in source.select("raw").sample(False, min(1.0, sample_rows / rows), 11).where(F.octet_length("raw") <= SAMPLE_BYTES).collect()]
     cascade = [rules[name] for name in order_rules(sample, rules)]
-    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
     def run(chunks: Iterator[list[list]]) -> Iterator[dict]:
         for doc_ids, raws in chunks:
             found = [Measured(r) for r in raws]
-            out: dict[str, list] = {"doc_id": doc_ids} | {m: [getattr(d, m) for d in found] for m in measures}
+            out: dict[str, list] = {"doc_id": doc_ids} | {m: [getattr(d, m) for d in found] for m in MEASURES}
             out["base_failed"] = [base_failed(d) for d in found]
             alive = [k for k, failed in enumerate(out["base_failed"]) if not failed]
             for rejects in cascade:
@@ -137,4 +157,4 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Measured], bool]] | None =
             out["kept"] = [k in kept for k in range(len(found))]
             yield out
 
-    return map_rows(source, ["doc_id", "raw"], run, "doc_id long, " + ", ".join(f"{m} long" for m in measures) + ", base_failed boolean, kept boolean")
+    return map_rows(source, ["doc_id", "raw"], run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", base_failed boolean, kept boolean")
