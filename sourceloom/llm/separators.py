@@ -1,9 +1,10 @@
 """Token counts of documents in flat token files that have no index.
 
 A flat file is a run of fixed-width token ids in which an end-of-document id
-closes each document. Blocks of it are searched on their own; a prefix scan
-over one small row for each block then says how many documents ended before it
-and how many tokens stand open, which stitches documents across blocks.
+closes each document. Tasks read byte ranges of it and search them on their own;
+a prefix scan over one small row for each range then says how many documents
+ended before it and how many tokens stand open, which stitches documents across
+ranges. Files may have any size; an id too large for the width is an error.
 
 Defined results: an empty text counts 0 tokens; tokens after the last separator
 form a document with ``closed`` false; null texts are empty, repeated rows count
@@ -13,16 +14,18 @@ text are ordinary text, so a text can't close its document.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_rows, stored, with_bytes
+from .common import map_rows, partitions, shared_dir, stored, with_bytes
 from .tokens import tokenizer
 
 BLOCK_TOKENS = 1 << 18
@@ -30,59 +33,73 @@ BLOCK_TOKENS = 1 << 18
 MANIFEST_ROWS = 4096
 
 
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a name as Spark gives it (file:/x has one slash there)."""
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+
+
 def flatten(docs: DataFrame, path: str, separator: int, dtype: str = "<u2") -> tuple[DataFrame, DataFrame]:
-    """Write documents as flat files, one for each task: their blocks, and the doc_ids in order.
+    """Write documents as flat binary files in the shared folder, one for each task: the files, and the doc_ids in order.
 
-    blocks: file_id, block_no, payload. manifest: file_id, first, doc_ids.
+    files: file_id, path, length (bytes). manifest: file_id, first, doc_ids. A
+    repeated task writes a file of its own; only that of the one whose rows
+    count is named. The files go when the application ends.
     """
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    most = np.iinfo(dtype).max
 
     def write(chunks: Iterator[list[list]]) -> Iterator[dict]:
         file_id, encode = TaskContext.get().partitionId(), tokenizer(path, plain_specials=True).encode
-        end, width = np.array([separator], dtype).tobytes(), np.dtype(dtype).itemsize * BLOCK_TOKENS
-        rest, block_no, first = bytearray(), 0, 0
-        for doc_ids, raws in chunks:
-            for packed in encode(raws):
-                rest += np.frombuffer(packed, "<u4").astype(dtype).tobytes()
-                rest += end
-            whole = len(rest) // width
-            rows = [("tokens", file_id, block_no + k, bytes(rest[k * width : (k + 1) * width]), None) for k in range(whole)]
-            del rest[: whole * width]
-            block_no += whole
-            for at in range(0, len(doc_ids), MANIFEST_ROWS):
-                rows.append(("manifest", file_id, first + at, None, doc_ids[at : at + MANIFEST_ROWS]))
-            first += len(doc_ids)
-            yield dict(zip(("kind", "file_id", "block_no", "payload", "doc_ids"), map(list, zip(*rows)))) if rows else dict.fromkeys(("kind", "file_id", "block_no", "payload", "doc_ids"), [])
-        if rest:
-            yield {"kind": ["tokens"], "file_id": [file_id], "block_no": [block_no], "payload": [bytes(rest)], "doc_ids": [None]}
-
-    flat = stored(map_rows(with_bytes(docs), ["doc_id", "raw"], write, "kind string, file_id int, block_no long, payload binary, doc_ids array<long>"), "kind")
-    blocks = flat.where("kind = 'tokens'").select("file_id", "block_no", "payload")
-    manifest = flat.where("kind = 'manifest'").select("file_id", F.col("block_no").alias("first"), "doc_ids")
-    return blocks, manifest
-
-
-def read_flat(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
-    """Blocks of flat files that lie under ``path`` (file_id: the file's path), up to 2 GB a file."""
+        end = np.array([separator], dtype).tobytes()
+        system, place = _opened(folder)
+        system.create_dir(place, recursive=True)
+        name, first, length = f"{uuid.uuid4().hex}.bin", 0, 0
+        with system.open_output_stream(f"{place}/{name}") as out:
+            for doc_ids, raws in chunks:
+                for packed in encode(raws):
+                    ids = np.frombuffer(packed, "<u4")
+                    if len(ids) and ids.max() > most:
+                        raise ValueError(f"token id {ids.max()} does not fit into {dtype}")
+                    length += out.write(ids.astype(dtype).tobytes() + end)
+                starts = range(0, len(doc_ids), MANIFEST_ROWS)
+                n = len(starts)
+                yield {"kind": ["manifest"] * n, "file_id": [file_id] * n, "path": [None] * n, "length": [first + at for at in starts], "doc_ids": [doc_ids[at : at + MANIFEST_ROWS] for at in starts]}
+                first += len(doc_ids)
+        if length:
+            yield {"kind": ["file"], "file_id": [file_id], "path": [f"{folder}/{name}"], "length": [length], "doc_ids": [None]}
+
+    flat = stored(map_rows(with_bytes(docs), ["doc_id", "raw"], write, "kind string, file_id int, path string, length long, doc_ids array<long>"), "kind")
+    kept = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    kept.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(kept)
+    manifest = flat.where("kind = 'manifest'").select("file_id", F.col("length").alias("first"), "doc_ids")
+    return flat.where("kind = 'file'").select("file_id", "path", "length"), manifest
+
+
+def flat_files(spark: SparkSession, path: str) -> DataFrame:
+    """Flat files of any size that lie under ``path``: file_id (the file's path), path, length."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "path", "length")
+
+
+def blocks_of(files: DataFrame, dtype: str = "<u2") -> DataFrame:
+    """Byte ranges of files: file_id, block_no, path, start, size; dealt over all tasks, whatever a file's size."""
     width = np.dtype(dtype).itemsize * BLOCK_TOKENS
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, at in enumerate(range(0, len(content), width)):
-                    yield pa.RecordBatch.from_pydict({"file_id": [name], "block_no": [k], "payload": [content[at : at + width]]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file_id string, block_no long, payload binary")
+    numbered = files.select("file_id", "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / width))).alias("block_no"))
+    ranges = numbered.select("file_id", "block_no", "path", (F.col("block_no") * width).alias("start"), F.least(F.lit(width), F.col("length") - F.col("block_no") * width).alias("size"))
+    return ranges.repartition(partitions(files.sparkSession), "file_id", "block_no")
 
 
-def count_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
-    """file_id, ordinal, n_tokens, closed: a row for each document of each file."""
-    key = blocks.schema["file_id"].dataType.simpleString()
+def count_tokens(files: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
+    """file_id, ordinal, n_tokens, closed: a row for each document of each file (file_id, path, length)."""
+    key = files.schema["file_id"].dataType.simpleString()
 
     def search(chunks: Iterator[list[list]]) -> Iterator[dict]:
-        for files, numbers, payloads in chunks:
-            out: dict[str, list] = {"file_id": files, "block_no": numbers, "n_tokens": [], "n_ended": [], "after": [], "gaps": []}
-            for payload in payloads:
-                ids = np.frombuffer(payload, dtype)
+        for names, numbers, paths, starts, sizes in chunks:
+            out: dict[str, list] = {"file_id": names, "block_no": numbers, "n_tokens": [], "n_ended": [], "after": [], "gaps": []}
+            for path, start, size in zip(paths, starts, sizes):
+                system, place = _opened(path)
+                with system.open_input_file(place) as held:
+                    ids = np.frombuffer(held.read_at(size, start), dtype)
                 ends = np.flatnonzero(ids == separator)
                 out["n_tokens"].append(len(ids))
                 out["n_ended"].append(len(ends))
@@ -90,7 +107,7 @@ def count_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataF
                 out["gaps"].append((np.diff(ends, prepend=-1) - 1).tolist())
             yield out
 
-    found = map_rows(blocks, ["file_id", "block_no", "payload"], search, f"file_id {key}, block_no long, n_tokens long, n_ended long, after long, gaps array<long>")
+    found = map_rows(blocks_of(files, dtype), ["file_id", "block_no", "path", "start", "size"], search, f"file_id {key}, block_no long, n_tokens long, n_ended long, after long, gaps array<long>")
     order = Window.partitionBy("file_id").orderBy("block_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     scanned = (
@@ -111,6 +128,6 @@ def count_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataF
 
 def document_tokens(docs: DataFrame, path: str, separator: int, dtype: str = "<u2") -> DataFrame:
     """doc_id, file_id, ordinal, n_tokens: counts read back from the flat files of ``docs``."""
-    blocks, manifest = flatten(docs, path, separator, dtype)
+    files, manifest = flatten(docs, path, separator, dtype)
     names = manifest.select("file_id", "first", F.posexplode("doc_ids").alias("k", "doc_id")).select("file_id", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
-    return names.join(count_tokens(blocks, separator, dtype), ["file_id", "ordinal"]).select("doc_id", "file_id", "ordinal", "n_tokens")
+    return names.join(count_tokens(files, separator, dtype), ["file_id", "ordinal"]).select("doc_id", "file_id", "ordinal", "n_tokens")
