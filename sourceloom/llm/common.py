@@ -18,6 +18,8 @@ from ..session import ship
 BATCH_BYTES = 2 << 20
 #: a key with more than this part of all rows is hot
 HOT_KEYS = 1000
+#: removes a query's shuffle files when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _own: dict[str, str] = {}
@@ -45,12 +47,18 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what lies
-    before. The files go when the application ends.
+    before. The shuffle files of the write go with it, as nothing reads them
+    again; the files written go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,8 +16,8 @@ coarse first and refined only where they hold several documents:
 3. Buckets with several contexts are refined byte by byte: suffixes of the
    contexts are put in buckets by their first 8 bytes, then sorted on pairs of
    bucket identifiers, their own and that at a later offset, whose refined
-   identifiers are used again for 16, 32 and then LENGTH bytes. Singletons need
-   no further sorting and are left out of each next round.
+   identifiers are written back and used again for 16, 32 and then LENGTH bytes.
+   Only places that still share a bucket are sorted in the next round.
 
 A context is told by 104 bits of hash; step 3 compares bytes.
 
@@ -89,34 +89,47 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
 def repeated(texts: list[bytes], docs: np.ndarray, valid: list[np.ndarray]) -> list[np.ndarray]:
     """Which LENGTH-byte strings of some byte runs also start in a run of a smaller document.
 
-    ``valid`` has each run's string starts. Buckets are refined by sorting on
-    bucket identifiers; returns a mask over each run's starts.
+    ``valid`` has each run's string starts. A place's bucket is told by the rank
+    of the bucket's first place. Each round sorts only the places that share
+    their bucket with others, by their bucket and that of a later offset, and
+    writes the refined identifiers back, for the next round to use; places alone
+    in a bucket keep theirs. Returns a mask over each run's starts.
     """
     base, _ = _starts(texts)
     codes = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     n = len(codes) - 8
     # initial buckets: the first 8 bytes, as a number
-    bucket = np.zeros(n, np.uint64)
+    head = np.zeros(n, np.uint64)
     for k in range(8):
-        bucket = bucket << np.uint64(8) | codes[k : k + n].astype(np.uint64)
+        head = head << np.uint64(8) | codes[k : k + n].astype(np.uint64)
+    order = np.argsort(head, kind="stable")
+    bucket, shared = _numbered(np.append(True, head[order][1:] != head[order][:-1])[:n], np.zeros(n, np.int64), np.arange(n))
+    pointer = np.empty(n, np.int64)
+    pointer[order] = bucket
+    open_ = order[shared]
+    for done in (8, 16, 32):
+        later = pointer[np.minimum(open_ + min(done, LENGTH - done), n - 1)]
+        at = np.lexsort((later, pointer[open_]))
+        open_, later = open_[at], later[at]
+        old = pointer[open_]
+        parted = np.append(True, old[1:] != old[:-1])[: len(old)]
+        turn = parted | np.append(True, later[1:] != later[:-1])[: len(old)]
+        firsts = np.maximum.accumulate(np.where(parted, np.arange(len(old)), 0))
+        pointer[open_], shared = _numbered(turn, old - firsts, np.arange(len(old)))
+        open_ = open_[shared]
     starts = np.concatenate([b + v for b, v in zip(base, valid)]).astype(np.int64)
     owner = np.repeat(docs, [len(v) for v in valid])
-    live = np.arange(len(starts))
-    for done in (8, 16, 32):
-        step = min(done, LENGTH - done)
-        ranks = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
-        # refine every place that a live string still reaches, from its own and a later bucket
-        later = np.minimum(np.arange(n) + step, n - 1)
-        bucket = (ranks * (ranks.max(initial=0) + 1) + ranks[later]).astype(np.uint64)
-        if done < 32:
-            keys, where, counts = np.unique(bucket[starts[live]], return_inverse=True, return_counts=True)
-            live = live[counts[where] > 1]
-    keys, where = np.unique(bucket[starts[live]], return_inverse=True)
+    keys, where = np.unique(pointer[starts], return_inverse=True)
     least = np.full(len(keys), np.iinfo(np.int64).max)
-    np.minimum.at(least, where, owner[live])
-    again = np.zeros(len(starts), bool)
-    again[live[owner[live] > least[where]]] = True
-    return np.split(again, np.cumsum([len(v) for v in valid])[:-1])
+    np.minimum.at(least, where, owner)
+    return np.split(owner > least[where], np.cumsum([len(v) for v in valid])[:-1])
+
+
+def _numbered(turn: np.ndarray, base: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted places, where ``turn`` says that a bucket begins: each one's bucket, and whether others share it."""
+    first = np.maximum.accumulate(np.where(turn, index, 0)) if len(index) else index
+    sizes = np.diff(np.append(np.flatnonzero(turn), len(index)))
+    return base + first, np.repeat(sizes, sizes) > 1
 
 
 def _by_doc(rows: Iterator[tuple]) -> dict[tuple, list[tuple]]:
@@ -290,11 +303,8 @@ def refined(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs: start, end in bytes), kept (the remaining bytes)."""
-    spark = docs.sparkSession
     control = stored(first_buckets(docs))
-    spark._jvm.System.gc()  # the anchors' shuffle is done with; its files can go before texts are shuffled
     inner = stored(refined(docs, control.where("ask")))
-    spark._jvm.System.gc()
     spans = control.where("not ask").union(inner).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("found"))
 
     def cut(chunks: Iterator[list[list]]) -> Iterator[dict]:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from sourceloom.llm import packing, queries, separators
-from sourceloom.llm.tokens import WordTokenizer, word_bpe
+from sourceloom.llm.tokens import word_bpe
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -131,8 +131,11 @@ def test_op7_groups_with_outsiders(spark):
 
 
 def test_op8_token_counts(spark, sf_dir, texts):
-    encode = WordTokenizer(word_bpe(), True).encode
-    want = {d: len(x) // 4 for d, x in zip(texts, encode([t.encode() for t in texts.values()]))}
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(word_bpe())
+    plain.encode_special_tokens = True
+    want = {d: len(plain.encode(t, add_special_tokens=False).ids) for d, t in texts.items()}
     assert {r.doc_id: r.n_tokens for r in queries.op8_token_counts(spark, sf_dir).collect()} == want
 
 
@@ -142,7 +145,7 @@ def test_op8_flat_files_and_blocks(spark, tmp_path, monkeypatch):
     for name in "ab":
         ids = rng.integers(0, 3, 57).astype("<u2")
         (tmp_path / name).write_bytes(ids.tobytes())
-    rows = separators.count_tokens(separators.read_flat(spark, str(tmp_path)), 0).collect()
+    rows = separators.count_tokens(separators.flat_files(spark, str(tmp_path)), 0).collect()
     for name in "ab":
         ids = np.frombuffer((tmp_path / name).read_bytes(), "<u2")
         ends = np.flatnonzero(ids == 0)
@@ -151,6 +154,34 @@ def test_op8_flat_files_and_blocks(spark, tmp_path, monkeypatch):
         assert got == want
 
 
+def test_op8_ids_that_do_not_fit(spark):
+    docs = spark.createDataFrame([(1, "some plain words")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        separators.document_tokens(docs, word_bpe(), 255, "<u1").collect()
+
+
+def test_op2_bucket_pointers_against_all_pairs():
+    """Runs over two letters, so that buckets stay shared for many rounds."""
+    from sourceloom.llm.suffixes import LENGTH, repeated
+
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        shared = rng.integers(97, 99, 400).astype(np.uint8).tobytes()
+        runs, docs = [], []
+        for d in range(12):
+            at, size = int(rng.integers(0, 300)), int(rng.integers(50, 100))
+            runs.append(shared[at : at + size] if rng.random() < 0.7 else bytes([97 + trial % 2]) * size)
+            docs.append(int(rng.integers(0, 6)))
+        docs = np.array(docs, np.int64)
+        first = {}
+        for r, d in zip(runs, docs.tolist()):
+            for k in range(len(r) - LENGTH + 1):
+                first[r[k : k + LENGTH]] = min(d, first.get(r[k : k + LENGTH], d))
+        got = repeated(runs, docs, [np.arange(len(r) - LENGTH + 1) for r in runs])
+        for r, d, mask in zip(runs, docs.tolist(), got):
+            assert mask.tolist() == [first[r[k : k + LENGTH]] < d for k in range(len(r) - LENGTH + 1)]
+
+
 def test_op9_chat(spark, sf_dir):
     rows = {r.conv_id: r for r in queries.op9_chat(spark, sf_dir).collect()}
     turns = defaultdict(list)
