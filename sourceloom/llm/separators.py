@@ -130,4 +130,5 @@ def document_tokens(docs: DataFrame, path: str, separator: int, dtype: str = "<u
     """doc_id, file_id, ordinal, n_tokens: counts read back from the flat files of ``docs``."""
     files, manifest = flatten(docs, path, separator, dtype)
     names = manifest.select("file_id", "first", F.posexplode("doc_ids").alias("k", "doc_id")).select("file_id", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
-    return names.join(count_tokens(files, separator, dtype), ["file_id", "ordinal"]).select("doc_id", "file_id", "ordinal", "n_tokens")
+    # both sides grow with the documents: neither may be broadcast, however small its file looks
+    return names.join(count_tokens(files, separator, dtype).hint("merge"), ["file_id", "ordinal"]).select("doc_id", "file_id", "ordinal", "n_tokens")
