@@ -9,20 +9,45 @@ from pyspark.sql import functions as F
 VARIABLE = r"(?<![\w:]):(?!\d)\w+(?:\.\w+|\[[^\]]+\])?(?::\w+)?"
 #: the same without lookaround, for engines that lack it; the text must hold no time literals
 PLAIN_VARIABLE = r":[A-Za-z_]\w*(?:\.\w+|\[[^\]]+\])?(?::\w+)?"
-#: format models that look like variables inside strings
-BLACKLIST = ("MI", "SS", "HH24", "HH", "MM", "DD", "YYYY", "mi", "ss", "hh24", "hh", "mm", "dd", "yyyy")
+# fixed values: words after a colon that are no variables
+TIME_FORMATS = (
+    "HH", "HH12", "HH24", "MI", "SS", "SSSSS", "FF", "FF1", "FF2", "FF3", "FF4", "FF5", "FF6", "AM", "PM", "A", "P",
+    "DD", "DY", "DAY", "MM", "MON", "MONTH", "YY", "YYYY", "RRRR", "RR", "YEAR", "DDD", "WW", "W", "Q", "J",
+    "TZH", "TZM", "TZR", "TZD", "CC", "SCC", "SYYYY", "BC", "AD",
+)
+DB2_REGISTERS = ("CURRENT", "DATE", "TIME", "TIMESTAMP", "USER", "SCHEMA", "PATH", "TIMEZONE", "CLIENT_ACCTNG", "CLIENT_APPLNAME", "CLIENT_USERID", "CLIENT_WRKSTNNAME")
+POSTGRESQL_TYPES = (
+    "INTEGER", "INT", "BIGINT", "SMALLINT", "NUMERIC", "DECIMAL", "REAL", "FLOAT", "VARCHAR", "CHAR", "TEXT",
+    "BOOLEAN", "BOOL", "DATE", "TIME", "TIMESTAMP", "JSON", "JSONB", "UUID", "BYTEA", "INTERVAL",
+)
+SINGLE_LETTERS = ("N", "Y")
+# fixed value: where an INTO list ends
 INTO = r"(?is)\bINTO\b(.*?)(?:\bFROM\b|\bWHERE\b|\bVALUES\b|;|$)"
 
 
+def blacklist(*sets: tuple[str, ...], add: tuple[str, ...] = (), remove: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """The words of some sets, each once, with some more and without some; in upper case."""
+    left = {w.upper() for w in remove}
+    return tuple(dict.fromkeys(w.upper() for words in (*sets, add) for w in words if w.upper() not in left))
+
+
+#: format models; one-letter ones are common variable names, so only ``blacklist`` with them leaves those out
+BLACKLIST = blacklist(TIME_FORMATS, remove=("A", "P", "W", "Q", "J"))
+
+
+def blacklisted(name: Column, words: tuple[str, ...] = BLACKLIST) -> Column:
+    return F.upper(name).isin(*words)
+
+
 def masked(text: Column) -> Column:
     """String literals replaced by empty ones, so that colons inside them are not variables."""
     return F.regexp_replace(text, r"'(?:[^']|'')*'", "''")
 
 
-def variables(text: Column, blacklist: tuple[str, ...] = BLACKLIST) -> Column:
+def variables(text: Column, words: tuple[str, ...] = BLACKLIST) -> Column:
     """All variables in order of place, with repeats."""
     found = F.regexp_extract_all(masked(text), F.lit(VARIABLE), F.lit(0))
-    return F.filter(found, lambda v: ~F.regexp_extract(v, r":(\w+)", 1).isin(*blacklist))
+    return F.filter(found, lambda v: ~blacklisted(name_of(v), words)) if words else found
 
 
 def name_of(variable: Column) -> Column:
@@ -46,7 +71,7 @@ def outputs(text: Column, kind: Column) -> Column:
 def inputs(text: Column, kind: Column) -> Column:
     """All others, told apart by place: the INTO span is cut out first."""
     rest = F.when(kind.isin("select", "fetch_into"), F.regexp_replace(masked(text), r"(?is)\bINTO\b.*?(?=\bFROM\b|\bWHERE\b|;|$)", " ")).otherwise(masked(text))
-    return F.filter(F.regexp_extract_all(rest, F.lit(VARIABLE), F.lit(0)), lambda v: ~name_of(v).isin(*BLACKLIST))
+    return F.filter(F.regexp_extract_all(rest, F.lit(VARIABLE), F.lit(0)), lambda v: ~blacklisted(name_of(v)))
 
 
 def inputs_by_value(text: Column, kind: Column) -> Column:

@@ -81,27 +81,38 @@ def parameters(c: Column, listed: Column, by_camel: bool = False) -> Column:
 
 
 def split_columns(c: Column) -> Column:
-    """A list split at commas outside parentheses."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("cur"), F.expr("cast(array() as array<string>)").alias("out"))
+    """A list split at commas outside parentheses: pieces between commas, joined while one is open.
 
-    def step(acc: Column, ch: Column) -> Column:
-        depth = acc["depth"] + F.when(ch == "(", 1).when(ch == ")", -1).otherwise(0)
-        cut = (ch == ",") & (acc["depth"] == 0)
-        return F.struct(depth.alias("depth"), F.when(cut, F.lit("")).otherwise(F.concat(acc["cur"], ch)).alias("cur"), F.when(cut, F.array_append(acc["out"], F.trim(acc["cur"]))).otherwise(acc["out"]).alias("out"))
+    Linear in the list's length; only the pieces, not the characters, are folded.
+    """
+    depth = lambda x: F.length(F.regexp_replace(x, r"[^(]", "")) - F.length(F.regexp_replace(x, r"[^)]", ""))
+    start = F.struct(F.lit(0).alias("open"), F.expr("cast(array() as array<string>)").alias("part"), F.expr("cast(array() as array<string>)").alias("out"))
 
-    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), start, step, lambda acc: F.array_append(acc["out"], F.trim(acc["cur"])))
+    def step(acc: Column, piece: Column) -> Column:
+        now, part = acc["open"] + depth(piece), F.array_append(acc["part"], piece)
+        none = F.expr("cast(array() as array<string>)")
+        return F.when(now == 0, F.struct(now.alias("open"), none.alias("part"), F.array_append(acc["out"], F.trim(F.array_join(part, ","))).alias("out"))).otherwise(F.struct(now.alias("open"), part.alias("part"), acc["out"].alias("out")))
+
+    def end(acc: Column) -> Column:
+        return F.when(F.size(acc["part"]) > 0, F.array_append(acc["out"], F.trim(F.array_join(acc["part"], ",")))).otherwise(acc["out"])
+
+    return F.aggregate(F.split(c, ","), start, step, end)
 
 
 def select_columns(c: Column) -> Column:
     return split_columns(F.regexp_extract(c, r"(?is)\bSELECT\s+(.*?)\s+(?:INTO|FROM)\b", 1))
 
 
+#: a SELECT's text up to its columns, the columns, and the rest
+_SELECT = r"(?is)^(.*?\bSELECT\s+)(.*?)(\s+(?:INTO|FROM)\b.*)$"
+
+
 def with_aliases(c: Column, out_vars: Column) -> Column:
-    """`` AS alias`` after each selected column that has none, from the output variables in order."""
-    listed = F.regexp_extract(c, r"(?is)\bSELECT\s+(.*?)\s+(?:INTO|FROM)\b", 1)
+    """`` AS alias`` after each selected column that has none, from the output variables in order; the rest of the text stays."""
+    head, listed, rest = (F.regexp_extract(c, _SELECT, k) for k in (1, 2, 3))
     columns = split_columns(listed)
     named = F.zip_with(columns, F.slice(out_vars, F.lit(1), F.size(columns)), lambda col, v: F.when(v.isNull() | F.regexp_like(col, F.lit(r"(?i)\sAS\s+\w+\s*$")), col).otherwise(F.concat(col, F.lit(" AS "), camel(name_of(v)))))
-    return F.when((listed == "") | (F.size(out_vars) == 0), c).otherwise(F.replace(c, listed, F.array_join(named, ", ")))
+    return F.when((listed == "") | (F.size(out_vars) == 0), c).otherwise(F.concat(head, F.array_join(named, ", "), rest))
 
 
 def mapper_sql(c: Column, kind: Column, out_vars: Column, in_vars: Column) -> Column:
@@ -173,6 +184,8 @@ ORACLE_TO_MYSQL = [
     (r"(?i)\bTO_DATE\s*\(", "STR_TO_DATE("),
     (r"(?i)\bSUBSTR\s*\(", "SUBSTRING("),
     (r"(?i)\bINSTR\s*\(", "LOCATE("),
+    (r"(?i)\bADD_MONTHS\s*\(([^,]+),\s*([^)]+)\)", "DATE_ADD($1, INTERVAL $2 MONTH)"),
+    (r"(?i)\bMONTHS_BETWEEN\s*\(([^,]+),\s*([^)]+)\)", "TIMESTAMPDIFF(MONTH, $2, $1)"),
 ]
 DB2_TO_MYSQL = [
     (r"(?i)\bVALUE\s*\(", "IFNULL("),
@@ -212,7 +225,7 @@ def decode_to_case(c: Column) -> Column:
 
 def concat_calls(c: Column) -> Column:
     for _ in range(CONCATS):
-        c = F.regexp_replace(c, r"^(.*?)(\S+)\s*\|\|\s*(\S+)", "$1CONCAT($2, $3)")
+        c = F.regexp_replace(c, r"(?s)^(.*?)(\S+)\s*\|\|\s*(\S+)", "$1CONCAT($2, $3)")
     return c
 
 
@@ -223,6 +236,27 @@ def oracle_to_mysql(c: Column) -> Column:
 DIALECTS: dict[tuple[str, str], Rewrite] = {("oracle", "mysql"): oracle_to_mysql, ("db2", "mysql"): chain(*DB2_TO_MYSQL), ("mysql", "oracle"): chain(*MYSQL_TO_ORACLE)}
 
 
+def needs_paging(kind: Column, cursor_based: Column, wanted: Column) -> Column:
+    """Whether a statement is to be paged: a select or a declared cursor that is read by cursor, or asks for it."""
+    return kind.isin("select", "declare_cursor") & (F.coalesce(cursor_based, F.lit(False)) | F.coalesce(wanted, F.lit(False)))
+
+
+def first_rows(c: Column, limit: str = "#{limit}") -> Column:
+    """The other dialect's form without an offset: the first rows only."""
+    bare = F.regexp_replace(c, r"[\s;]+$", "")
+    return F.when(F.regexp_like(c, F.lit(r"(?i)\bFETCH\s+FIRST\b")), c).otherwise(F.concat(bare, F.lit(f" FETCH FIRST {limit} ROWS ONLY")))
+
+
+def default_input(variable: Column) -> Column:
+    """An input variable as a parameter in camelCase."""
+    return F.concat(F.lit("#{"), camel(name_of(variable)), F.lit("}"))
+
+
+def default_output(variable: Column) -> Column:
+    """An output variable as a result name in camelCase."""
+    return camel(name_of(variable))
+
+
 def paged(c: Column, dbms: str, offset: str = "#{offset}", limit: str = "#{limit}") -> Column:
     """Row limits as a dialect has them, unless the text has its own."""
     has = F.regexp_like(c, F.lit(r"(?i)\bLIMIT\b|\bFETCH\s+(?:FIRST|NEXT)\b|\bROWNUM\b"))

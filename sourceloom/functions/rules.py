@@ -124,11 +124,55 @@ def tag(kind: Column, tags: tuple[dict[str, str], str] = CONVERTER_TAGS) -> Colu
     return out
 
 
-def classify_by_table(df: DataFrame, rules: DataFrame, text: str = "sql_text", key: str = "line_start") -> DataFrame:
-    """Rules from a table, all of them (name, priority, ord, pattern): the first by priority wins; adds ``rule``."""
-    best = Window.partitionBy(key).orderBy(F.desc("priority"), "ord")
-    hits = df.select(key, text).join(rules, F.expr(f"regexp_like({text}, pattern)")).withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select(key, F.col("name").alias("rule"))
-    return df.join(hits, key, "left").fillna("unknown", ["rule"])
+#: a table of rules is compiled into the plan; a longer one is no table of rules
+MOST_RULES = 10_000
+
+
+def classify_by_table(df: DataFrame, rules: DataFrame, text: str = "sql_text") -> DataFrame:
+    """Rules from a table (name, priority, ord, pattern): the first by priority wins; adds ``rule``.
+
+    The rules become one CASE over the text, so rows are neither joined nor told apart by a key.
+    """
+    found = rules.orderBy(F.desc("priority"), "ord", "name").limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    arms = [F.when(F.regexp_like(text, F.lit(r.pattern)), r["name"]) for r in found]
+    return df.withColumn("rule", F.coalesce(*arms, F.lit("unknown")))
+
+
+def strict_type(text: Column, kinds: RuleSet | None = None) -> Column:
+    """The kind by ordered names; null where no rule knows the statement, whose block a caller may drop."""
+    return F.nullif((kinds or RuleSet()).compile(text), F.lit("unknown"))
+
+
+def kind_by_substring(text: Column) -> Column:
+    """select, declare_cursor, insert, update, delete, fetch_into or unknown, by what a text begins with or holds."""
+    up = F.upper(F.trim(text))
+    is_ = lambda w: F.startswith(up, F.lit(w)) | F.contains(up, F.lit(f"EXEC SQL {w}"))
+    cursor = F.contains(up, F.lit("DECLARE")) & F.contains(up, F.lit("CURSOR"))
+    return F.when(is_("SELECT"), "select").when(cursor, "declare_cursor").when(is_("INSERT"), "insert").when(is_("UPDATE"), "update").when(is_("DELETE"), "delete").when(is_("FETCH"), "fetch_into").otherwise("unknown")
+
+
+# fixed values: types of C, and kinds that change a schema
+PRIMITIVES = ("int", "char", "long", "short", "float", "double", "void", "unsigned", "signed", "varchar")
+DDL = ("create", "alter", "drop", "truncate")
+
+
+def is_primitive(type_name: Column) -> Column:
+    return F.lower(F.trim(type_name)).isin(*PRIMITIVES)
+
+
+def is_custom_struct(type_name: Column) -> Column:
+    return ~is_primitive(type_name)
+
+
+def is_ddl(kind: Column) -> Column:
+    return F.lower(kind).isin(*DDL)
+
+
+def typed_headers(headers: DataFrame, text: str = "content", name: str = "file_id") -> DataFrame:
+    """header_type, n, files: all headers by type."""
+    return headers.select(header_type(F.col(text)).alias("header_type"), name).groupBy("header_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(name)).alias("files"))
 
 
 def header_type(text: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
+
 from ..functions.rewrite import camel
 
 #: rungs of name matching, best first: (rule, confidence, key of the left name, key of the right name)
@@ -41,38 +43,37 @@ def name_links(left: DataFrame, right: DataFrame, link_type: str, *same: str) ->
     return matched.select("source_id", "target_id", F.lit(link_type).alias("link_type"), best["confidence"].alias("confidence"), best["rule"].alias("rule"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node, depth: all that is reached from the seeds, each once at its least depth.
+def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """node, depth: all that is reached from the seeds, each once at its least depth; nothing is followed beyond ``stop`` nodes."""
+    rooted = reach(edges, seeds.select(F.lit(0).alias("root"), "node").distinct(), None, stop)
+    return rooted.select("node", "depth")
+
+
+def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, stop: DataFrame | None = None) -> DataFrame:
+    """root, node, depth: all that is reached from each (root, node), each once at its least depth, up to ``most`` hops.
 
-    Frontiers grow by joins until one is empty, and nodes already reached are left
-    out, so cycles end. Each frontier is kept, and now and then what is reached, so
-    that neither plan nor parts grow with the depth.
+    Frontiers grow by joins until one is empty, and what is already reached is
+    left out, so cycles end and no path is walked twice. Each frontier is stored,
+    and now and then what is reached, so that plans don't grow with the depth.
     """
-    kept = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
-    reached = kept(seeds.select(F.col("node"), F.lit(0).alias("depth")).distinct())
+    reached = stored(starts.select("root", "node", F.lit(0).alias("depth")).distinct())
     frontier = reached
     for depth in itertools.count(1):
-        new = frontier.join(edges, frontier["node"] == edges["source_id"]).select(F.col("target_id").alias("node")).distinct()
-        frontier = kept(new.join(reached.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+        if most is not None and depth > most:
+            return reached
+        going = frontier if stop is None else frontier.join(stop.select("node"), "node", "left_anti")
+        new = going.join(edges, F.col("node") == F.col("source_id")).select("root", F.col("target_id").alias("node")).distinct()
+        frontier = stored(new.join(reached.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             return reached
         reached = reached.union(frontier)
         if depth % 16 == 0:
-            reached = kept(reached.repartition("node"))
-
-
-CLOSURE_SQL = """
-WITH RECURSIVE walk(root, node, depth, path) AS (
-  SELECT node, node, 0, concat('/', CAST(node AS STRING), '/') FROM {seeds}
-  UNION ALL
-  SELECT w.root, e.target_id, w.depth + 1, concat(w.path, CAST(e.target_id AS STRING), '/')
-  FROM walk w JOIN {edges} e ON e.source_id = w.node WHERE w.depth < 10 AND w.path NOT LIKE concat('%/', CAST(e.target_id AS STRING), '/%'))
-SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node"""
+            reached = stored(reached)
 
 
-def call_chains(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """root, node, depth: callees up to ten calls away at their least depth; the path test ends cycles."""
-    return edges.sparkSession.sql(CLOSURE_SQL, edges=edges, seeds=seeds)
+def call_chains(edges: DataFrame, seeds: DataFrame, most: int = 10) -> DataFrame:
+    """root, node, depth: callees up to ``most`` calls away at their least depth."""
+    return reach(edges, seeds.select(F.col("node").alias("root"), "node"), most)
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, up: bool) -> DataFrame:

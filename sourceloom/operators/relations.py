@@ -6,7 +6,7 @@ by file (and name or function); what remains is a range or a window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +37,8 @@ def _named(stmts: DataFrame, pattern: str) -> DataFrame:
 def cursor_groups(stmts: DataFrame) -> DataFrame:
     """A row for each declared cursor: first OPEN, all FETCH and first CLOSE after it, by whole name.
 
+    ``is_loop``: more than one FETCH; ``reads_rows``: that, or a FETCH with outputs.
+
     One pass over each (file, cursor name): a later DECLARE of the name starts a
     new group, so the join with all later statements becomes a running count.
     """
@@ -49,41 +51,56 @@ def cursor_groups(stmts: DataFrame) -> DataFrame:
         first("open_cursor").alias("open_line"),
         first("close_cursor").alias("close_line"),
         F.count(F.when(F.col("sql_type") == "fetch_into", 1)).alias("fetches"),
-    ).withColumn("is_loop", F.col("fetches") > 1)
+        F.coalesce(F.bool_or(F.when(F.col("sql_type") == "fetch_into", F.regexp_like("sql_text", F.lit(r"(?is)\bINTO\s+:")))), F.lit(False)).alias("_out"),
+    ).select("file_id", "name", "decl", "declare_line", "open_line", "close_line", "fetches", (F.col("fetches") > 1).alias("is_loop"), ((F.col("fetches") > 1) | F.col("_out")).alias("reads_rows"), numbered_id("cursor", F.col("name"), F.col("decl")).alias("relationship_id"))
 
 
 def dynamic_groups(stmts: DataFrame) -> DataFrame:
-    """A row for each PREPARE: the EXECUTE statements that follow it by name, up to the next PREPARE."""
-    named = _named(stmts.where(F.col("sql_type").isin("prepare", "execute")), _PREPARED)
+    """A row for each PREPARE: the EXECUTE statements and the first DEALLOCATE that follow it by name, up to the next PREPARE."""
+    freed = F.regexp_like("sql_text", F.lit(r"(?i)\bDEALLOCATE\s+PREPARE\b"))
+    kind = F.when(freed, "deallocate").otherwise(F.col("sql_type"))
+    named = _named(stmts.withColumn("_kind", kind).where(F.col("_kind").isin("prepare", "execute", "deallocate")), _PREPARED)
     order = Window.partitionBy("file_id", "name").orderBy("line_start")
-    grouped = named.withColumn("prep", F.sum((F.col("sql_type") == "prepare").cast("long")).over(order)).where("prep > 0")
-    return grouped.groupBy("file_id", "name", "prep").agg(F.min(F.when(F.col("sql_type") == "prepare", F.col("line_start"))).alias("prepare_line"), F.count(F.when(F.col("sql_type") == "execute", 1)).alias("executions"))
+    grouped = named.withColumn("prep", F.sum((F.col("_kind") == "prepare").cast("long")).over(order)).where("prep > 0")
+    first = lambda k: F.min(F.when(F.col("_kind") == k, F.col("line_start")))
+    return grouped.groupBy("file_id", "name", "prep").agg(
+        first("prepare").alias("prepare_line"), F.count(F.when(F.col("_kind") == "execute", 1)).alias("executions"), first("deallocate").alias("deallocate_line")
+    ).withColumn("relationship_id", numbered_id("dynamic_sql", F.col("name"), F.col("prep")))
 
 
 BOUNDARIES = ("commit", "rollback")
 
 
 def closing_boundary(stmts: DataFrame, by: tuple[str, ...] = ("file_id", "function")) -> DataFrame:
-    """Each other statement with the first commit or rollback on a later line of its function: a forward as-of join as a window."""
-    after = Window.partitionBy(*by).orderBy("line_start").rangeBetween(1, Window.unboundedFollowing)
+    """Each other statement with the first commit or rollback on a later line of its function, and whether a rollback follows that.
+
+    A forward as-of join as one window: from the last line up, the least boundary
+    so far, which grows with the frame and is not computed anew for each row.
+    """
+    after = Window.partitionBy(*by).orderBy(F.desc("line_start")).rangeBetween(Window.unboundedPreceding, -1)
     boundary = F.when(F.col("sql_type").isin(*BOUNDARIES), F.col("line_start"))
     rollback = F.when(F.col("sql_type") == "rollback", F.col("line_start"))
     return (
         stmts.withColumn("boundary_line", F.min(boundary).over(after))
-        .withColumn("has_rollback", F.min(rollback).over(after).isNotNull())
+        .withColumn("has_rollback", F.coalesce(F.max(rollback).over(Window.partitionBy(*by)) > F.col("boundary_line"), F.lit(False)))
         .where(~F.col("sql_type").isin(*BOUNDARIES, "connect"))
     )
 
 
 def transactions(stmts: DataFrame) -> DataFrame:
-    """A row for each boundary with statements before it: how many, and its id by ordinal in the file."""
-    closed = closing_boundary(stmts).where("boundary_line is not null").groupBy("file_id", "function", "boundary_line").agg(F.count(F.lit(1)).alias("statements"))
+    """A row for each boundary with statements before it: how many, whether a rollback follows, and its id by ordinal in the file."""
+    closed = closing_boundary(stmts).where("boundary_line is not null").groupBy("file_id", "function", "boundary_line").agg(F.count(F.lit(1)).alias("statements"), F.bool_or("has_rollback").alias("has_rollback"))
     ordinal = Window.partitionBy("file_id").orderBy("line_start")
     numbered = stmts.where(F.col("sql_type").isin(*BOUNDARIES)).withColumn("ordinal", F.row_number().over(ordinal))
     ends = numbered.select("file_id", F.col("line_start").alias("boundary_line"), (F.col("sql_type") == "commit").alias("is_commit"), F.format_string("transaction_%03d", F.col("ordinal")).alias("relationship_id"))
     return closed.join(ends, ["file_id", "boundary_line"])
 
 
+def numbered_id(kind: str, name: Column, ordinal: Column) -> Column:
+    """The id of a relationship: kind, name and its number, in three places."""
+    return F.format_string("%s_%s_%03d", F.lit(kind), name, ordinal.cast("long"))
+
+
 def array_dml(stmts: DataFrame) -> DataFrame:
     """Statements with an array clause: its size, the subscripted variables, the kind of change."""
     text = F.col("sql_text")
@@ -94,6 +111,7 @@ def array_dml(stmts: DataFrame) -> DataFrame:
         F.regexp_extract(text, r"(?i)\bFOR\s+(:\w+|\d+)", 1).alias("size_var"),
         F.array_distinct(F.regexp_extract_all(text, F.lit(r":(\w+)\["), F.lit(1))).alias("array_vars"),
         F.upper(F.regexp_extract(text, r"(?i)\b(INSERT|UPDATE|DELETE)\b", 1)).alias("dml"),
+        numbered_id("array", F.coalesce("function", F.lit("unknown")), F.row_number().over(Window.partitionBy("file_id").orderBy("line_start"))).alias("relationship_id"),
     )
 
 
@@ -113,6 +131,30 @@ def merged_cursor(fetch_vars: DataFrame) -> DataFrame:
     return fetch_vars.groupBy("file_id", "name").agg(F.concat(F.lit("INTO "), F.array_join(bare, ", ")).alias("into_clause"))
 
 
+def merged_cursor_sql(declare: Column, into_clause: Column) -> Column:
+    """A declared cursor's query with the INTO clause of its fetches before its first FROM, or at its end."""
+    query = F.regexp_replace(F.regexp_extract(declare, r"(?is)\bCURSOR\s+FOR\s+(.+)", 1), r"(?i)^\s*EXEC\s+SQL\s+|[\s;]+$", "")
+    has = F.regexp_like(query, F.lit(r"(?i)\bFROM\b"))
+    placed = F.when(has, F.concat(F.regexp_extract(query, r"(?is)^(.*?)\bFROM\b", 1), into_clause, F.lit(" "), F.regexp_extract(query, r"(?is)^.*?(\bFROM\b.*)$", 1))).otherwise(F.concat(query, F.lit(" "), into_clause))
+    return F.when(into_clause.isNull(), query).otherwise(placed)
+
+
+def declared_scope(variables: DataFrame, sections: DataFrame, functions: DataFrame) -> DataFrame:
+    """Variables (file_id, line_start, raw) with their scope: declare_section, static(_local), local or global, in that order.
+
+    One window over each file's lines: the last section and function that began
+    at or before a line say whether the line is inside (neither nests).
+    """
+    spans = sections.select("file_id", "line_start", F.col("line_end").alias("_section"), F.lit(None).cast("long").alias("_function")).unionByName(functions.select("file_id", "line_start", F.lit(None).cast("long").alias("_section"), F.col("line_end").alias("_function")))
+    both = variables.withColumn("_is", F.lit(True)).unionByName(spans.withColumn("_is", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy("file_id").orderBy("line_start", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    inside = lambda c: F.coalesce(F.last(c, True).over(before) >= F.col("line_start"), F.lit(False))
+    static = F.regexp_like("raw", F.lit(r"(?i)^\s*static\b"))
+    placed = both.withColumns({"_in_section": inside("_section"), "_in_function": inside("_function")}).where("_is")
+    scope = F.when(F.col("_in_section"), "declare_section").when(static & F.col("_in_function"), "static_local").when(static, "static").when(F.col("_in_function"), "local").otherwise("global")
+    return placed.withColumn("scope", scope).select(*variables.columns, "scope")
+
+
 def statement_ids(stmts: DataFrame) -> DataFrame:
     """sql_id by place in the file, and a name by kind with its own counter from 0."""
     by_file, by_kind = Window.partitionBy("file_id").orderBy("line_start"), Window.partitionBy("file_id", "sql_type").orderBy("line_start")

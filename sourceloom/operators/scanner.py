@@ -67,8 +67,8 @@ def c_elements(text: str) -> Iterator[dict]:
     """Functions, their calls, global and local declarations and structs, from one pass over tokens."""
     line = Lines(text)
     blocks = [(b["start"], b["end"]) for b in sql_blocks(text)]
-    for a, b in blocks:  # embedded SQL is no C
-        text = text[:a] + re.sub(r"[^\n]", " ", text[a:b]) + text[b:]
+    edges = [0, *(x for block in blocks for x in block), len(text)]  # embedded SQL is no C
+    text = "".join(re.sub(r"[^\n]", " ", text[a:b]) if k % 2 else text[a:b] for k, (a, b) in enumerate(zip(edges, edges[1:])))
     tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in TOKEN.finditer(text) if m.lastgroup not in ("comment", "directive")]
     depth, k, function, open_at = 0, 0, None, 0
     keywords = {"if", "for", "while", "switch", "return", "sizeof", "do", "else", "case", "goto"}
@@ -114,6 +114,55 @@ def c_elements(text: str) -> Iterator[dict]:
         yield {"kind": "variable", "name": m[2], "line_start": line(m.start(2)), "line_end": line(m.end() - 1), "raw": m[0].strip(), "parent": None, "data_type": " ".join(m[1].split()), "args": m[3]}
 
 
+def declare_sections(text: str) -> Iterator[dict]:
+    """Spans and bodies of declare sections, from BEGIN to END; one that never ends is none."""
+    line = Lines(text)
+    for m in re.finditer(r"EXEC\s+SQL\s+BEGIN\s+DECLARE\s+SECTION\s*;(.*?)EXEC\s+SQL\s+END\s+DECLARE\s+SECTION\s*;", text, re.S | re.I):
+        yield {"start": m.start(), "end": m.end(), "line_start": line(m.start()), "line_end": line(m.end() - 1), "raw": m[1].strip("\n")}
+
+
+def plain_blocks(text: str) -> Iterator[dict]:
+    """EXEC SQL up to the next semicolon, whatever stands between: the form that older tools cut by."""
+    line = Lines(text)
+    for m in re.finditer(r"EXEC\s+SQL\s+(.*?);", text, re.S | re.I):
+        yield {"start": m.start(), "end": m.end(), "line_start": line(m.start()), "line_end": line(m.end() - 1), "raw": m[1]}
+
+
+_SQL_TOKEN = re.compile(
+    r"(?P<string>'(?:[^']|'')*')|(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<prefix>\bEXEC\s+SQL\s+)|(?P<array>\bFOR\s+:?\w+(?:\[[^\]]+\])?\s+)"
+    r"|(?P<variable>:[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*(?:\[[^\]]+\])?(?::[A-Za-z_]\w*)?)|(?P<word>\w+)|(?P<space>\s+)|(?P<end>;)|(?P<other>.)",
+    re.S | re.I,
+)
+
+
+def normalized_tokens(text: str, alias: Callable[[str], str] | None = None) -> Iterator[dict]:
+    """A statement token by token: variables as ``?`` (or ``:v AS alias``), the INTO list out, inputs and outputs in order.
+
+    A colon after a digit belongs to a time; an indicator is a variable of its own.
+    """
+    kind = re.sub(r"(?is)--[^\n]*|/\*.*?\*/|\bEXEC\s+SQL\b|^\s*FOR\s+:?\w+(?:\[\w+\])?\s", " ", re.sub(r"(?is)^\s*EXEC\s+SQL\s+", "", text)).split()
+    reads = bool(kind) and kind[0].upper() in ("SELECT", "FETCH")
+    out, inputs, outputs, into = [], [], [], False
+    for m in _SQL_TOKEN.finditer(text):
+        token, word = m.lastgroup, m[0]
+        if token == "word" and word.upper() == "INTO" and reads:
+            into = True
+        elif token == "word" and word.upper() == "FROM" and into:
+            into = False
+            out.append(word)
+        elif token == "array":
+            if ":" in word:
+                inputs.append(re.search(r":\w+(?:\[[^\]]+\])?", word)[0])
+        elif token == "variable" and not text[m.start() - 1 : m.start()].isdigit():
+            main, _, indicator = word[1:].partition(":")
+            (outputs if into else inputs).extend(":" + v for v in (main, indicator) if v)
+            if not into:
+                out.append(f":{main} AS {alias(main.split('[')[0])}" if alias else "?")
+        elif not into and token not in ("prefix", "end"):
+            out.append(" " if token == "space" else word)
+    yield {"sql": " ".join("".join(out).split()), "inputs": inputs, "outputs": outputs}
+
+
 def directives(text: str) -> Iterator[dict]:
     """Includes (system, local, SQL) and macros with values; macros with parameters are left out."""
     line = Lines(text)
@@ -211,6 +260,8 @@ def chunks(text: str, size: int = 4000, overlap: int = 200, near: int = 500) ->
         at, k = max(end - overlap, at + 1), k + 1
 
 
+#: bytes of files whose elements are held at a time
+BATCH_BYTES = 4 << 20
 _SPAN = "start long, end long, line_start long, line_end long, raw string"
 SCANS: dict[str, tuple[Callable[[str], Iterator[dict]], str]] = {
     "sql": (sql_blocks, _SPAN),
@@ -218,6 +269,9 @@ SCANS: dict[str, tuple[Callable[[str], Iterator[dict]], str]] = {
     "c": (c_elements, "kind string, name string, line_start long, line_end long, raw string, parent string, data_type string, args string"),
     "directive": (directives, "kind string, name string, value string, line_start long"),
     "header": (header_fields, "struct_name string, ordinal int, name string, dtype string, size int, decimal int, description string, array_size int"),
+    "section": (declare_sections, _SPAN),
+    "plain_sql": (plain_blocks, _SPAN),
+    "tokens": (normalized_tokens, "sql string, inputs array<string>, outputs array<string>"),
     "chunk": (chunks, "chunk int, start long, end long, raw string"),
 }
 
@@ -230,8 +284,10 @@ def scan_files(files: DataFrame, what: str, key: str = "file_id", text: str = "c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{key: k, "seq": n, **row} for k, t in zip(*(c.to_pylist() for c in batch.columns)) for n, row in enumerate(scan(t or ""))]
-            yield pa.RecordBatch.from_pylist(rows, arrow)
+            step = max(1, min(batch.num_rows, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1)))  # some files' elements at a time
+            for at in range(0, batch.num_rows, step):
+                rows = [{key: k, "seq": n, **row} for k, t in zip(*(c.to_pylist() for c in batch.slice(at, step).columns)) for n, row in enumerate(scan(t or ""))]
+                yield pa.RecordBatch.from_pylist(rows, arrow)
 
     ship(files.sparkSession)
     return files.select(key, text).mapInArrow(run, schema)

@@ -138,7 +138,7 @@ WITH RECURSIVE e AS (SELECT CAST(p_partkey AS BIGINT) AS child, CAST(floor(p_par
 h(node, lvl, path) AS (SELECT child, 1, concat('/', CAST(child AS {string})) FROM e WHERE child BETWEEN 1 AND 6
   UNION ALL SELECT e.child, h.lvl + 1, concat(h.path, '/', CAST(e.child AS {string})) FROM e JOIN h ON e.parent = h.node
   WHERE concat(h.path, '/') NOT LIKE concat('%/', CAST(e.child AS {string}), '/%'))
-SELECT node, CAST(lvl AS BIGINT) AS lvl, path, node NOT IN (SELECT parent FROM e) AS is_leaf FROM h""",
+SELECT node, CAST(lvl AS BIGINT) AS lvl, path, p.parent IS NULL AS is_leaf FROM h LEFT JOIN (SELECT DISTINCT parent FROM e) p ON p.parent = h.node""",
     "r20_regexp_parse": (
         r"SELECT c_custkey, regexp_extract(c_name, '([A-Za-z]+)#?0*([0-9]+)', 2) AS num, regexp_like(c_name, '(?i)customer') AS named FROM {customer}",
         r"SELECT c_custkey, regexp_extract(c_name, '([A-Za-z]+)#?0*([0-9]+)', 2) AS num, regexp_matches(c_name, '(?i)customer') AS named FROM customer",
