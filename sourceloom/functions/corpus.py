@@ -34,3 +34,25 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_statements() -> str:
     """The corpus as a named query ``st`` for the checking engine."""
     return "WITH st AS (" + STATEMENTS.replace("{s}", "VARCHAR").replace("{orders}", "orders") + ")"
+
+
+#: files(file_id, content): a source file for each customer, moved down by some lines and stretched by others
+FILES = """
+SELECT c_custkey AS file_id, concat(repeat(chr(10), CAST(c_custkey % 5 AS INT)), 'int g_count;', chr(10), 'EXEC SQL BEGIN DECLARE SECTION;', chr(10), 'char h_name[20];', chr(10),
+  'int h_', CAST(c_custkey AS {s}), ';', chr(10), 'EXEC SQL END DECLARE SECTION;', chr(10), 'static int s_total;', chr(10), 'void fn_', CAST(c_custkey AS {s}), '(void) ', chr(123), chr(10), '  int loc;', chr(10), '  static int hits;', chr(10),
+  repeat(chr(10), CAST(c_custkey % 3 AS INT)), '  EXEC SQL SELECT a FROM t WHERE x = :h_name;', chr(10), chr(125), chr(10)) AS content
+FROM {customer}"""
+#: headers(file_id, content): a header for each supplier, which includes another and one of the system's
+HEADERS = """
+SELECT concat('h', CAST(s_suppkey AS {s}), '.h') AS file_id, concat('#include "h', CAST(CAST(floor(s_suppkey / 3) AS INT) AS {s}), '.h"', chr(10), '#include <stdio.h>', chr(10),
+  '#define LIMIT_', CAST(s_suppkey AS {s}), ' (s_total + ', CAST(s_nationkey AS {s}), ')', chr(10)) AS content
+FROM {supplier}"""
+
+
+def derived(spark: SparkSession, sf_dir: str, text: str, table: str) -> DataFrame:
+    return spark.sql(text.replace("{s}", "STRING"), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+
+
+def check_derived(name: str, text: str, table: str) -> str:
+    """The same for the checking engine, as a named query."""
+    return f"WITH {name} AS (" + text.replace("{s}", "VARCHAR").replace("{" + table + "}", table) + ")"

@@ -80,6 +80,10 @@ def parameters(c: Column, listed: Column, by_camel: bool = False) -> Column:
     return F.aggregate(F.array_distinct(listed), c, lambda acc, v: F.replace(acc, F.concat(F.lit("#{"), name_of(v), F.lit("}")), F.concat(F.lit("#{"), camel(name_of(v)), F.lit("}"))))
 
 
+def _bare(c: Column) -> Column:
+    return F.btrim(c, F.lit(" \t\r\n"))
+
+
 def split_columns(c: Column) -> Column:
     """A list split at commas outside parentheses: pieces between commas, joined while one is open.
 
@@ -91,10 +95,10 @@ def split_columns(c: Column) -> Column:
     def step(acc: Column, piece: Column) -> Column:
         now, part = acc["open"] + depth(piece), F.array_append(acc["part"], piece)
         none = F.expr("cast(array() as array<string>)")
-        return F.when(now == 0, F.struct(now.alias("open"), none.alias("part"), F.array_append(acc["out"], F.trim(F.array_join(part, ","))).alias("out"))).otherwise(F.struct(now.alias("open"), part.alias("part"), acc["out"].alias("out")))
+        return F.when(now == 0, F.struct(now.alias("open"), none.alias("part"), F.array_append(acc["out"], _bare(F.array_join(part, ","))).alias("out"))).otherwise(F.struct(now.alias("open"), part.alias("part"), acc["out"].alias("out")))
 
     def end(acc: Column) -> Column:
-        return F.when(F.size(acc["part"]) > 0, F.array_append(acc["out"], F.trim(F.array_join(acc["part"], ",")))).otherwise(acc["out"])
+        return F.when(F.size(acc["part"]) > 0, F.array_append(acc["out"], _bare(F.array_join(acc["part"], ",")))).otherwise(acc["out"])
 
     return F.aggregate(F.split(c, ","), start, step, end)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOURCE_SUFFIXES = ("pc", "h")
@@ -46,3 +46,32 @@ def conversion_pairs(spark: SparkSession, path: str) -> DataFrame:
 def session_items(spark: SparkSession, path: str) -> DataFrame:
     """idx, status, comment of a saved session."""
     return spark.read.schema("statuses map<string,string>, comments map<string,string>").option("multiLine", True).json(path).select(F.explode("statuses").alias("idx", "status"), "comments").select(F.col("idx").cast("int"), "status", F.try_element_at("comments", "idx").alias("comment"))
+
+
+def prompts(files: DataFrame) -> DataFrame:
+    """Texts (path, content) that hold both places of a conversion, {asis} and {tobe}."""
+    return files.where(F.contains("content", F.lit("{asis}")) & F.contains("content", F.lit("{tobe}")))
+
+
+def filled(prompt: Column, asis: Column, tobe: Column) -> Column:
+    return F.replace(F.replace(prompt, F.lit("{asis}"), asis), F.lit("{tobe}"), tobe)
+
+
+def with_front_matter(files: DataFrame) -> DataFrame:
+    """Texts (path, content) with their front matter: ``meta`` (keys and values of its lines) and ``body``."""
+    head = F.regexp_extract("content", r"(?s)^---\s*\n(.*?)\n---\s*\n", 1)
+    pairs = F.regexp_extract_all(head, F.lit(r"(?m)^(\w[\w-]*):[ \t]*(.*?)[ \t]*$"), F.lit(0))
+    meta = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^(\w[\w-]*):", 1), F.regexp_replace(F.regexp_extract(x, r":[ \t]*(.*?)[ \t]*$", 1), "^[\"']|[\"']$", ""))))
+    return files.withColumns({"meta": meta, "body": F.regexp_replace("content", r"(?s)^---\s*\n.*?\n---\s*\n", "")})
+
+
+def checklists(files: DataFrame, key: str = "llm_checks") -> DataFrame:
+    """path, ordinal, item: the items of a list under a key of simple YAML texts."""
+    listed = F.regexp_extract("content", rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[^\n]*\n?)+)", 1)
+    items = F.regexp_extract_all(listed, F.lit(r"(?m)^[ \t]*-[ \t]*(.*?)[ \t]*$"), F.lit(1))
+    return files.select("path", F.posexplode(items).alias("ordinal", "item")).withColumn("item", F.regexp_replace("item", "^[\"']|[\"']$", ""))
+
+
+def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Episodes and workflows kept as JSON, a file for each or a line for each."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -67,3 +67,28 @@ def markdown_report(totals: DataFrame) -> DataFrame:
     row = F.format_string("| %s | %d | %d | %d |", F.coalesce("file", F.lit("all")), "n_pass", "n_fail", "n_warning")
     head = totals.sparkSession.createDataFrame([(0, "| file | pass | fail | warning |"), (1, "|---|---|---|---|")], "ord int, value string")
     return head.union(totals.select(F.when(F.col("file").isNull(), 3).otherwise(2).alias("ord"), row.alias("value")))
+
+
+def sql_calls_yaml(stmts: DataFrame) -> DataFrame:
+    """file_id, yaml: a file's statements (sql_id, sql_type, line_start, sql_text) as YAML, texts as literal blocks."""
+    block = F.concat(F.lit("- sql_id: "), "sql_id", F.lit("\n  sql_type: "), "sql_type", F.lit("\n  sql: |\n    "), F.replace("sql_text", F.lit("\n"), F.lit("\n    ")), F.lit("\n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_start", block.alias("b")))), lambda x: x["b"])
+    return stmts.groupBy("file_id").agg(F.concat(F.lit("sql_calls:\n"), F.array_join(ordered, "")).alias("yaml"))
+
+
+def section_files(sections: DataFrame) -> DataFrame:
+    """file_id, name, body: declare sections (seq, raw) as files of their own."""
+    return sections.select("file_id", F.format_string("declare_section_%d.c", F.col("seq")).alias("name"), F.col("raw").alias("body"))
+
+
+def report_html(rows: DataFrame, title: str) -> DataFrame:
+    """html: a report of rows (name, status, message) as one page, in order of names."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    line = F.concat(F.lit("<tr><td>"), esc(F.col("name")), F.lit('</td><td class="'), "status", F.lit('">'), "status", F.lit("</td><td>"), esc(F.col("message")), F.lit("</td></tr>"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("l")))), lambda x: x["l"])
+    return rows.agg(F.concat(F.lit(f"<html><head><title>{title}</title></head><body><table>"), F.array_join(ordered, ""), F.lit("</table></body></html>")).alias("html"))
+
+
+#: statements that prepare a graph store: a unique id for each label, an index on names
+def store_schema(labels: tuple[str, ...]) -> list[str]:
+    return [f"CREATE CONSTRAINT IF NOT EXISTS FOR (n:{x}) REQUIRE n.id IS UNIQUE;" for x in labels] + [f"CREATE INDEX IF NOT EXISTS FOR (n:{x}) ON (n.name);" for x in labels]
