@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with
 the columns of ``documents``; the last returns a row for each packed piece.
+
+Defined results: a null or empty text passes all stages and is packed as its
+terminator; of rows that agree in doc_id and text one stays; a null doc_id stays
+null; columns of any name pass through; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +54,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL has no form for trained scores and token ids; tests/llm compares with a plain version
+#: SQL has no form for trained scores and token ids; tests/llm holds the first two stages against their operators, runs all on odd
+#: and empty tables, and holds each operator against a brute-force version
 ORACLE_SQL = None
 
 
