@@ -202,64 +202,67 @@ def confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def meet(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) found in groups; ``rows``: part, place, block, target, node, label.
+    """Labels (a, b) that a link joins, found in groups; ``rows``: part, place, block, target, node, label.
 
     Within a group each other node is compared with the targets of other labels,
-    and linked with the first similar one of each label.
+    and its label is linked with each that has a similar one, once in a group.
     """
     from ..session import ship
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, targets, index = None, [], None
+        group, targets, index, told = None, [], None, set()
         for batch in batches:
             a, b = [], []
-            for part, place, block, target, node, label, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, place, block, target, label, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if (part, place, block) != group:
-                    group, targets, index = (part, place, block), [], None
+                    group, targets, index, told = (part, place, block), [], None, set()
                 if target:
-                    targets.append((node, label, _unpacked(blob)))
+                    targets.append((label, _unpacked(blob)))
                 elif targets:
                     index = index or _Block(targets)
-                    for other in index.links(node, label, _unpacked(blob)):
-                        a.append(other)
-                        b.append(node)
+                    for other in index.links(label, _unpacked(blob)):
+                        if (other, label) not in told:
+                            told.add((other, label))
+                            a.append(other)
+                            b.append(label)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     ship(rows.sparkSession)
     key = ["part", "place", "block"]
     dealt = rows.join(nodes.select("node", "folded"), "node").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, F.desc("target"), "node")
-    return dealt.select(*key, "target", "node", "label", "folded").mapInArrow(run, "a long, b long")
+    return dealt.select(*key, "target", "label", "folded").mapInArrow(run, "a long, b long")
 
 
 class _Block:
     """Where each shingle of some sets is found."""
 
-    def __init__(self, targets: list[tuple[int, int, np.ndarray]]) -> None:
-        self.nodes = [t[0] for t in targets]
-        self.labels = np.array([t[1] for t in targets])
-        self.sizes = np.array([len(t[2]) for t in targets])
-        hashes, owners = np.concatenate([t[2] for t in targets]), np.repeat(np.arange(len(targets)), self.sizes)
+    def __init__(self, targets: list[tuple[int, np.ndarray]]) -> None:
+        self.labels = np.array([t[0] for t in targets])
+        self.sizes = np.array([len(t[1]) for t in targets])
+        hashes, owners = np.concatenate([t[1] for t in targets]), np.repeat(np.arange(len(targets)), self.sizes)
         order = np.argsort(hashes, kind="stable")
         self.owners, hashes = owners[order], hashes[order]
         self.first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         self.known, self.counts = hashes[self.first], np.diff(np.append(self.first, len(hashes)))
 
-    def links(self, node: int, label: int, own: np.ndarray) -> list[int]:
+    def links(self, label: int, own: np.ndarray) -> list[int]:
+        """The other labels that have a similar set."""
         at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
         at = at[self.known[at] == own]
         counts = self.counts[at]
         places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[at], counts)
-        shared = np.bincount(self.owners[places], minlength=len(self.nodes))
+        shared = np.bincount(self.owners[places], minlength=len(self.sizes))
         near = np.flatnonzero((100 * shared >= SIMILARITY * (self.sizes + len(own) - shared)) & (self.labels != label))
-        return [self.nodes[k] for k in near[np.unique(self.labels[near], return_index=True)[1]]]
+        return np.unique(self.labels[near]).tolist()
 
 
-def blocks_of(targets: DataFrame, probes: DataFrame, part: int) -> DataFrame:
-    """Rows for ``meet``: targets (place, node, label) dealt over blocks, and each probe of their place to all blocks."""
-    sizes = targets.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = targets.join(sizes, "place").select("place", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("target"), "node", "label")
-    sent = probes.join(sizes, "place").select("place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("target"), "node", "label")
-    return dealt.union(sent).select(F.lit(part).alias("part"), "place", "block", "target", "node", "label")
+def blocks_of(targets: DataFrame, probes: DataFrame) -> DataFrame:
+    """Rows for ``meet``: targets (part, place, node, label) dealt over blocks, and each probe of their place to all blocks."""
+    key = ["part", "place"]
+    sizes = targets.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = targets.join(sizes, key).select(*key, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("target"), "node", "label")
+    sent = probes.join(sizes, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("target"), "node", "label")
+    return dealt.union(sent)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,23 +294,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     links = stored(confirmed(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes))
     labels = components(links)
-    labelled = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    named = stored(nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    labelled = buckets.select("band", "node").join(named, "node")
     main = labelled.groupBy("band", "label").count().groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("count", "label"))["label"].alias("main")).where("labels > 1")
-    outside = stored(labelled.join(main, "band").where("label <> main").select("band", "node", "label", "main"))
+    outside = stored(labelled.join(main, "band").where("label <> main").select("band", "node", "label", "main", (F.col("labels") > 2).alias("several")))
+    joined = None
     if not outside.isEmpty():
-        probes = outside.select(F.col("main").alias("place"), "node", "label").distinct()
-        targets = labelled.join(probes.select(F.col("place").alias("label")).distinct(), "label", "left_semi").select(F.col("label").alias("place"), "node", "label").distinct()
-        # those outside the same bucket's largest component, among themselves
-        several = outside.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        among = outside.join(several, "band", "left_semi").select(F.col("band").alias("place"), "node", "label")
-        found = meet(blocks_of(targets, probes, 0).union(blocks_of(among, among, 1)), nodes)
-        links = stored(links.union(found).distinct())
-        labels = components(links)
-
-    # the smallest doc_id of each component, for nodes, then for rows
-    of_nodes = stored(sets.join(labels, "node", "left").select("digest", "least", "n", F.coalesce("label", "node").alias("group")))
-    smallest = stored(of_nodes.groupBy("group").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    answers = stored(spread_join(of_nodes.withColumnRenamed("n", "rows"), smallest, "group").select("digest", "group", "component_id", F.col("rows").alias("n")))
+        # those outside the same bucket's largest component meet all of it, and each other
+        probes = outside.select(F.lit(0).alias("part"), F.col("main").alias("place"), "node", "label").distinct()
+        among = outside.where("several").select(F.lit(1).alias("part"), F.col("band").alias("place"), "node", "label")
+        targets = named.join(probes.select(F.col("place").alias("label")).distinct(), "label", "left_semi").select(F.lit(0).alias("part"), F.col("label").alias("place"), "node", "label")
+        found = stored(meet(blocks_of(stored(targets.union(among)), stored(probes.union(among))), nodes).distinct())
+        if not found.isEmpty():
+            joined = components(found)  # of labels, each standing for its whole component
+
+    # the smallest doc_id of each component, for labels, then for nodes, then for rows
+    of_nodes = stored(sets.join(named, "node", "left").select("digest", "least", "n", F.coalesce("label", "node").alias("group")))
+    smallest = stored(of_nodes.groupBy("group").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).withColumn("root", F.col("group")))
+    if joined is not None:
+        rooted = stored(smallest.drop("root").join(joined.select(F.col("node").alias("group"), F.col("label").alias("root")), "group", "left").withColumn("root", F.coalesce("root", "group")).withColumnRenamed("n", "nodes"))
+        roots = stored(rooted.groupBy("root").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+        smallest = stored(spread_join(rooted.drop("component_id"), roots, "root").select("group", "root", "component_id", F.col("nodes").alias("n")))
+    answers = stored(spread_join(of_nodes.withColumnRenamed("n", "rows"), smallest, "group").select("digest", F.col("root").alias("group"), "component_id", F.col("rows").alias("n")))
     own = rows.select("doc_id", "text_key", "n_shingles", "digest", "row")
     full = spread_join(own.where("n_shingles > 0"), answers, "digest").select("doc_id", "text_key", "n_shingles", "group", "component_id")
     empty = own.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("row").alias("group"), F.col("doc_id").alias("component_id"))
