@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,6 +66,17 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """``stored``, and how many rows meet ``condition`` (all without one), counted while they are written.
+
+    Looking into the stored table instead takes further jobs, several where no row is found.
+    A stage that runs again may count twice: only zero and more than zero are certain.
+    """
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(F.lit(True) if condition is None else condition).alias("n")))
+    return out, seen.get["n"]
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list]]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over chosen columns.
 

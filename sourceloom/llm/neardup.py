@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import brought_back, map_rows, partitions, set_aside, spread_join, stored, with_bytes
+from .common import brought_back, map_rows, partitions, set_aside, spread_join, stored, stored_counting, with_bytes
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
@@ -270,12 +270,14 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.union(links.select("b", "a")).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("via"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "via").alias("next"), "label")
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("root"))
-        new = stored(step.join(jump, F.col("next") == F.col("at"), "left").select("node", F.least("next", F.coalesce("root", "next")).alias("label"), (F.col("label") != F.least("next", F.coalesce("root", "next"))).alias("moved")))
+        # each node hears its neighbours' labels beside its own, and goes on to the label of the smallest
+        told = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("own"))
+        heard = told.union(labels.select("node", "label", F.col("label").alias("own"))).groupBy("node").agg(F.min("label").alias("next"), F.min("own").alias("own"))
+        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("root"))
+        step = heard.join(jump, "next", "left").select("node", F.least("next", F.coalesce("root", "next")).alias("label"), "own")
+        new, moved = stored_counting(step, F.col("label") != F.col("own"))
         labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
+        if not moved:
             return labels
 
 
@@ -297,15 +299,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = stored(nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     labelled = buckets.select("band", "node").join(named, "node")
     main = labelled.groupBy("band", "label").count().groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("count", "label"))["label"].alias("main")).where("labels > 1")
-    outside = stored(labelled.join(main, "band").where("label <> main").select("band", "node", "label", "main", (F.col("labels") > 2).alias("several")))
+    outside, some = stored_counting(labelled.join(main, "band").where("label <> main").select("band", "node", "label", "main", (F.col("labels") > 2).alias("several")))
     joined = None
-    if not outside.isEmpty():
+    if some:
         # those outside the same bucket's largest component meet all of it, and each other
         probes = outside.select(F.lit(0).alias("part"), F.col("main").alias("place"), "node", "label").distinct()
         among = outside.where("several").select(F.lit(1).alias("part"), F.col("band").alias("place"), "node", "label")
         targets = named.join(probes.select(F.col("place").alias("label")).distinct(), "label", "left_semi").select(F.lit(0).alias("part"), F.col("label").alias("place"), "node", "label")
-        found = stored(meet(blocks_of(stored(targets.union(among)), stored(probes.union(among))), nodes).distinct())
-        if not found.isEmpty():
+        found, some = stored_counting(meet(blocks_of(stored(targets.union(among)), stored(probes.union(among))), nodes).distinct())
+        if some:
             joined = components(found)  # of labels, each standing for its whole component
 
     # the smallest doc_id of each component, for labels, then for nodes, then for rows
