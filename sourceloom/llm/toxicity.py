@@ -56,6 +56,8 @@ ROUNDS, STEPS, BATCH, HELD_BACK = 8, 20, 128, 4
 RATE, TABLE_RATE, DECAY = 0.01, 0.05, 1e-3
 #: windows scored, and texts hashed, at a time
 BLOCK, HASHED = 1024, 128
+#: distinct words whose n-grams are made, n-grams numbered, and training windows scored, at a time
+SPELLED, NUMBERED, WATCHED = 1 << 13, 1 << 19, 1 << 12
 THRESHOLD = 0.3
 
 _GRAM = 0x9E3779B97F4A7C15
@@ -65,6 +67,27 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def spelled_out(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of some words, by word, and how many each has; ``lengths`` count a space at either end."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths) + np.repeat(starts - 1, lengths)
+    letters = codes[place].astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for n in GRAMS:
+        if len(letters) < n:
+            continue
+        size = len(letters) - n + 1
+        key = np.full(size, n, np.uint64)
+        for k in range(n):
+            key = key * np.uint64(_GRAM) + letters[k : k + size]
+        whole = owner[:size] == owner[n - 1 :]
+        grams.append(mix(key[whole]))
+        owners.append(owner[:size][whole])
+    of = np.concatenate(owners)
+    return np.concatenate(grams)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(lengths))
+
+
 class Words:
     """The distinct words of some folded texts, and the hashes of their character n-grams."""
 
@@ -76,29 +99,12 @@ class Words:
         codes = np.frombuffer(joined, np.uint8)
         edges = np.flatnonzero((codes[1:] == 32) != (codes[:-1] == 32)) + 1
         starts, ends = edges[::2][first], edges[1::2][first]
-        # each word with a space at either end
-        lengths = ends - starts + 2
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths) + np.repeat(starts - 1, lengths)
-        letters = codes[place].astype(np.uint64) + np.uint64(1)
-        grams, owners = [], []
-        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        for n in GRAMS:
-            if len(letters) < n:
-                continue
-            size = len(letters) - n + 1
-            key = np.full(size, n, np.uint64)
-            for k in range(n):
-                key = key * np.uint64(_GRAM) + letters[k : k + size]
-            whole = owner[:size] == owner[n - 1 :]
-            grams.append(mix(key[whole]))
-            owners.append(owner[:size][whole])
-        del letters, place
-        grams_, owners_ = np.concatenate(grams or [np.zeros(0, np.uint64)]), np.concatenate(owners or [np.zeros(0, np.int32)])
-        del grams, owners
-        order = np.argsort(owners_, kind="stable")
-        self.grams = grams_[order]  # by word, the shortest first
-        self.counts = np.bincount(owners_, minlength=len(self.hashes))  # a one-letter word has one n-gram at least
+        del hashes, edges
+        lengths = ends - starts + 2  # each word with a space at either end
+        # by parts, as above
+        parts = [spelled_out(codes, starts[k : k + SPELLED], lengths[k : k + SPELLED]) for k in range(0, len(lengths), SPELLED)]
+        self.grams = np.concatenate([grams for grams, _ in parts] or [np.zeros(0, np.uint64)])  # by word, the shortest first
+        self.counts = np.concatenate([counts for _, counts in parts] or [np.zeros(0, np.int64)])  # a one-letter word has one n-gram at least
         self.starts = np.cumsum(self.counts) - self.counts
         self.short = np.maximum(lengths - GRAMS[0] + 1, 1)  # how many are of the least length
 
@@ -347,8 +353,11 @@ class Sample:
         owner = np.repeat(self.docs, self.sizes)
         self.group = copies(self.words.hashes[self.words.index], owner, len(windows))
         self.folds = mix(self.group.astype(np.uint64) + np.uint64(1)).astype(np.int64) % FOLDS
-        self.folds_at = self.folds[owner]
-        self.gram_keys, self.gram_of = np.unique(self.words.grams, return_inverse=True)
+        self.folds_at = self.folds[owner].astype(np.int8)
+        parts = [self.words.grams[k : k + NUMBERED] for k in range(0, len(self.words.grams), NUMBERED)]
+        self.gram_keys = np.unique(np.concatenate([np.unique(part) for part in parts] or [self.words.grams]))
+        self.gram_of = np.concatenate([np.searchsorted(self.gram_keys, part).astype(np.int32) for part in parts] or [np.zeros(0, np.int32)])
+        del parts, self.words.grams  # their numbers will do from here
         n_words, n_grams = len(self.words.hashes), len(self.gram_keys)
         self.by_word = np.zeros((FOLDS, 2, n_words), np.int32)
         self.by_gram = np.zeros((FOLDS, 2, n_grams), np.int32)
@@ -378,7 +387,8 @@ def train(sample: Sample, folds: list[int], rounds: int, watch: list[int] = (),
     seen_gram = sample.by_gram[folds].sum(axis=(0, 1)) >= SEEN
     net = Network(words.hashes[seen_word], sample.gram_keys[seen_gram], seed)
     net.p["b"][0] = -1
-    row = lambda seen: np.where(seen, np.cumsum(seen) - 1, seen.sum())
+    row = lambda seen: np.where(seen, np.cumsum(seen) - 1, seen.sum()).astype(np.int32)
+    blocks = [np.arange(k, min(k + SPELLED, len(words.hashes))) for k in range(0, len(words.hashes), SPELLED)]
     word_row, gram_row = row(seen_word), row(seen_gram)[sample.gram_of]
 
     def values(counts: np.ndarray, seen: np.ndarray, without: int) -> np.ndarray:
@@ -389,14 +399,17 @@ def train(sample: Sample, folds: list[int], rounds: int, watch: list[int] = (),
 
     net.word_evidence, net.gram_evidence = values(sample.by_word, seen_word, -1), values(sample.by_gram, seen_gram, -1)
     # a word counts once for each fold, with the evidence of the other folds
-    fold_at = np.where(np.isin(sample.folds_at, folds), sample.folds_at, FOLDS)
-    typed, index = np.unique(fold_at * len(words.hashes) + words.index, return_inverse=True)
+    at = np.where(np.isin(sample.folds_at, folds), sample.folds_at, FOLDS) * np.int64(len(words.hashes)) + words.index
+    there = np.zeros((FOLDS + 1) * len(words.hashes), bool)
+    there[at] = True
+    typed, index = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - np.int32(1))[at]
+    del at, there
     fold_of_typed, of = np.divmod(typed, max(len(words.hashes), 1))
     told = np.zeros((len(typed), 2 * EVIDENCE), np.float32)
     for f in np.unique(fold_of_typed):
         mine = np.flatnonzero(fold_of_typed == f)
         by_word, by_gram = (values(sample.by_word, seen_word, f), values(sample.by_gram, seen_gram, f)) if f < FOLDS else (net.word_evidence, net.gram_evidence)
-        best = np.maximum.reduceat(by_gram[gram_row], words.starts, axis=0)
+        best = np.concatenate([np.maximum.reduceat(by_gram[gram_row[words.starts[b[0]] : words.starts[b[-1]] + words.counts[b[-1]]]], words.starts[b] - words.starts[b[0]], axis=0) for b in blocks])
         told[mine] = np.concatenate([by_word[word_row], best], axis=1)[of[mine]]
 
     def spelled(some: np.ndarray) -> np.ndarray:
@@ -406,8 +419,14 @@ def train(sample: Sample, folds: list[int], rounds: int, watch: list[int] = (),
         return np.concatenate([net.word[word_row[some]], sums / words.short[some][:, None]], axis=1, dtype=np.float32)
 
     def logits_of(windows: np.ndarray) -> np.ndarray:
-        x = np.concatenate([spelled(np.arange(len(words.hashes)))[of], told], axis=1)
-        return net.window_logits(x, index, sample.starts[windows], sample.sizes[windows])
+        out = []
+        for k in range(0, len(windows), WATCHED):  # some windows' words at a time
+            starts, sizes = sample.starts[windows[k : k + WATCHED]], sample.sizes[windows[k : k + WATCHED]]
+            firsts = np.cumsum(sizes) - sizes
+            inside, local = np.unique(index[np.arange(sizes.sum()) + np.repeat(starts - firsts, sizes)], return_inverse=True)
+            x = np.concatenate([spelled(of[inside]), told[inside]], axis=1)
+            out.append(net.window_logits(x, local, firsts, sizes))
+        return np.concatenate(out)
 
     learned = np.flatnonzero(np.isin(sample.folds, folds)[sample.docs])
     watched = np.flatnonzero(np.isin(sample.folds, watch)[sample.docs])
