@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, licenses, neardup, packing, pii, quality, separators, suffixes, toxicity
+from . import alignment, chat, decontaminate, fingerprints, licenses, neardup, packing, pii, quality, separators, suffixes, toxicity
 from .common import table
-from .tokens import word_bpe
+from .tokens import vocabulary, word_bpe
 
 #: <|endoftext|> of the word-level vocabulary
 END_OF_TEXT = 49407
@@ -68,6 +68,10 @@ def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
     "op11_exact_duplicates": op11_exact_duplicates,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -26,14 +26,14 @@ COMMON = re.compile(f"[\t-\r -~{_LETTERS}{_SIGNS}]*")
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^\\sa-z0-9{_LETTERS}]+")
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The letter that stands for each byte: its own if printable, else the next from U+0100."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
     return {b: b if b in own else next(rest) for b in range(256)}
 
 
-_BYTE_LETTERS = _byte_letters()
+_BYTE_LETTERS = byte_letters()
 _open: dict[tuple[str, bool], "WordTokenizer"] = {}
 
 
@@ -97,7 +97,12 @@ def tokenizer(path: str, plain_specials: bool = False) -> WordTokenizer:
     return _open[key]
 
 
-def word_bpe() -> str:
+def vocabulary(name: str) -> str:
+    """The place of an installed vocabulary file."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_bpe() -> str:
+    return vocabulary("word_bpe_49k.json")
