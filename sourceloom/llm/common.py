@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,6 +79,15 @@ def stored_counting(df: DataFrame, condition: Column | None = None) -> tuple[Dat
     return out, seen.get["n"]
 
 
+def give_back() -> None:
+    """What this worker process no longer uses goes back to the system: it is used again by other stages, beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list]]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over chosen columns.
 
@@ -99,6 +110,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in fn(chunks(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.select(*columns).mapInArrow(run, out)
 
@@ -120,6 +132,8 @@ def keep_rows(df: DataFrame, text: str, judge: Callable[[], Callable[[list[bytes
                 part = batch.slice(k, step)
                 verdicts = judged([(x or "").encode() for x in part.column(at).to_pylist()])
                 yield part.filter(pa.array([keeps(v) for v in verdicts], pa.bool_()))
+        del judged
+        give_back()
 
     numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # names with dots and the like stay out of it
     return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)

@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: chunks and words kept by a worker process before a cache starts anew
-CACHE_CHUNKS, CACHE_WORDS = 600_000, 400_000
+CACHE_CHUNKS, CACHE_WORDS = 200_000, 200_000
 #: longer ones are not kept, so the caches' bytes are bounded too
 CACHE_BYTES = 48
 
