@@ -27,9 +27,13 @@ looked at; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -40,67 +44,90 @@ from .common import map_rows, stored, with_bytes
 from .tokens import byte_letters
 
 #: units and transitions kept by a worker process before a memo starts anew, and the longest unit kept
-MEMO_UNITS, MEMO_MOVES, MEMO_CHARS = 200_000, 200_000, 64
+MEMO_UNITS, MEMO_MOVES, MEMO_CHARS = 500_000, 200_000, 64
+#: units that the tokenizers get at a time
+BATCH = 4096
 #: pairs whose counts are broadcast: 24 bytes each
 HOT_PAIRS = 1 << 17
 #: ids of the second tokenizer are below this in a pair's code
 SECOND = 1 << 31
 
+_BETWEEN, _ONE = "\1", struct.Struct("=q")
 #: where a text may be cut: before one space or line feed between characters that are no white space
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _BESIDE = re.compile(r"\s\s|^\s|\s$")
 
 
+class State:
+    """Which side leads and by which bytes, so which side reads next; and the states after the tokens read so far."""
+
+    __slots__ = ("lead", "rest", "reader", "moves")
+
+    def __init__(self, lead: int, rest: bytes) -> None:
+        self.lead, self.rest, self.reader = lead, rest, 1 - lead if rest else 0
+        self.moves: dict[int, State] = {}
+
+
 class Transducer:
-    """State: (which side leads, by which bytes). Sides are 0 and 1; the empty suffix belongs to side 0."""
+    """States by dangling suffix. Sides are 0 and 1; with an empty suffix the first reads."""
 
     def __init__(self, spelled: tuple[list[bytes], list[bytes]]) -> None:
         self.spelled = spelled
-        self.moves: dict[tuple[int, bytes, int], tuple[int, bytes] | None] = {}
-
-    def move(self, lead: int, rest: bytes, token: int) -> tuple[int, bytes] | None:
-        """The state after the other side (the first, if the suffix is empty) reads ``token``; None if its bytes differ."""
-        key = (lead, rest, token)
-        if key in self.moves:
-            return self.moves[key]
-        reader = 1 - lead if rest else 0
-        read = self.spelled[reader][token]
+        self._anew()
+
+    def _anew(self) -> None:
+        self.start = State(0, b"")
+        self.states = {(0, b""): self.start}
+        self.n_moves = 0
+
+    def step(self, state: State, token: int) -> State | None:
+        """The state after ``state`` reads ``token``, kept with it; None if the bytes of the sides differ."""
+        rest, read = state.rest, self.spelled[state.reader][token]
         if not read:
-            new = None
-        elif rest.startswith(read):
-            new = (lead, rest[len(read) :]) if len(rest) > len(read) else (0, b"")
+            return None
+        if rest.startswith(read):
+            new = (state.lead, rest[len(read) :])
         elif read.startswith(rest):
-            new = (reader, read[len(rest) :])
+            new = (state.reader, read[len(rest) :])
         else:
-            new = None
-        if len(self.moves) > MEMO_MOVES:
-            self.moves = {}
-        self.moves[key] = new
-        return new
-
-    def groups(self, first: list[int], second: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The tokens of both sides by group; None if they spell different bytes."""
-        out, sides, at = [], (first, second), [0, 0]
-        began, lead, rest = [0, 0], 0, b""
+            return None
+        new = new if new[1] else (0, b"")
+        found = self.states.get(new)
+        if found is None:
+            found = self.states[new] = State(*new)
+        state.moves[token] = found
+        self.n_moves += 1
+        return found
+
+    def groups(self, first: list[int], second: list[int]) -> list[tuple[int, int]] | None:
+        """Where each group ends in either side; None if they spell different bytes."""
+        if self.n_moves > MEMO_MOVES:
+            self._anew()
+        state = start = self.start
+        i, j, n, m, out = 0, 0, len(first), len(second), []
         while True:
-            reader = 1 - lead if rest else 0
-            if at[reader] >= len(sides[reader]):
-                whole = not rest and at == [len(first), len(second)]
-                return out if whole else None
-            state = self.move(lead, rest, sides[reader][at[reader]])
-            if state is None:
+            if state.reader:
+                if j == m:
+                    return None
+                token = second[j]
+                j += 1
+            elif i < n:
+                token = first[i]
+                i += 1
+            else:
+                return out if state is start and j == m else None
+            state = state.moves.get(token) or self.step(state, token)
+            if state is start:
+                out.append((i, j))
+            elif state is None:
                 return None
-            at[reader] += 1
-            lead, rest = state
-            if not rest:
-                out.append((first[began[0] : at[0]], second[began[1] : at[1]]))
-                began = at.copy()
 
 
 class Aligner:
     """Groups of texts, with the memo of their units."""
 
     def __init__(self, bytes_path: str, pieces_path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -118,21 +145,34 @@ class Aligner:
         plain = all(not re.search("[^▁]▁", p) and (p == "\n" or "\n" not in p) for p in pieces)
         probe = " a \n ﬁ½  é\t"
         self.cuts = plain and self.second.decode(self.second.encode("x" + probe)) == "x" + probe and pieces[self.mark] == "▁"
-        self.memo: dict[str, tuple[bytes, bytes, bytes] | None] = {}
-
-    def _aligned(self, unit: str) -> tuple[bytes, bytes, bytes] | None:
-        """Numbers of tokens, groups as text, and linked pairs of a unit, which begins with a space or line feed; None if it cannot be aligned."""
-        second = self.second.encode(unit[1:] if unit[0] == " " else unit)
-        if unit[0] != " ":  # the mark that is put before any text
-            if not second or second[0] != self.mark:
-                return None
-            second = second[1:]
-        first = self.first.encode(unit, add_special_tokens=False).ids
-        groups = self.transducer.groups(first, second)
-        if groups is None:
-            return None
-        text = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
-        return np.array([len(first), len(second)], np.int64).tobytes(), text.encode(), np.array([a[-1] * SECOND + b[-1] for a, b in groups], np.int64).tobytes()
+        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _aligned(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Groups as text (``,`` between first ids, an own sign between second ones) and linked pairs of units, each with its first space or line feed; None for one that cannot be aligned."""
+        found = []
+        firsts = self.first.encode_batch_fast(units, add_special_tokens=False)
+        seconds = self.second.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        for unit, first, second in zip(units, firsts, seconds):
+            if unit[0] != " ":  # the mark that is put before any text
+                if not second or second[0] != self.mark:
+                    found.append(None)
+                    continue
+                second = second[1:]
+            first = first.ids
+            ends = self.transducer.groups(first, second)
+            if ends is None:
+                found.append(None)
+            elif len(ends) == 1:
+                found.append(((",".join(map(str, first)) + "|" + _BETWEEN.join(map(str, second))).encode(), _ONE.pack(first[-1] * SECOND + second[-1])))
+            else:
+                i = j = 0
+                texts, links = [], []
+                for a, b in ends:
+                    texts.append(",".join(map(str, first[i:a])) + "|" + _BETWEEN.join(map(str, second[j:b])))
+                    links.append(first[a - 1] * SECOND + second[b - 1])
+                    i, j = a, b
+                found.append((";".join(texts).encode(), array("q", links).tobytes()))
+        return found
 
     def _units(self, text: str) -> list[str]:
         """The units of a space and the text; a single space before a unit's first character is left out."""
@@ -143,22 +183,27 @@ class Aligner:
         first, *rest = _CUT.split(" " + text)
         return [first[1:] if first[1:2].strip() else first] + [u[1:] if u[0] == " " else u for u in rest]
 
-    def align(self, text: str) -> tuple[np.ndarray, bytes, np.ndarray] | None:
-        """(n_a, n_b), groups and codes of linked pairs; None if there are none."""
-        if not text:
-            return None
+    def align(self, texts: list[str]) -> Iterator[tuple[int, int, bytes, np.ndarray] | None]:
+        """n_a, n_b, groups and codes of linked pairs of each text; None where there are none."""
         if len(self.memo) > MEMO_UNITS:
             self.memo = {}
-        known, units = self.memo, self._units(text)
+        known, cut = self.memo, [self._units(t) if t else [] for t in texts]
+        new = list(set(chain.from_iterable(cut)).difference(known))
         long = {}
-        for u in set(units).difference(known):
+        for at in range(0, len(new), BATCH):
+            some = new[at : at + BATCH]
             # a unit keeps its own first character only if that is white space
-            (known if len(u) <= MEMO_CHARS else long)[u] = self._aligned(u if u[:1] in ("\n", " ") and self.cuts else " " + u)
-        found = [known[u] if u in known else long[u] for u in units] if long else list(map(known.__getitem__, units))
-        if None in found:
-            return None
-        counts, groups, links = zip(*found)
-        return np.frombuffer(b"".join(counts), np.int64).reshape(-1, 2).sum(axis=0), b";".join(groups), np.frombuffer(b"".join(links), np.int64)
+            for u, x in zip(some, self._aligned([u if u[:1] in ("\n", " ") and self.cuts else " " + u for u in some])):
+                (known if len(u) <= MEMO_CHARS else long)[u] = x
+        for units in cut:
+            found = [known[u] if u in known else long[u] for u in units] if long else list(map(known.__getitem__, units))
+            if not found or None in found:
+                yield None
+                continue
+            groups, links = zip(*found)
+            groups = b";".join(groups)
+            n = groups.count(b";") + 1
+            yield n + groups.count(b","), n + groups.count(_BETWEEN.encode()), groups.replace(_BETWEEN.encode(), b","), np.frombuffer(b"".join(links), np.int64)
 
 
 _open: dict[tuple[str, str], Aligner] = {}
@@ -180,12 +225,11 @@ def aligned(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
         for doc_ids, raws in chunks:
             out: dict[str, list] = {"rid": list(range(rid, rid + len(raws))), "doc_id": doc_ids, "n_a": [], "n_b": [], "n_groups": [], "groups_sha256": [], "pairs": [], "times": []}
             rid += len(raws)
-            for raw in raws:
-                found = held.align(raw.decode())
-                sizes, groups, links = found if found else (np.zeros(2, np.int64), b"", np.zeros(0, np.int64))
+            for found in held.align([r.decode() for r in raws]):
+                n_a, n_b, groups, links = found or (0, 0, b"", np.zeros(0, np.int64))
                 pairs, times = np.unique(links, return_counts=True)
-                out["n_a"].append(int(sizes[0]))
-                out["n_b"].append(int(sizes[1]))
+                out["n_a"].append(n_a)
+                out["n_b"].append(n_b)
                 out["n_groups"].append(len(links))
                 out["groups_sha256"].append(sha256(groups).hexdigest() if found else "")
                 out["pairs"].append(pairs)
