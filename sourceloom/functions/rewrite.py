@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .hostvars import VARIABLE, name_of
+from . import sqltree
+from .hostvars import name_of
 
 Rewrite = Callable[[Column], Column]
 
@@ -17,18 +18,34 @@ def _sub(pattern: str, new: str) -> Rewrite:
     return lambda c: F.regexp_replace(c, pattern, new)
 
 
+#: literals, quoted names and comments, each whole, and what lies between
+_PIECE = r"""(?s)'[^']*'?|"[^"]*"?|--[^\n]*|/\*.*?(?:\*/|\z)|[^'"/-]+|."""
+
+
+def _pieces(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """White space as one space, but for that in literals and quoted names."""
+    one = lambda x: F.regexp_replace(x, r"\s+", " ")
+    kept = F.array_join(F.transform(_pieces(c), lambda x: F.when(F.regexp_like(x, F.lit("^['\"]")), x).otherwise(one(x))), "")
+    return F.trim(F.when(F.regexp_like(c, F.lit("['\"]")), kept).otherwise(one(c)))
 
 
-def without_comments(c: Column) -> Column:
-    """Comments removed, hints kept."""
-    return squeeze(F.regexp_replace(c, r"(?s)/\*(?!\+).*?\*/|--[^\n]*", " "))
+def bare(c: Column) -> Column:
+    """The text without its literals, quoted names and comments, to look for words in."""
+    return F.array_join(F.filter(_pieces(c), lambda x: ~F.regexp_like(x, F.lit(r"""^(?:['"]|--|/\*)"""))), " ")
+
+
+def without_comments(c: Column, hints: bool = True) -> Column:
+    """Comments removed, hints kept (or not); what looks like a comment in a literal stays."""
+    return sqltree.as_column(lambda t: sqltree.without_comments(t, hints), "string", c)
 
 
 def without_into(c: Column, compat: bool = False) -> Column:
-    """The INTO list before FROM removed; ``compat`` leaves lists in which an f stands, as older rules did."""
-    return F.regexp_replace(c, r"(?i)\bINTO\s+[^Ff]+(?=\bFROM\b)" if compat else r"(?is)\bINTO\s+(?::.*?)(?=\bFROM\b)", "")
+    """INTO lists up to the FROM of their own level removed; ``compat`` leaves lists in which an f stands, as older rules did."""
+    return F.regexp_replace(c, r"(?i)\bINTO\s+[^Ff]+(?=\bFROM\b)", "") if compat else sqltree.as_column(sqltree.without_into, "string", c)
 
 
 def normalized(c: Column) -> Column:
@@ -71,52 +88,26 @@ def stripped_name(c: Column, prefixes: tuple[str, ...]) -> Column:
 
 
 def parameters(c: Column, listed: Column, by_camel: bool = False) -> Column:
-    """Variables as ``#{name}``: those listed first, then any left over; indicators and indexes go, members use an underscore."""
-    member = r"#{$1_$2}"
-    c = F.regexp_replace(c, r"(?<![\w:]):([A-Za-z_]\w*)\.(\w+)(?::\w+)?", member)
-    c = F.regexp_replace(c, r"(?<![\w:]):([A-Za-z_]\w*)(?:\[[^\]]+\])?(?::\w+)?", r"#{$1}")
+    """Variables as ``#{name}``, but for what stands in literals; indicators and indexes go, members use an underscore."""
+    c = sqltree.as_column(sqltree.parameters, "string", c)
     if not by_camel:
         return c
     return F.aggregate(F.array_distinct(listed), c, lambda acc, v: F.replace(acc, F.concat(F.lit("#{"), name_of(v), F.lit("}")), F.concat(F.lit("#{"), camel(name_of(v)), F.lit("}"))))
 
 
-def _bare(c: Column) -> Column:
-    return F.btrim(c, F.lit(" \t\r\n"))
-
-
 def split_columns(c: Column) -> Column:
-    """A list split at commas outside parentheses: pieces between commas, joined while one is open.
-
-    Linear in the list's length; only the pieces, not the characters, are folded.
-    """
-    depth = lambda x: F.length(F.regexp_replace(x, r"[^(]", "")) - F.length(F.regexp_replace(x, r"[^)]", ""))
-    start = F.struct(F.lit(0).alias("open"), F.expr("cast(array() as array<string>)").alias("part"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        now, part = acc["open"] + depth(piece), F.array_append(acc["part"], piece)
-        none = F.expr("cast(array() as array<string>)")
-        return F.when(now == 0, F.struct(now.alias("open"), none.alias("part"), F.array_append(acc["out"], _bare(F.array_join(part, ","))).alias("out"))).otherwise(F.struct(now.alias("open"), part.alias("part"), acc["out"].alias("out")))
-
-    def end(acc: Column) -> Column:
-        return F.when(F.size(acc["part"]) > 0, F.array_append(acc["out"], _bare(F.array_join(acc["part"], ",")))).otherwise(acc["out"])
-
-    return F.aggregate(F.split(c, ","), start, step, end)
+    """A list split at commas outside parentheses and literals."""
+    return sqltree.as_column(sqltree.split_list, "array<string>", c)
 
 
 def select_columns(c: Column) -> Column:
-    return split_columns(F.regexp_extract(c, r"(?is)\bSELECT\s+(.*?)\s+(?:INTO|FROM)\b", 1))
-
-
-#: a SELECT's text up to its columns, the columns, and the rest
-_SELECT = r"(?is)^(.*?\bSELECT\s+)(.*?)(\s+(?:INTO|FROM)\b.*)$"
+    """The columns of the first SELECT, up to the INTO or FROM of its own level."""
+    return sqltree.as_column(sqltree.columns, "array<string>", c)
 
 
 def with_aliases(c: Column, out_vars: Column) -> Column:
-    """`` AS alias`` after each selected column that has none, from the output variables in order; the rest of the text stays."""
-    head, listed, rest = (F.regexp_extract(c, _SELECT, k) for k in (1, 2, 3))
-    columns = split_columns(listed)
-    named = F.zip_with(columns, F.slice(out_vars, F.lit(1), F.size(columns)), lambda col, v: F.when(v.isNull() | F.regexp_like(col, F.lit(r"(?i)\sAS\s+\w+\s*$")), col).otherwise(F.concat(col, F.lit(" AS "), camel(name_of(v)))))
-    return F.when((listed == "") | (F.size(out_vars) == 0), c).otherwise(F.concat(head, F.array_join(named, ", "), rest))
+    """`` AS alias`` after each selected column that has no name, from the output variables in order; the rest of the text stays."""
+    return sqltree.as_column(lambda t, names: sqltree.with_aliases(t, names or []), "string", c, F.transform(out_vars, lambda v: camel(name_of(v))))
 
 
 def mapper_sql(c: Column, kind: Column, out_vars: Column, in_vars: Column) -> Column:
@@ -170,52 +161,42 @@ class Pipeline:
         return F.struct(c.alias("sql"), F.array_compact(F.array(*applied)).alias("applied"))
 
 
-def chain(*pairs: tuple[str, str]) -> Rewrite:
-    def run(c: Column) -> Column:
-        for pattern, new in pairs:
-            c = F.regexp_replace(c, pattern, new)
-        return c
-
-    return run
-
-
-# fixed values: function names of one dialect and of another
-ORACLE_TO_MYSQL = [
-    (r"(?i)\bNVL\s*\(", "IFNULL("),
-    (r"(?i)\bNVL2\s*\(", "IF("),
-    (r"(?i)\bSYSDATE\b", "NOW()"),
-    (r"(?i)\bSYSTIMESTAMP\b", "NOW()"),
-    (r"(?i)\bTO_DATE\s*\(", "STR_TO_DATE("),
-    (r"(?i)\bSUBSTR\s*\(", "SUBSTRING("),
-    (r"(?i)\bINSTR\s*\(", "LOCATE("),
-    (r"(?i)\bADD_MONTHS\s*\(([^,]+),\s*([^)]+)\)", "DATE_ADD($1, INTERVAL $2 MONTH)"),
-    (r"(?i)\bMONTHS_BETWEEN\s*\(([^,]+),\s*([^)]+)\)", "TIMESTAMPDIFF(MONTH, $2, $1)"),
-]
-DB2_TO_MYSQL = [
-    (r"(?i)\bVALUE\s*\(", "IFNULL("),
-    (r"(?i)\bCURRENT\s+DATE\b", "CURDATE()"),
-    (r"(?i)\bCURRENT\s+TIMESTAMP\b", "NOW()"),
-    (r"(?i)\bCURRENT\s+TIME\b", "CURTIME()"),
-    (r"(?i)\bPOSSTR\s*\(", "LOCATE("),
-    (r"(?i)\s*\bFETCH\s+FIRST\s+\d+\s+ROWS?\s+ONLY", ""),
-]
-MYSQL_TO_ORACLE = [
-    (r"(?i)\bIFNULL\s*\(", "NVL("),
-    (r"(?i)\bNOW\s*\(\s*\)", "SYSDATE"),
-    (r"(?i)\bCURDATE\s*\(\s*\)", "TRUNC(SYSDATE)"),
-    (r"(?i)\bCURTIME\s*\(\s*\)", "TO_CHAR(SYSDATE, 'HH24:MI:SS')"),
-    (r"(?i)\s*\bLIMIT\s+\d+(?:\s+OFFSET\s+\d+)?", ""),
-]
-#: concatenations rewritten one by one, this many at most
-CONCATS = 10
+# fixed values: function names of one dialect and of another; arguments keep their order but where a template says so
+ORACLE_TO_MYSQL = sqltree.Dialect(
+    {
+        "NVL": "IFNULL",
+        "NVL2": "IF",
+        "TO_DATE": "STR_TO_DATE",
+        "SUBSTR": "SUBSTRING",
+        "INSTR": "LOCATE",
+        "ADD_MONTHS": "DATE_ADD({0}, INTERVAL {1} MONTH)",
+        "MONTHS_BETWEEN": "TIMESTAMPDIFF(MONTH, {1}, {0})",
+        "DECODE": sqltree.case_of_decode,
+    },
+    {("SYSDATE",): "NOW()", ("SYSTIMESTAMP",): "NOW()"},
+    concat="CONCAT",
+)
+DB2_TO_MYSQL = sqltree.Dialect(
+    {"VALUE": "IFNULL", "POSSTR": "LOCATE"},
+    {("CURRENT", "DATE"): "CURDATE()", ("CURRENT", "TIMESTAMP"): "NOW()", ("CURRENT", "TIME"): "CURTIME()", ("FETCH", "FIRST", "#", "ROW|ROWS", "ONLY"): ""},
+)
+MYSQL_TO_ORACLE = sqltree.Dialect(
+    {"IFNULL": "NVL", "NOW": lambda args: None if args else "SYSDATE", "CURDATE": lambda args: "TRUNC(SYSDATE)", "CURTIME": lambda args: "TO_CHAR(SYSDATE, 'HH24:MI:SS')"},
+    {("LIMIT", "#", "OFFSET", "#"): "", ("LIMIT", "#"): ""},
+)
+CONCATENATION = sqltree.Dialect({}, concat="CONCAT")
+
+
+def in_dialect(dialect: sqltree.Dialect) -> Rewrite:
+    return lambda c: sqltree.as_column(dialect.rewritten, "string", c)
 
 
 def decode_to_case(c: Column) -> Column:
-    """Each flat DECODE as CASE; one whose arguments have calls inside stays."""
+    """Each flat DECODE as CASE, one whose arguments have calls inside stays: the form of older tools (``oracle_to_mysql`` does all)."""
     flat = r"(?i)\bDECODE\s*\(([^()]*)\)"
 
     def case(whole: Column, inside: Column) -> Column:
-        args = split_columns(inside)
+        args = F.transform(F.split(inside, ","), lambda x: F.btrim(x, F.lit(" \t\r\n")))
         n = F.size(args)
         pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 3) / 2).cast("int"), F.lit(0))), lambda k: F.concat(F.lit(" WHEN "), F.get(args, 2 * k + 1), F.lit(" THEN "), F.get(args, 2 * k + 2)))
         tail = F.when(n % 2 == 0, F.concat(F.lit(" ELSE "), F.get(args, n - 1))).otherwise("")
@@ -228,16 +209,15 @@ def decode_to_case(c: Column) -> Column:
 
 
 def concat_calls(c: Column) -> Column:
-    for _ in range(CONCATS):
-        c = F.regexp_replace(c, r"(?s)^(.*?)(\S+)\s*\|\|\s*(\S+)", "$1CONCAT($2, $3)")
-    return c
+    """``a || b || c`` as one call, whatever its operands and however many."""
+    return in_dialect(CONCATENATION)(c)
 
 
 def oracle_to_mysql(c: Column) -> Column:
-    return concat_calls(decode_to_case(chain(*ORACLE_TO_MYSQL)(c)))
+    return in_dialect(ORACLE_TO_MYSQL)(c)
 
 
-DIALECTS: dict[tuple[str, str], Rewrite] = {("oracle", "mysql"): oracle_to_mysql, ("db2", "mysql"): chain(*DB2_TO_MYSQL), ("mysql", "oracle"): chain(*MYSQL_TO_ORACLE)}
+DIALECTS: dict[tuple[str, str], Rewrite] = {("oracle", "mysql"): oracle_to_mysql, ("db2", "mysql"): in_dialect(DB2_TO_MYSQL), ("mysql", "oracle"): in_dialect(MYSQL_TO_ORACLE)}
 
 
 def needs_paging(kind: Column, cursor_based: Column, wanted: Column) -> Column:
@@ -247,8 +227,8 @@ def needs_paging(kind: Column, cursor_based: Column, wanted: Column) -> Column:
 
 def first_rows(c: Column, limit: str = "#{limit}") -> Column:
     """The other dialect's form without an offset: the first rows only."""
-    bare = F.regexp_replace(c, r"[\s;]+$", "")
-    return F.when(F.regexp_like(c, F.lit(r"(?i)\bFETCH\s+FIRST\b")), c).otherwise(F.concat(bare, F.lit(f" FETCH FIRST {limit} ROWS ONLY")))
+    closed = F.regexp_replace(c, r"[\s;]+$", "")
+    return F.when(F.regexp_like(bare(c), F.lit(r"(?i)\bFETCH\s+FIRST\b")), c).otherwise(F.concat(closed, F.lit(f" FETCH FIRST {limit} ROWS ONLY")))
 
 
 def default_input(variable: Column) -> Column:
@@ -263,7 +243,7 @@ def default_output(variable: Column) -> Column:
 
 def paged(c: Column, dbms: str, offset: str = "#{offset}", limit: str = "#{limit}") -> Column:
     """Row limits as a dialect has them, unless the text has its own."""
-    has = F.regexp_like(c, F.lit(r"(?i)\bLIMIT\b|\bFETCH\s+(?:FIRST|NEXT)\b|\bROWNUM\b"))
+    has = F.regexp_like(bare(c), F.lit(r"(?i)\bLIMIT\b|\bFETCH\s+(?:FIRST|NEXT)\b|\bROWNUM\b"))
     new = {
         "mysql": F.concat(c, F.lit(f" LIMIT {limit} OFFSET {offset}")),
         "postgresql": F.concat(c, F.lit(f" LIMIT {limit} OFFSET {offset}")),

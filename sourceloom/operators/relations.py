@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import sqltree
+
 
 def scoped(elements: DataFrame, functions: DataFrame) -> DataFrame:
     """Each element with the first function whose lines hold it (``function``: null outside all)."""
@@ -132,11 +134,9 @@ def merged_cursor(fetch_vars: DataFrame) -> DataFrame:
 
 
 def merged_cursor_sql(declare: Column, into_clause: Column) -> Column:
-    """A declared cursor's query with the INTO clause of its fetches before its first FROM, or at its end."""
-    query = F.regexp_replace(F.regexp_extract(declare, r"(?is)\bCURSOR\s+FOR\s+(.+)", 1), r"(?i)^\s*EXEC\s+SQL\s+|[\s;]+$", "")
-    has = F.regexp_like(query, F.lit(r"(?i)\bFROM\b"))
-    placed = F.when(has, F.concat(F.regexp_extract(query, r"(?is)^(.*?)\bFROM\b", 1), into_clause, F.lit(" "), F.regexp_extract(query, r"(?is)^.*?(\bFROM\b.*)$", 1))).otherwise(F.concat(query, F.lit(" "), into_clause))
-    return F.when(into_clause.isNull(), query).otherwise(placed)
+    """A declared cursor's query with the INTO clause of its fetches before the FROM of its own level, or at its end."""
+    query = F.regexp_replace(F.regexp_extract(declare, r"(?is)\bCURSOR\s+(?:WITH\s+HOLD\s+)?FOR\s+(.+)", 1), r"(?i)^\s*EXEC\s+SQL\s+|[\s;]+$", "")
+    return F.when(into_clause.isNull(), query).otherwise(sqltree.as_column(lambda t, clause: sqltree.with_into(t, clause or ""), "string", query, into_clause))
 
 
 def declared_scope(variables: DataFrame, sections: DataFrame, functions: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import sqltree
 from ..session import ship
 
 #: strings, characters, comments, directives, words and single signs of C
@@ -115,10 +116,15 @@ def c_elements(text: str) -> Iterator[dict]:
 
 
 def declare_sections(text: str) -> Iterator[dict]:
-    """Spans and bodies of declare sections, from BEGIN to END; one that never ends is none."""
-    line = Lines(text)
-    for m in re.finditer(r"EXEC\s+SQL\s+BEGIN\s+DECLARE\s+SECTION\s*;(.*?)EXEC\s+SQL\s+END\s+DECLARE\s+SECTION\s*;", text, re.S | re.I):
-        yield {"start": m.start(), "end": m.end(), "line_start": line(m.start()), "line_end": line(m.end() - 1), "raw": m[1].strip("\n")}
+    """Spans and bodies of declare sections, from a BEGIN block to the next END; one that never ends is none, nor one in a comment or string."""
+    begun = None
+    for b in sql_blocks(text):
+        words = b["raw"][:-1].upper().split()[2:]
+        if words == ["BEGIN", "DECLARE", "SECTION"] and begun is None:
+            begun = b
+        elif words == ["END", "DECLARE", "SECTION"] and begun is not None:
+            yield {"start": begun["start"], "end": b["end"], "line_start": begun["line_start"], "line_end": b["line_end"], "raw": text[begun["end"] : b["start"]].strip("\n")}
+            begun = None
 
 
 def plain_blocks(text: str) -> Iterator[dict]:
@@ -128,55 +134,93 @@ def plain_blocks(text: str) -> Iterator[dict]:
         yield {"start": m.start(), "end": m.end(), "line_start": line(m.start()), "line_end": line(m.end() - 1), "raw": m[1]}
 
 
-_SQL_TOKEN = re.compile(
-    r"(?P<string>'(?:[^']|'')*')|(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<prefix>\bEXEC\s+SQL\s+)|(?P<array>\bFOR\s+:?\w+(?:\[[^\]]+\])?\s+(?=INSERT|UPDATE|DELETE))"
-    r"|(?P<variable>:[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*(?:\[[^\]]+\])?(?::[A-Za-z_]\w*)?)|(?P<word>\w+)|(?P<space>\s+)|(?P<end>;)|(?P<other>.)",
-    re.S | re.I,
-)
-
-
 def normalized_tokens(text: str, alias: Callable[[str], str] | None = None) -> Iterator[dict]:
-    """A statement token by token: variables as ``?`` (or ``:v AS alias``), the INTO list out, inputs and outputs in order.
+    """A statement with its variables as ``?`` (or ``:v AS alias``), and the variables it reads and sets, in order.
 
-    A colon after a digit belongs to a time; an indicator is a variable of its own.
+    What goes: the prefix, an array clause, semicolons, and the INTO list of a
+    SELECT or FETCH, up to the FROM of its own level. A colon after a digit belongs
+    to a time; an indicator is a variable of its own.
     """
-    kind = re.sub(r"(?is)--[^\n]*|/\*.*?\*/|\bEXEC\s+SQL\b|^\s*FOR\s+:?\w+(?:\[\w+\])?\s", " ", re.sub(r"(?is)^\s*EXEC\s+SQL\s+", "", text)).split()
-    reads = bool(kind) and kind[0].upper() in ("SELECT", "FETCH")
-    out, inputs, outputs, into = [], [], [], False
-    for m in _SQL_TOKEN.finditer(text):
-        token, word = m.lastgroup, m[0]
-        if token == "word" and word.upper() == "INTO" and reads:
-            into = True
-        elif token == "word" and word.upper() == "FROM" and into:
-            into = False
-            out.append(word)
-        elif token == "array":
-            if ":" in word:
-                inputs.append(re.search(r":\w+(?:\[[^\]]+\])?", word)[0])
-        elif token == "variable" and not text[m.start() - 1 : m.start()].isdigit():
-            main, _, indicator = word[1:].partition(":")
-            (outputs if into else inputs).extend(":" + v for v in (main, indicator) if v)
-            if not into:
-                out.append(f":{main} AS {alias(main.split('[')[0])}" if alias else "?")
-        elif not into and token not in ("prefix", "end"):
-            out.append(" " if token == "space" else word)
-    yield {"sql": " ".join("".join(out).split()), "inputs": inputs, "outputs": outputs}
+    held = sqltree.tokens(text)
+    seen = [k for k, t in enumerate(held) if t.kind not in ("space", "comment")]
+    gone, sets = set(), set()
+
+    def drop(a: int, b: int) -> None:
+        gone.update(range(a, b + 1 + (b + 1 < len(held) and held[b + 1].kind == "space")))
+
+    if [held[k].word for k in seen[:2]] == ["EXEC", "SQL"]:
+        drop(seen[0], seen[1])
+        seen = seen[2:]
+    inputs, outputs = [], []
+    if len(seen) > 2 and held[seen[0]].word == "FOR" and held[seen[2]].word in ("INSERT", "UPDATE", "DELETE"):
+        drop(seen[0], seen[1])
+        if held[seen[1]].kind == "variable":
+            inputs.append(held[seen[1]].text)
+        seen = seen[2:]
+    if seen and held[seen[0]].word in ("SELECT", "FETCH"):
+        for k in (k for k in seen if held[k].word == "INTO"):
+            end = next((j for j in sqltree.along(held, k) if held[j].word == "FROM"), len(held))
+            sets.update(range(k, end))
+    out = []
+    for k, t in enumerate(held):
+        if k in gone or t.text == ";":
+            continue
+        if t.kind == "variable":
+            main, _, indicator = t.text[1:].partition(":")
+            (outputs if k in sets else inputs).extend(":" + v for v in (main, indicator) if v)
+            new = f":{main} AS {alias(main.split('[')[0])}" if alias else "?"
+        else:
+            new = " " if t.kind == "space" else t.text
+        if k not in sets:
+            out.append(new)
+    yield {"sql": "".join(x for x, before in zip(out, ["", *out]) if x != " " or before != " ").strip(), "inputs": inputs, "outputs": outputs}
+
+
+_INCLUDE = re.compile(r"""#\s*include\s*(?:<([^>]+)>|"([^"]+)")""")
+_DEFINE = re.compile(r"#\s*define\s+(\w+)(?![\w(])[ \t]*(.*)", re.S)
+_SQL_INCLUDE = re.compile(r"""EXEC\s+SQL\s+INCLUDE\s+["']?([\w./]+)["']?\s*;""", re.I)
 
 
 def directives(text: str) -> Iterator[dict]:
-    """Includes (system, local, SQL) and macros with values; macros with parameters are left out."""
+    """Includes (system, local, SQL) and macros with values, outside comments and strings; macros with parameters are left out."""
     line = Lines(text)
-    for m in re.finditer(r'^[ \t]*#[ \t]*include[ \t]*([<"])([^>"]+)[>"]|EXEC\s+SQL\s+INCLUDE\s+["\']?([\w./]+)["\']?\s*;|^[ \t]*#[ \t]*define[ \t]+(\w+)(?![\w(])[ \t]*([^\n]*)', text, re.M | re.I):
-        if m[2]:
-            yield {"kind": "include", "name": m[2], "value": "system" if m[1] == "<" else "local", "line_start": line(m.start())}
-        elif m[3]:
-            yield {"kind": "include", "name": m[3], "value": "sql", "line_start": line(m.start())}
+    found = [(m.start(), m[0].strip()) for m in TOKEN.finditer(text) if m.lastgroup == "directive"]
+    for start, raw in sorted(found + [(b["start"], b["raw"]) for b in sql_blocks(text)]):
+        if m := _SQL_INCLUDE.match(raw):
+            yield {"kind": "include", "name": m[1], "value": "sql", "line_start": line(start)}
+        elif m := _INCLUDE.match(raw):
+            yield {"kind": "include", "name": m[1] or m[2], "value": "system" if m[1] else "local", "line_start": line(start)}
+        elif m := _DEFINE.match(raw):
+            value = "".join(" " if x.lastgroup == "comment" else x[0] for x in _MACRO_PART.finditer(m[2].replace("\\\n", " ")))
+            yield {"kind": "macro", "name": m[1], "value": value.strip() or None, "line_start": line(start)}
+
+
+_MACRO_PART = re.compile(r"""(?P<comment>/\*.*?(?:\*/|\Z)|//[^\n]*)|(?P<text>"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|[^"'/]+|.)""", re.S)
+
+
+def constant(text: str, macros: dict[str, str] | None = None) -> int | None:
+    """A constant integer expression of digits, macros, + - * / % and parentheses; None if it is none.
+
+    Macros may stand for others, however long the chain; one that leads back to itself has no value.
+    """
+    macros, known, waiting = macros or {}, {}, [None]
+    while True:
+        name = waiting[-1]
+        expression = text if name is None else macros[name]
+        names = [w for w in re.findall(r"[A-Za-z_]\w*", re.sub(r"0[xX][0-9A-Fa-f]+", "0", expression or "")) if w in macros and w not in known]
+        if any(w in waiting for w in names):
+            known |= {w: None for w in names if w in waiting}
+        elif names:
+            waiting.append(names[0])
         else:
-            yield {"kind": "macro", "name": m[4], "value": re.sub(r"/\*.*?\*/|//.*", "", m[5] or "").strip() or None, "line_start": line(m.start())}
+            value = _evaluated(expression or "", known)
+            waiting.pop()
+            if name is None:
+                return value
+            known.setdefault(name, value)
 
 
-def constant(text: str, macros: dict[str, str] | None = None, left: int = 8) -> int | None:
-    """A constant integer expression of digits, macros, + - * / % and parentheses; None if it is none."""
+def _evaluated(text: str, known: dict[str, int | None]) -> int | None:
     tokens = re.findall(r"0[xX][0-9A-Fa-f]+|\d+|[A-Za-z_]\w*|\S", text)
     k = 0
 
@@ -194,10 +238,9 @@ def constant(text: str, macros: dict[str, str] | None = None, left: int = 8) ->
             return atom() * (1 if t == "+" else -1)
         if t[0].isdigit():
             return int(t, 16 if t[:2].lower() == "0x" else 10)
-        value = constant(macros[t], macros, left - 1) if macros and t in macros and left else None
-        if value is None:
+        if known.get(t) is None:
             raise ValueError(t)
-        return value
+        return known[t]
 
     def product() -> int:
         nonlocal k
@@ -222,7 +265,7 @@ def constant(text: str, macros: dict[str, str] | None = None, left: int = 8) ->
     try:
         value = total()
         return value if k == len(tokens) else None
-    except (ValueError, IndexError, KeyError, ZeroDivisionError):
+    except (ValueError, IndexError, KeyError, ZeroDivisionError, RecursionError):
         return None
 
 
