@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, with_bytes
+from .common import keeps, map_rows, stored, with_bytes
 from .tokens import byte_letters
 
 #: units and transitions kept by a worker process before a memo starts anew, and the longest unit kept
@@ -207,6 +207,7 @@ class Aligner:
 
 
 _open: dict[tuple[str, str], Aligner] = {}
+keeps("alignment", _open.clear)
 
 
 def aligner(bytes_path: str, pieces_path: str) -> Aligner:
@@ -238,7 +239,7 @@ def aligned(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
             yield out
 
     fields = "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
-    return stored(map_rows(with_bytes(docs), ["doc_id", "raw"], run, fields))
+    return stored(map_rows(with_bytes(docs), ["doc_id", "raw"], run, fields, "alignment"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

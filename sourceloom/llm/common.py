@@ -79,6 +79,20 @@ def stored_counting(df: DataFrame, condition: Column | None = None) -> tuple[Dat
     return out, seen.get["n"]
 
 
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    """A worker process keeps something between tasks, until one begins that does not use it."""
+    _forget[name] = forget
+
+
+def drop_others(uses: str) -> None:
+    for name, forget in _forget.items():
+        if name != uses:
+            forget()
+
+
 def give_back() -> None:
     """What this worker process no longer uses goes back to the system: it is used again by other stages, beside the JVM."""
     gc.collect()
@@ -88,8 +102,8 @@ def give_back() -> None:
         trim(0)
 
 
-def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list]]], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` over chosen columns.
+def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list]]], Iterator[dict]], schema: str, uses: str = "") -> DataFrame:
+    """``mapInArrow`` over chosen columns; ``uses`` names what the worker process may keep (see ``keeps``).
 
     ``fn`` gets an iterator of chunks (lists of Python columns, at most about
     BATCH_BYTES of text each) and yields dicts of column lists.
@@ -108,6 +122,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list
                 yield [c.slice(at, step).to_pylist() for c in batch.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(uses)
         for cols in fn(chunks(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
         give_back()
@@ -124,6 +139,7 @@ def keep_rows(df: DataFrame, text: str, judge: Callable[[], Callable[[list[bytes
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("")
         judged = judge()
         for batch in batches:
             size = max(1, batch.column(at).nbytes)

@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, terminator: int = 0
             yield out
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
-    return map_rows(with_bytes(docs), ["doc_id", "raw"], cut, schema)
+    return map_rows(with_bytes(docs), ["doc_id", "raw"], cut, schema, "tokens")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -69,7 +69,7 @@ def flatten(docs: DataFrame, path: str, separator: int, dtype: str = "<u2") -> t
         if length:
             yield {"kind": ["file"], "file_id": [file_id], "path": [f"{folder}/{name}"], "length": [length], "doc_ids": [None]}
 
-    flat = stored(map_rows(with_bytes(docs), ["doc_id", "raw"], write, "kind string, file_id int, path string, length long, doc_ids array<long>"), "kind")
+    flat = stored(map_rows(with_bytes(docs), ["doc_id", "raw"], write, "kind string, file_id int, path string, length long, doc_ids array<long>", "tokens"), "kind")
     kept = spark._jvm.org.apache.hadoop.fs.Path(folder)
     kept.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(kept)
     manifest = flat.where("kind = 'manifest'").select("file_id", F.col("length").alias("first"), "doc_ids")

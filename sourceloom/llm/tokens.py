@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import keeps
+
 #: chunks and words kept by a worker process before a cache starts anew
 CACHE_CHUNKS, CACHE_WORDS = 200_000, 200_000
 #: longer ones are not kept, so the caches' bytes are bounded too
@@ -35,6 +37,7 @@ def byte_letters() -> dict[int, int]:
 
 _BYTE_LETTERS = byte_letters()
 _open: dict[tuple[str, bool], "WordTokenizer"] = {}
+keeps("tokens", _open.clear)
 
 
 class WordTokenizer:
