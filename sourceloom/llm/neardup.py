@@ -153,7 +153,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             if full:
                 low, high = signatures([sets[k] for k in full])
                 keys = bands(low, high).T.astype(np.int64)
-                bytes_ = np.concatenate([low, high]).T >> np.uint64(56)
+                bytes_ = mix(np.concatenate([low, high]).T) >> np.uint64(56)  # mixed: the top bytes of extremes are alike for all long texts
                 for row, k in enumerate(full):
                     codes = sets[k]
                     sums = [int(np.bitwise_xor.reduce(mix(codes + np.uint64(s)))) & (2**64 - 1) for s in (1, 2)]

@@ -36,3 +36,19 @@ def test_counts_while_writing(spark):
     out, n = stored_counting(rows.where("id < 0"))
     assert (out.count(), n) == (0, 0)
     assert stored_counting(spark.createDataFrame([], "id long").join(rows, "id"))[1] == 0
+
+
+def test_signature_bytes_tell_unrelated_sets_apart():
+    import numpy as np
+
+    from sourceloom.llm import neardup
+
+    rng = np.random.default_rng(3)
+    for size in (20, 150, 600, 1500, 5000):
+        sets = [rng.integers(0, 2**63, size, dtype=np.uint64) for _ in range(40)]
+        near = [np.concatenate([s[: size * 9 // 10], rng.integers(0, 2**63, size // 10, dtype=np.uint64)]) for s in sets]
+        low, high = neardup.signatures(sets + near)
+        held = (neardup.mix(np.concatenate([low, high]).T) >> np.uint64(56)).astype(np.uint8)
+        agree = lambda a, b: 2 * np.count_nonzero(a == b) >= len(a)
+        assert not any(agree(held[k], held[k + 1]) for k in range(39))
+        assert all(agree(held[k], held[40 + k]) for k in range(40))
