@@ -120,8 +120,8 @@ def place(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
-    # broadcast: a row for each length and SALT_ROWS pieces, and some rows of the plan for each length
-    ranked = salted.withColumn("own_rank", F.row_number().over(own) - 1).join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own_rank"))
+    # the plan, some rows for each length, is broadcast; ``base``, which grows with the pieces, is not: both sides lie by length and salt
+    ranked = salted.withColumn("own_rank", F.row_number().over(own) - 1).join(base.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own_rank"))
     within = F.col("rank") - F.col("rank_from")
     placed = (
         ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
