@@ -107,16 +107,19 @@ def count_tokens(files: DataFrame, separator: int, dtype: str = "<u2") -> DataFr
                 out["gaps"].append((np.diff(ends, prepend=-1) - 1).tolist())
             yield out
 
-    found = map_rows(blocks_of(files, dtype), ["file_id", "block_no", "path", "start", "size"], search, f"file_id {key}, block_no long, n_tokens long, n_ended long, after long, gaps array<long>")
+    found = stored(map_rows(blocks_of(files, dtype), ["file_id", "block_no", "path", "start", "size"], search, f"file_id {key}, block_no long, n_tokens long, n_ended long, after long, gaps array<long>"))
     order = Window.partitionBy("file_id").orderBy("block_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # the scan holds a few numbers for each range; the counts stay where they are stored and meet their range's start again
     scanned = (
-        found.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+        found.drop("gaps")
+        .withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
         .withColumn("ordinal", F.coalesce(F.sum("n_ended").over(before), F.lit(0)))
         .withColumn("ended", F.coalesce(F.max(F.col("start") + F.col("after")).over(before), F.lit(0)))
         .withColumn("last", F.lead("block_no").over(order).isNull())
     )
     opened, tail = F.col("start") - F.col("ended"), F.col("n_tokens") - F.coalesce("after", F.lit(0))
+    scanned = scanned.join(found.select("file_id", "block_no", "gaps").hint("merge"), ["file_id", "block_no"])
     gaps = F.when(F.col("last") & (F.when(F.col("n_ended") > 0, tail).otherwise(tail + opened) > 0), F.concat("gaps", F.array(tail))).otherwise(F.col("gaps"))
     return scanned.select("file_id", "ordinal", "n_ended", opened.alias("opened"), F.posexplode(gaps).alias("k", "gap")).select(
         "file_id",
