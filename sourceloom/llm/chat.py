@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import partitions
+from .common import map_rows, partitions
 from .tokens import tokenizer
 
 # fixed values: the template's control strings
@@ -180,25 +180,30 @@ def windows(turns: DataFrame, path: str, budget: int = 1024, history: int = 256)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path, plain_specials=True).encode
-
         def planned() -> Iterator[dict]:
             now = None
-            for conv_id, role, text in _rows(batches):
+            for conv_id, role, text, n_tokens in _rows(batches):
                 if now is None or now.conv_id != conv_id:
                     if now:
                         yield from now.plan(last=True)
                     now = _Conversation(conv_id, budget, history)
-                yield from now.add(role, text, len(encode([text.encode()])[0]) // 4)
+                yield from now.add(role, text, n_tokens)
             if now:
                 yield from now.plan(last=True)
 
         yield from _batches(planned(), arrow, 128)
 
-    ship(turns.sparkSession)
+    def count(chunks: Iterator[list[list]]) -> Iterator[dict]:
+        encode = tokenizer(path, plain_specials=True).encode
+        for conv_ids, numbers, roles, texts in chunks:
+            yield {"conv_id": conv_ids, "turn": numbers, "role": roles, "text": texts, "n_tokens": [len(ids) // 4 for ids in encode([t.encode() for t in texts])]}
+
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    dealt = turns.select("conv_id", "turn", text("role"), text("text")).repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, out)
+    plain = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
+    # tokenised where they are read; only the plan of a conversation is made in one task
+    counted = map_rows(plain, plain.columns, count, "conv_id long, turn long, role string, text string, n_tokens long", "tokens")
+    dealt = counted.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text", "n_tokens").mapInArrow(run, out)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
