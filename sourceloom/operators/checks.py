@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hostvars import variables
+from .diffs import diff_summary
 
 # fixed values: keywords that a conversion keeps
 KEYWORDS = ("SELECT", "FROM", "WHERE", "INSERT", "UPDATE", "DELETE", "INTO", "VALUES", "SET", "JOIN", "GROUP", "ORDER", "HAVING", "UNION", "AND", "OR", "NOT", "IN", "EXISTS", "BETWEEN", "LIKE", "IS", "NULL")
@@ -60,20 +58,7 @@ def check_totals(checks: DataFrame, by: str = "file") -> DataFrame:
 
 def token_diffs(pairs: DataFrame) -> DataFrame:
     """The pairs with similarity and the counts of replaced, deleted and inserted token runs."""
-    import re
-    from difflib import SequenceMatcher
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for a, b in zip(frame["sql"].fillna(""), frame["parsed_sql"].fillna("")):
-                match = SequenceMatcher(None, re.findall(r"\w+|[^\w\s]", a), re.findall(r"\w+|[^\w\s]", b), autojunk=False)
-                ops = [o[0] for o in match.get_opcodes()]
-                rows.append((round(match.ratio(), 6), ops.count("replace"), ops.count("delete"), ops.count("insert")))
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=["similarity", "replaced", "deleted", "inserted"])], axis=1)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInPandas(run, f"{fields}, similarity double, replaced long, deleted long, inserted long")
+    return diff_summary(pairs)
 
 
 def static_prechecks(files: DataFrame, found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hostvars as hv
 from ..functions import rewrite as rw
-from ..operators import relations
+from ..operators import diffs, relations
 from .queries import query, read
 
 
@@ -84,3 +84,30 @@ def a3(spark, sf_dir):
 def h8(spark, sf_dir):
     text = "if(o_orderkey % 3 = 0, concat('SELECT a FROM t LIMIT ', o_orderkey), concat('SELECT \\' LIMIT ', o_orderkey, '\\' FROM t'))"
     return made(spark, sf_dir, text).select("k", rw.paged(F.col("t"), "mysql").alias("sql"))
+
+
+#: a statement and its conversion: the status changes, ', name' is put in, ' AND a = ...' goes, some words repeat
+_BEFORE = "concat('SELECT id FROM t_', o_orderkey, repeat(' x ,', cast(o_orderkey % 4 as int)), ' WHERE s = ', o_orderstatus, ' AND a > ', o_orderkey % 9) AS sql"
+_AFTER = "concat('SELECT id, name  FROM t_', o_orderkey, repeat(' x ,', cast(o_orderkey % 4 as int)), ' WHERE s = #{st}') AS parsed_sql"
+
+
+@query(
+    "k3_diff_ranges",
+    """WITH p AS (SELECT o_orderkey AS k, CAST(9 + length(concat(' FROM t_', o_orderkey, repeat(' x ,', CAST(o_orderkey % 4 AS INT)), ' WHERE s =')) AS INTEGER) AS a, length(concat(o_orderstatus, ' AND a > ', o_orderkey % 9)) AS n FROM orders)
+ SELECT k, 'insert' AS op, 9 AS a_start, 9 AS a_end, 9 AS b_start, 15 AS b_end FROM p UNION ALL SELECT k, 'replace', a + 1, CAST(a + 1 + n AS INTEGER), a + 8, a + 13 FROM p""",
+)
+def k3(spark, sf_dir):
+    pairs = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", _BEFORE, _AFTER)
+    return diffs.diff_ranges(pairs).drop("sql", "parsed_sql")
+
+
+@query("k3_diff_summary", """SELECT o_orderkey AS k, round(2 * (7 + 2 * (o_orderkey % 4)) / (25 + 4 * (o_orderkey % 4))::DOUBLE, 6) AS similarity, CAST(1 AS BIGINT) AS replaced, CAST(0 AS BIGINT) AS deleted, CAST(1 AS BIGINT) AS inserted FROM orders""")
+def k3_summary(spark, sf_dir):
+    pairs = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", _BEFORE, _AFTER)
+    return diffs.diff_summary(pairs).drop("sql", "parsed_sql")
+
+
+@query("n23_line_diffs", """SELECT o_orderkey AS k, '@@ -1,5 +1,5 @@' || chr(10) || ' open c' || chr(10) || '-' || o_orderstatus || chr(10) || '+status' || chr(10) || ' key ' || o_orderkey || chr(10) || ' end' || chr(10) || ' close c' AS diff FROM orders""")
+def n23(spark, sf_dir):
+    lines = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "concat_ws('\n', 'open c', o_orderstatus, concat('key ', o_orderkey), 'end', 'close c') AS a", "concat_ws('\n', 'open c', 'status', concat('key ', o_orderkey), 'end', 'close c') AS b")
+    return lines.select("k", diffs.unified_diff(F.col("a"), F.col("b")).alias("diff"))
