@@ -6,26 +6,91 @@ by file (and name or function); what remains is a range or a window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import sqltree
+from ..session import ship
+
+
+def _range(elements: DataFrame, start_only: bool) -> tuple[Column, Column]:
+    end = F.col("line_start") if start_only or "line_end" not in elements.columns else F.coalesce("line_end", "line_start")
+    return F.col("line_start").cast("long"), end.cast("long")
 
 
-def scoped(elements: DataFrame, functions: DataFrame) -> DataFrame:
-    """Each element with the first function whose lines hold it (``function``: null outside all)."""
-    f = functions.select(F.col("file_id").alias("_f"), F.col("name").alias("_name"), F.col("line_start").alias("_s"), F.col("line_end").alias("_e"))
-    inside = (F.col("file_id") == F.col("_f")) & (F.col("_s") <= F.col("line_start")) & (F.col("_e") >= F.col("line_end"))
-    joined = elements.withColumn("_id", F.monotonically_increasing_id()).join(f, inside, "left")
-    first = Window.partitionBy("_id").orderBy("_s", "_e")
-    return joined.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").withColumn("function", F.col("_name")).drop("_f", "_name", "_s", "_e", "_rn", "_id")
+def scoped(elements: DataFrame, functions: DataFrame, start_only: bool = False, innermost: bool = False) -> DataFrame:
+    """Each element with the function whose lines hold it (``function``: null outside all, or where the element has no line).
+
+    The first such function by (start, end), or the innermost: the last one to
+    start, of those the first to end. ``start_only`` looks at an element's first
+    line; so does an element without a last line, or with one before its first.
+
+    No pairs are made. First: of the functions of a file only those that end after
+    all earlier ones matter, and the first of them to end at or after an element is
+    found by one window over ends. Innermost: one sweep over starts, with a stack
+    of what is open.
+    """
+    return _innermost(elements, functions, start_only) if innermost else _first(elements, functions, start_only)
+
+
+def _first(elements: DataFrame, functions: DataFrame, start_only: bool) -> DataFrame:
+    by_start = Window.partitionBy("_file").orderBy("_s", "_e", "_name")
+    spans = functions.select(F.col("file_id").alias("_file"), F.col("line_start").cast("long").alias("_s"), F.col("line_end").cast("long").alias("_e"), F.col("name").alias("_name")).where("_s is not null and _e is not null")
+    before = F.max("_e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    latest = spans.withColumn("_before", before).where("_before is null or _e > _before").select("_file", F.col("_e").alias("_at"), F.struct("_s", "_name").alias("_span"))
+    start, end = _range(elements, start_only)
+    row = F.struct(*(F.col(f"`{c}`") for c in elements.columns)).alias("_row")
+    asked = elements.select(F.col("file_id").alias("_file"), F.greatest(start, end).alias("_at"), row)
+    both = asked.unionByName(latest, allowMissingColumns=True)
+    down = Window.partitionBy("_file").orderBy(F.desc("_at"), F.col("_span").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.last("_span", True).over(down)).where("_row is not null")
+    inside = F.when(F.col("_found._s") <= F.col("_row.line_start"), F.col("_found._name"))
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in elements.columns if c != "function"), inside.alias("function"))
+
+
+def _innermost(elements: DataFrame, functions: DataFrame, start_only: bool) -> DataFrame:
+    kept = [c for c in elements.columns if c != "function"]
+    start, end = _range(elements, start_only)
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row")
+    spans = functions.select(F.col("file_id").alias("_file"), F.col("line_start").cast("long").alias("_s"), F.col("line_end").cast("long").alias("_e"), F.col("name").alias("_name")).where("_s is not null and _e is not null")
+    both = elements.select(F.col("file_id").alias("_file"), start.alias("_s"), F.greatest(start, end).alias("_e"), row).unionByName(spans, allowMissingColumns=True)
+    asked = F.col("_row").isNotNull().alias("_asked")
+    n = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.select("*", asked).repartition(n, "_file").sortWithinPartitions("_file", "_s", "_asked", F.desc("_e"), F.desc("_name"))
+    schema = T.StructType([T.StructField("_row", both.schema["_row"].dataType), T.StructField("function", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, opened = None, []
+        for batch in batches:
+            held, names = batch.column("_row"), []
+            for f, s, e, name, is_asked in zip(*(batch.column(c).to_pylist() for c in ("_file", "_s", "_e", "_name", "_asked"))):
+                if f != file:
+                    file, opened = f, []
+                while s is not None and opened and opened[-1][0] < s:
+                    opened.pop()
+                if is_asked:
+                    names.append(next((n for end, n in reversed(opened) if end >= e), None) if s is not None else None)
+                else:
+                    opened.append((e, name))
+            yield pa.RecordBatch.from_arrays([held.filter(batch.column("_asked")), pa.array(names, pa.string())], schema=arrow)
+
+    ship(elements.sparkSession)
+    found = dealt.mapInArrow(sweep, schema)
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in kept), "function")
 
 
 def inside_spans(elements: DataFrame, spans: DataFrame) -> DataFrame:
-    """Elements that lie in some span of their file."""
-    s = spans.select(F.col("file_id").alias("_f"), F.col("line_start").alias("_s"), F.col("line_end").alias("_e"))
-    return elements.join(s, (F.col("file_id") == F.col("_f")) & F.col("line_start").between(F.col("_s"), F.col("_e")), "left_semi")
+    """Elements whose first line lies in some span of their file."""
+    row = F.struct(*(F.col(f"`{c}`") for c in elements.columns)).alias("_own")
+    asked = elements.select("file_id", "line_start", row)
+    return scoped(asked, spans.select("file_id", "line_start", "line_end", F.lit("in").alias("name")), start_only=True).where("function is not null").select(*(F.col("_own").getField(c).alias(c) for c in elements.columns))
 
 
 _CURSOR = r"(?i)\b(?:DECLARE|OPEN|FETCH|CLOSE)\s+(\w+)"
@@ -179,10 +244,14 @@ def docstrings(functions: DataFrame, comments: DataFrame, gap: int = 2) -> DataF
     """Functions with the comments that end at most ``gap`` lines above, chained upwards: islands by running sum."""
     w = Window.partitionBy("file_id").orderBy("line_start")
     islands = comments.withColumn("_new", F.when(F.col("line_start") - F.lag("line_end").over(w) <= gap, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w))
-    joined = islands.groupBy("file_id", "_island").agg(F.max("line_end").alias("_end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "raw"))), lambda s: s["raw"]), "\n").alias("docstring"))
-    near = functions.select("file_id", "name", "line_start").join(joined, "file_id").where(F.expr(f"_end < line_start and line_start - _end <= {gap}"))
-    best = near.groupBy("file_id", "name").agg(F.max_by("docstring", "_end").alias("docstring"))
-    return functions.join(best, ["file_id", "name"], "left")
+    texts = islands.groupBy("file_id", "_island").agg(F.max("line_end").alias("_at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "raw"))), lambda s: s["raw"]), "\n").alias("_text"))
+    ends = texts.select("file_id", "_at", F.struct("_at", "_text").alias("_doc"))
+    row = F.struct(*(F.col(f"`{c}`") for c in functions.columns)).alias("_row")
+    both = functions.select("file_id", F.col("line_start").cast("long").alias("_at"), row).unionByName(ends, allowMissingColumns=True)
+    above = Window.partitionBy("file_id").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)  # on lines before
+    near = both.withColumn("_doc", F.last("_doc", True).over(above)).where("_row is not null")
+    docstring = F.when(F.col("_at") - F.col("_doc._at") <= gap, F.col("_doc._text"))
+    return near.select(*(F.col("_row").getField(c).alias(c) for c in functions.columns), docstring.alias("docstring"))
 
 
 def macro_sizes(variables: DataFrame, macros: DataFrame) -> DataFrame:
