@@ -115,6 +115,40 @@ def c_elements(text: str) -> Iterator[dict]:
         yield {"kind": "variable", "name": m[2], "line_start": line(m.start(2)), "line_end": line(m.end() - 1), "raw": m[0].strip(), "parent": None, "data_type": " ".join(m[1].split()), "args": m[3]}
 
 
+def _blanked(text: str) -> str:
+    """The text with comments, strings, directives and embedded SQL as spaces: all places stay."""
+    gone = [(m.start(), m.end()) for m in TOKEN.finditer(text) if m.lastgroup in ("comment", "string", "directive")] + [(b["start"], b["end"]) for b in sql_blocks(text)]
+    out, at = [], 0
+    for a, b in sorted(gone):
+        if b > at:
+            out += [text[at : max(a, at)], re.sub(r"[^\n]", " ", text[max(a, at) : b])]
+            at = b
+    return "".join(out) + text[at:]
+
+
+_ASSIGNED = re.compile(r"(?<![\w.>])([A-Za-z_]\w*)\s*((?:\[[^\]]*\]\s*)*)[-+*/%&|^]?=(?!=)([^;{}]*);")
+_FIELD = re.compile(r"\b([A-Za-z_]\w*)(?:\[[^\]]*\])?\s*(->|\.)\s*([A-Za-z_]\w*)\s*(=(?!=))?")
+
+
+def assignments(text: str) -> Iterator[dict]:
+    """Variables that are set, initial values too, and the expressions that they are set to; in ``a = b = c`` each is one."""
+    line, plain = Lines(text), _blanked(text)
+    for m in _ASSIGNED.finditer(plain):
+        targets, rest = [m[1]], m[3]
+        while inner := re.match(r"\s*([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)*=(?!=)(.*)", rest, re.S):
+            targets.append(inner[1])
+            rest = inner[2]
+        for target in targets:
+            yield {"target": target, "expression": " ".join(rest.split()), "line_start": line(m.start(1)), "line_end": line(m.end() - 1)}
+
+
+def field_uses(text: str) -> Iterator[dict]:
+    """Members of structures that are read or written (before a single ``=``)."""
+    line = Lines(text)
+    for m in _FIELD.finditer(_blanked(text)):
+        yield {"struct": m[1], "field": m[3], "access": "write" if m[4] else "read", "is_pointer": m[2] == "->", "line_start": line(m.start())}
+
+
 def declare_sections(text: str) -> Iterator[dict]:
     """Spans and bodies of declare sections, from a BEGIN block to the next END; one that never ends is none, nor one in a comment or string."""
     begun = None
@@ -315,6 +349,8 @@ SCANS: dict[str, tuple[Callable[[str], Iterator[dict]], str]] = {
     "section": (declare_sections, _SPAN),
     "plain_sql": (plain_blocks, _SPAN),
     "tokens": (normalized_tokens, "sql string, inputs array<string>, outputs array<string>"),
+    "assignment": (assignments, "target string, expression string, line_start long, line_end long"),
+    "field": (field_uses, "struct string, field string, access string, is_pointer boolean, line_start long"),
     "chunk": (chunks, "chunk int, start long, end long, raw string"),
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.corpus import statements
-from ..operators import dynamic, relations
+from ..operators import dynamic, program_graph, relations
 from ..operators.scanner import scan_files
 from .queries import ST, query, read
 
@@ -62,3 +62,45 @@ def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = relations.scoped(scan_files(files, "sql"), c.where("kind = 'function'")).withColumn("sql_text", F.col("raw"))
     calls = c.where("kind = 'function_call'").withColumn("function", F.col("parent"))
     return dynamic.prepared_sql(calls, blocks).select("file_id", "function", "prepare_line", "sql_text", "confidence")
+
+
+#: two files for each part: a source with a function, and a header that includes another
+_PROGRAM = """
+SELECT concat('src/s', p_partkey, '.c') AS path, concat('#include "h', p_partkey, '.h"', chr(10), '#include <stdio.h>', chr(10), '/* #include "no.h" */', chr(10), 'int g_', p_partkey, ';', chr(10),
+  'void f', p_partkey, '(void) ', chr(123), chr(10), '  int a;', chr(10), '  int b;', chr(10), '  rec_t rec;', chr(10), '  b = a + g_', p_partkey, ';', chr(10), '  rec.fld = b;', chr(10), '  if (rec.other == 1) f', CAST(floor(p_partkey / 2) AS INT), '(a); printf("a = b;");', chr(10), chr(125), chr(10)) AS content FROM {part}
+UNION ALL
+SELECT concat('inc/h', p_partkey, '.h'), concat('#include "../inc/./h', CAST(floor(p_partkey / 3) AS INT), '.h"', chr(10), '#define N ', p_partkey, chr(10)) FROM {part}"""
+
+#: what the sources of all parts that 250 divides lead to
+_REACHED = """WITH RECURSIVE f(k) AS (SELECT p_partkey FROM part WHERE p_partkey % 250 = 0 UNION SELECT CAST(floor(k / 2) AS INT) FROM f WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = CAST(floor(k / 2) AS INT))),
+ h(k) AS (SELECT k FROM f UNION SELECT CAST(floor(k / 3) AS INT) FROM h WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = CAST(floor(k / 3) AS INT)))"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = read(spark, sf_dir, "part")
+    files = spark.sql(_PROGRAM, part=part)
+    return program_graph.program_graph(files, part.where("p_partkey % 250 = 0").select(F.expr("concat('src/s', p_partkey, '.c')").alias("path")), ["lib", "inc"])
+
+
+@query(
+    "g4_program_edges",
+    _REACHED
+    + """ SELECT 'file:src/s' || k || '.c' AS source_id, 'file:inc/h' || k || '.h' AS target_id, 'INCLUDES' AS kind FROM f UNION ALL SELECT 'file:src/s' || k || '.c', 'header:stdio.h', 'INCLUDES' FROM f
+ UNION ALL SELECT 'file:inc/h' || k || '.h', CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey = CAST(floor(k / 3) AS INT)) THEN 'file:inc/h' || CAST(floor(k / 3) AS INT) || '.h' ELSE 'header:../inc/./h' || CAST(floor(k / 3) AS INT) || '.h' END, 'INCLUDES' FROM h
+ UNION ALL SELECT 'file:src/s' || k || '.c', 'function:src/s' || k || '.c::f' || k, 'CONTAINS' FROM f UNION ALL SELECT 'function:src/s' || k || '.c::f' || k, 'external:printf', 'CALLS' FROM f
+ UNION ALL SELECT 'function:src/s' || k || '.c::f' || k, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey = CAST(floor(k / 2) AS INT)) THEN 'function:src/s' || CAST(floor(k / 2) AS INT) || '.c::f' || CAST(floor(k / 2) AS INT) ELSE 'external:f' || CAST(floor(k / 2) AS INT) END, 'CALLS' FROM f
+ UNION ALL SELECT 'variable:src/s' || k || '.c::' || x, 'variable:src/s' || k || '.c::b', 'DATA_FLOW' FROM (SELECT k, unnest(['a', 'g_' || k]) AS x FROM f)
+ UNION ALL SELECT 'variable:src/s' || k || '.c::rec', 'member:src/s' || k || '.c::rec.fld', 'FIELD_WRITE' FROM f UNION ALL SELECT 'variable:src/s' || k || '.c::rec', 'member:src/s' || k || '.c::rec.other', 'FIELD_READ' FROM f""",
+)
+def g4_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[1]
+
+
+@query(
+    "g4_program_nodes",
+    _REACHED
+    + """ SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'file' AS kind FROM f UNION ALL SELECT 'file' FROM h UNION ALL SELECT 'function' FROM f UNION ALL SELECT 'variable' FROM f, (SELECT unnest([1, 2, 3, 4])) UNION ALL SELECT 'member' FROM f, (SELECT unnest([1, 2]))
+ UNION ALL SELECT 'header' UNION ALL SELECT DISTINCT 'header' || '' FROM h WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = CAST(floor(k / 3) AS INT)) UNION ALL SELECT 'external' UNION ALL SELECT DISTINCT 'external' || '' FROM f WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = CAST(floor(k / 2) AS INT))) GROUP BY kind""",
+)
+def g4_nodes(spark, sf_dir):
+    return _graph(spark, sf_dir)[0].groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
