@@ -124,20 +124,22 @@ def tag(kind: Column, tags: tuple[dict[str, str], str] = CONVERTER_TAGS) -> Colu
     return out
 
 
-#: a table of rules is compiled into the plan; a longer one is no table of rules
-MOST_RULES = 10_000
+#: rules of one CASE
+CASE_RULES = 5_000
 
 
 def classify_by_table(df: DataFrame, rules: DataFrame, text: str = "sql_text") -> DataFrame:
     """Rules from a table (name, priority, ord, pattern): the first by priority wins; adds ``rule``.
 
-    The rules become one CASE over the text, so rows are neither joined nor told apart by a key.
+    The rules become CASE expressions over the text, some thousands in each, so rows
+    are neither joined nor told apart by a key. For plain words see ``automaton.routed``.
     """
-    found = rules.orderBy(F.desc("priority"), "ord", "name").limit(MOST_RULES + 1).collect()
-    if len(found) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    arms = [F.when(F.regexp_like(text, F.lit(r.pattern)), r["name"]) for r in found]
-    return df.withColumn("rule", F.coalesce(*arms, F.lit("unknown")))
+    found = rules.orderBy(F.desc("priority"), "ord", "name").collect()
+    out = df.withColumn("rule", F.lit(None).cast("string"))
+    for k in range(0, len(found), CASE_RULES):
+        arms = [F.when(F.regexp_like(text, F.lit(r.pattern)), r["name"]) for r in found[k : k + CASE_RULES]]
+        out = out.withColumn("rule", F.coalesce("rule", *arms))
+    return out.withColumn("rule", F.coalesce("rule", F.lit("unknown")))
 
 
 def strict_type(text: Column, kinds: RuleSet | None = None) -> Column:
@@ -185,8 +187,8 @@ def header_type(text: Column) -> Column:
 def keyword_counts(df: DataFrame, text: str, words: tuple[str, ...] = FIRST_WORDS) -> DataFrame:
     """(keyword, n) over all rows, comments left out, in long form."""
     bare = F.regexp_replace(F.col(text), r"(?s)/\*.*?\*/|//[^\n]*|--[^\n]*", " ")
-    counted = df.select(bare.alias("t")).select(*(F.sum(F.regexp_count("t", F.lit(rf"(?i)EXEC\s+SQL\s+{w}\b"))).alias(w) for w in words))
-    return counted.select(F.expr(f"stack({len(words)}, {', '.join(f'{chr(39)}{w}{chr(39)}, `{w}`' for w in words)}) as (keyword, n)")).where("n > 0")
+    found = F.regexp_extract_all(bare, F.lit(rf"(?i)EXEC\s+SQL\s+({'|'.join(words)})\b"), F.lit(1))
+    return df.select(F.explode(found).alias("w")).groupBy(F.upper("w").alias("keyword")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def route(text: Column, table: list[tuple[str, list[str]]], default: str) -> Column:

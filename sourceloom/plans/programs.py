@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import automaton
 from ..functions.corpus import statements
-from ..operators import dynamic, program_graph, relations
+from ..operators import dynamic, program_graph, relations, search
 from ..operators.scanner import scan_files
 from .queries import ST, query, read
 
@@ -104,3 +105,34 @@ def g4_edges(spark, sf_dir):
 )
 def g4_nodes(spark, sf_dir):
     return _graph(spark, sf_dir)[0].groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_W = r"list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t-\r]+'), lambda w: w <> ''))"
+
+
+@query(
+    "j27_many_searches",
+    rf"""WITH n AS (SELECT doc_id, unnest({_W}) AS w FROM documents), q AS (SELECT item_id, {_W} AS ws FROM benchmark), qw AS (SELECT item_id, len(ws) AS size, unnest(ws) AS w FROM q),
+ s AS (SELECT item_id, doc_id, CAST(count(*) AS INTEGER) AS hits, any_value(size) AS size FROM qw JOIN n USING (w) GROUP BY item_id, doc_id)
+ SELECT item_id AS query_id, doc_id AS entry_id, hits, round(hits / size::DOUBLE, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def j27(spark, sf_dir):
+    path = search.write_index(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.col("text").alias("content")))
+    found = search.search(spark, path, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return found.withColumn("score", F.round("score", 9))
+
+
+#: rules from parts, plain ones and, one in a hundred, expressions; texts from orders name three parts
+_RULES = "'agent' || p_brand AS target, p_size AS priority, p_partkey AS ord, CASE WHEN p_partkey % 100 = 7 THEN '^order ' || p_partkey || '[05]*\\b' ELSE 'Part <' || p_partkey || '>' END AS pattern"
+_TEXT = "'order ' || o_orderkey || ': part <' || (o_orderkey * 7 % 2300) || '>, PART <' || (o_custkey * 3 % 2100) || '>, part <' || (o_orderkey % 1999) || '>.'"
+
+
+@query(
+    "c12_rules_by_priority",
+    f"""WITH r AS (SELECT {_RULES}, p_partkey % 100 = 7 AS expression FROM part), t AS (SELECT o_orderkey AS k, {_TEXT} AS text FROM orders)
+ SELECT k, coalesce(arg_min(target, 1000000 * (100 - priority) + ord) FILTER (WHERE target IS NOT NULL), 'nobody') AS target FROM t LEFT JOIN r ON CASE WHEN expression THEN regexp_matches(text, pattern, 'i') ELSE contains(lower(text), lower(pattern)) END GROUP BY k""",
+)
+def c12(spark, sf_dir):
+    rules = read(spark, sf_dir, "part").selectExpr(*_RULES.replace("\\b", "\\\\b").split(", ", 3))
+    texts = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", _TEXT + " AS text")
+    return automaton.routed(texts, rules, "text", "nobody").select("k", "target")
