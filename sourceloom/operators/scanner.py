@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -355,9 +356,10 @@ SCANS: dict[str, tuple[Callable[[str], Iterator[dict]], str]] = {
 }
 
 
-def scan_files(files: DataFrame, what: str, key: str = "file_id", text: str = "content") -> DataFrame:
-    """One row for each element that a scanner finds; a null text has none. ``seq`` is the order in the file."""
+def scan_files(files: DataFrame, what: str, key: str = "file_id", text: str = "content", **options) -> DataFrame:
+    """One row for each element that a scanner finds; a null text has none. ``seq`` is the order in the file; ``options`` go to the scanner."""
     scan, fields = SCANS[what]
+    scan = partial(scan, **options) if options else scan
     schema = T._parse_datatype_string(f"{key} {files.schema[key].dataType.simpleString()}, seq int, {fields}")
     arrow = to_arrow_schema(schema)
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import automaton
 from ..functions.corpus import statements
-from ..operators import dynamic, program_graph, relations, search
+from ..operators import chunked, dynamic, extensions, program_graph, relations, search
 from ..operators.scanner import scan_files
-from .queries import ST, query, read
+from .queries import ST, query, read, source_texts
 
 _SPANS = "sp AS (SELECT file_id, line_start AS s, line_start + 10 + line_start % 97 AS e, 'f' || line_start AS name FROM st WHERE line_start % 3 = 0)"
 
@@ -136,3 +136,40 @@ def c12(spark, sf_dir):
     rules = read(spark, sf_dir, "part").selectExpr(*_RULES.replace("\\b", "\\\\b").split(", ", 3))
     texts = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", _TEXT + " AS text")
     return automaton.routed(texts, rules, "text", "nobody").select("k", "target")
+
+
+@query("a17_chunk_counts", ST + r" SELECT file_id, upper(regexp_extract(sql_text, '^EXEC SQL (\w+)', 1)) AS keyword, CAST(count(*) AS BIGINT) AS n FROM st WHERE sql_text NOT LIKE 'EXEC SQL FOR%' GROUP BY ALL")
+def a17(spark, sf_dir):
+    chunks = scan_files(source_texts(spark, sf_dir), "chunk", size=400, overlap=60, near=40)
+    return chunked.chunk_counts(chunks)
+
+
+@query("u5_extensions_in_sql", ST + r""" SELECT file_id, 'block' AS kind, lower(regexp_extract(sql_text, '^EXEC SQL (\w+)', 1)) AS name, CAST(count(*) AS BIGINT) AS n FROM st GROUP BY ALL
+ UNION ALL SELECT file_id, 'run', first_word, CAST(max(len) AS BIGINT) FROM (SELECT file_id, first_word, count(*) AS len FROM (SELECT file_id, line_start, regexp_extract(sql_text, '^EXEC SQL (\w+)', 1) AS first_word, row_number() OVER (PARTITION BY file_id ORDER BY line_start) - row_number() OVER (PARTITION BY file_id, regexp_extract(sql_text, '^EXEC SQL (\w+)', 1) ORDER BY line_start) AS g FROM st) GROUP BY file_id, first_word, g) GROUP BY file_id, first_word""")
+def u5(spark, sf_dir):
+    """A scanner and a relationship by name, the one joined laterally, the other over a partitioned table."""
+    held = extensions.Extensions()
+
+    @held.relationship("longest_runs", "file_id long, name string, n long")
+    def runs(rows):
+        best: dict[str, int] = {}
+        last, length = None, 0
+        for r in rows:
+            length = length + 1 if r.word == last else 1
+            last = r.word
+            best[last] = max(best.get(last, 0), length)
+        for word, n in best.items():
+            yield {"file_id": rows[0].file_id, "name": word, "n": n}
+
+    held.install(spark)
+    sources = source_texts(spark, sf_dir)
+    words = statements(spark, sf_dir).selectExpr("file_id", "line_start", r"regexp_extract(sql_text, '^EXEC SQL (\\w+)', 1) AS word")
+    blocks = spark.sql(r"SELECT file_id, 'block' AS kind, lower(regexp_extract(b.raw, '^EXEC SQL (\\w+)', 1)) AS name, count(*) AS n FROM {files}, LATERAL scan_sql(content) AS b GROUP BY ALL", files=sources)
+    return blocks.unionByName(spark.sql("SELECT file_id, 'run' AS kind, name, n FROM longest_runs(TABLE(SELECT * FROM {words}) PARTITION BY file_id ORDER BY line_start)", words=words))
+
+
+@query("u2_variable_rules", ST + r", v AS (SELECT line_start, unnest(regexp_extract_all(sql_text, ':[A-Za-z_]\w*(?:\.\w+)?')) AS x FROM st) SELECT line_start, CASE WHEN x LIKE '%.%' THEN 'member=' ELSE 'plain=' END || x AS variable, CAST(count(*) AS BIGINT) AS n FROM v WHERE NOT (x LIKE ':ind%') GROUP BY ALL")
+def u2(spark, sf_dir):
+    rule = extensions.VariableRule
+    held = extensions.Extensions().variable_rule(rule("plain", r"(?<!\w):[A-Za-z_]\w*")).variable_rule(rule("member", r":[A-Za-z_]\w*\.\w+"))
+    return held.variables(statements(spark, sf_dir), "sql_text").select("line_start", F.explode("variables").alias("variable")).groupBy("line_start", "variable").agg(F.count(F.lit(1)).alias("n"))
