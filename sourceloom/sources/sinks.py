@@ -92,3 +92,63 @@ def report_html(rows: DataFrame, title: str) -> DataFrame:
 #: statements that prepare a graph store: a unique id for each label, an index on names
 def store_schema(labels: tuple[str, ...]) -> list[str]:
     return [f"CREATE CONSTRAINT IF NOT EXISTS FOR (n:{x}) REQUIRE n.id IS UNIQUE;" for x in labels] + [f"CREATE INDEX IF NOT EXISTS FOR (n:{x}) ON (n.name);" for x in labels]
+
+
+def write_texts(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A file under ``path`` for each row (name, content): all of them, or none where the job fails."""
+    from .formats import register
+
+    register(rows.sparkSession)
+    rows.select("name", "content").write.format("text_files").mode("overwrite" if overwrite else "append").save(path)
+
+
+def safe_name(c: Column) -> Column:
+    """A text as a file name: signs that are none become underscores."""
+    return F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_")
+
+
+def write_mappers(statements: DataFrame, namespace: str, stamp: str, path: str) -> None:
+    """``<file>.xml`` for each file's statements."""
+    write_texts(mapper_texts(statements, namespace, stamp).select(F.concat(safe_name(F.col("file_id").cast("string")), F.lit(".xml")).alias("name"), F.col("text").alias("content")), path)
+
+
+def write_descriptors(fields: DataFrame, path: str) -> None:
+    """``<Class>.omm`` for each struct."""
+    write_texts(omm_texts(fields).select(F.concat(class_name(F.col("struct_name")), F.lit(".omm")).alias("name"), F.col("text").alias("content")), path)
+
+
+def write_sections(sections: DataFrame, path: str) -> None:
+    """``<file>/declare_section_<n>.c`` for each declare section."""
+    write_texts(section_files(sections).select(F.concat(safe_name(F.col("file_id").cast("string")), F.lit("/"), "name").alias("name"), F.col("body").alias("content")), path)
+
+
+def write_sql_calls(stmts: DataFrame, path: str) -> None:
+    """``<file>/sql_calls.yaml`` for each file."""
+    write_texts(sql_calls_yaml(stmts).select(F.concat(safe_name(F.col("file_id").cast("string")), F.lit("/sql_calls.yaml")).alias("name"), F.col("yaml").alias("content")), path)
+
+
+def item_yaml(items: DataFrame) -> DataFrame:
+    """file and yaml: reviewed pairs (file, idx, sql, parsed_sql, status, comment) of each file, texts as literal blocks."""
+    block = lambda k, c: F.concat(F.lit(f"  {k}: |-\n    "), F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit("\n    ")), F.lit("\n"))
+    quoted = lambda k, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {k}: "), F.to_json(F.struct(F.col(c).alias("v"))).substr(6, 1 << 20).substr(F.lit(1), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6), F.lit("\n"))).otherwise("")
+    one = F.concat(F.lit("- idx: "), F.col("idx").cast("string"), F.lit("\n"), block("sql", F.col("sql")), block("parsed_sql", F.col("parsed_sql")), quoted("status", "status"), quoted("comment", "comment"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("b")))), lambda x: x["b"])
+    return items.groupBy("file").agg(F.array_join(ordered, "").alias("yaml"))
+
+
+def write_items(items: DataFrame, path: str) -> None:
+    """``<file>.yaml`` for each file's reviewed pairs; ``conversion_pairs`` reads them back."""
+    write_texts(item_yaml(items).select(F.concat(safe_name(F.col("file")), F.lit(".yaml")).alias("name"), F.col("yaml").alias("content")), path)
+
+
+def write_marked(files: DataFrame, blocks: DataFrame, path: str) -> None:
+    """Each source with its SQL blocks (start, end, marker) replaced by markers, under its own name."""
+    from ..functions.text import spliced
+
+    write_texts(spliced(files, blocks).select(safe_name(F.col("file_id").cast("string")).alias("name"), "content"), path)
+
+
+def write_session(items: DataFrame, path: str) -> None:
+    """Statuses and comments (idx, status, comment) as one JSON record, as ``files.session_items`` reads it."""
+    held = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("idx").cast("string"), F.col(c))))))
+    items.agg(held("status").alias("statuses"), held("comment").alias("comments")).coalesce(1).write.mode("overwrite").json(path)
