@@ -30,8 +30,8 @@ SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: documents on which costs and rejections are estimated
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 18
+#: documents, about, on which costs and rejections are estimated
+SAMPLE_ROWS = 400
 
 
 class Measured:
@@ -108,25 +108,25 @@ def base_failed(d: Measured) -> bool:
     return d.n_words < MIN_WORDS or 100 * d.n_repeat_words > 50 * d.n_words
 
 
-def order_rules(raws: list[bytes], rules: dict[str, Callable[[Measured], bool]]) -> list[str]:
-    """Names of the rules, each next one that with most rejections per second on what the former leave.
+def tried(d: Measured, rules: dict[str, Callable[[Measured], bool]]) -> tuple[list[float], list[bool]]:
+    """What each rule costs beside the base measures, and whether it rejects."""
+    costs, verdicts = [], []
+    for rule in rules.values():
+        trial = copy.copy(d)  # leaves no measures behind
+        began = time.perf_counter()
+        verdicts.append(bool(rule(trial)))
+        costs.append(time.perf_counter() - began)
+    return costs, verdicts
 
-    The base measures are there before the cascade begins, and those that a
-    chosen rule makes are there for the next, so a rule's cost is what it adds.
-    """
-    alive = [d for d in map(Measured, raws) if not base_measured(d)]
-    left, order = sorted(rules), []
+
+def order_rules(trials: list[tuple[list[float], list[bool]]], names: list[str]) -> list[str]:
+    """Names of the rules, each next one that with most rejections per second on what the former leave."""
+    left, order = sorted(range(len(names)), key=names.__getitem__), []
     while left:
-        worth = {}
-        for name in left:
-            docs = [copy.copy(d) for d in alive]  # a trial leaves no measures behind
-            began = time.perf_counter()
-            rejected = sum(map(rules[name], docs))
-            worth[name] = (rejected + 0.5) / (time.perf_counter() - began + 1e-6)
-        best = max(left, key=worth.__getitem__)
-        order.append(best)
+        best = max(left, key=lambda k: (sum(v[k] for _, v in trials) + 0.5) / (sum(c[k] for c, _ in trials) + 1e-6))
+        order.append(names[best])
         left.remove(best)
-        alive = [d for d in alive if not rules[best](d)]
+        trials = [t for t in trials if not t[1][best]]
     return order
 
 
@@ -141,10 +141,17 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Measured], bool]] | None =
     """doc_id, the base measures, base_failed and kept."""
     rules = RULES if rules is None else rules
     source = with_bytes(docs)
-    # a plan, not a verdict: a random sample of about ``sample_rows`` texts, of at most SAMPLE_BYTES each
+    # a plan, not a verdict: rules are tried on a random sample of about ``sample_rows`` texts, whole and where they are
     rows = max(1, docs.count())
-    sample = [bytes(r[0]) for r in source.select("raw").sample(False, min(1.0, sample_rows / rows), 11).where(F.octet_length("raw") <= SAMPLE_BYTES).collect()]
-    cascade = [rules[name] for name in order_rules(sample, rules)]
+
+    def trial(chunks: Iterator[list[list]]) -> Iterator[dict]:
+        for (raws,) in chunks:
+            found = [tried(d, rules) for d in map(Measured, raws) if not base_measured(d)]
+            yield {"costs": [c for c, _ in found], "verdicts": [v for _, v in found]}
+
+    trials = map_rows(source.select("raw").sample(False, min(1.0, sample_rows / rows), 11), ["raw"], trial, "costs array<double>, verdicts array<boolean>").collect()
+    cascade = [rules[name] for name in order_rules([(r.costs, r.verdicts) for r in trials], list(rules))]
+
     def run(chunks: Iterator[list[list]]) -> Iterator[dict]:
         for doc_ids, raws in chunks:
             found = [Measured(r) for r in raws]
