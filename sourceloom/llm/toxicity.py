@@ -15,9 +15,9 @@ a logistic unit scores the window. A text is scored by overlapping windows of
 The network is trained in numpy, in one task on an executor, on at most
 ``TRAIN_DOCS`` labelled documents, half of each class, taken in the order of a
 hash of their ids; of each at most ``TRAIN_WINDOWS`` windows, evenly spread, are
-used, and of a word its first ``TRAIN_WORD`` bytes. A quarter of them is first held back: the number of training rounds and
-the logit's calibration (to the share of toxic rows among all labels) come from
-it, then all are learned. Only the weights leave the task. Texts never leave the
+used. A quarter of them is first held back: the number of training rounds and the
+logit's calibration (to the share of toxic rows among all labels) come from it,
+then all are learned. Only the weights leave the task. Texts never leave the
 executors, and only text enters a score.
 
 Defined results: a text without words, or null, scores 0; repeated rows score
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import keep_rows, map_rows, with_bytes
 from .neardup import fold, mix, word_hashes
 
-#: the sample learned from: documents, windows of one, bytes of one word
-TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_WORD = 2400, 96, 64
+#: the sample learned from: documents, windows of one
+TRAIN_DOCS, TRAIN_WINDOWS = 2400, 96
 WINDOW, STRIDE = 48, 24
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
 GRAMS = (3, 4, 5)
@@ -533,7 +533,7 @@ def sampled_windows(raw: bytes) -> list[bytes]:
     starts = window_starts(len(words))
     if len(starts) > TRAIN_WINDOWS:
         starts = starts[np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(np.int64)]
-    return [b" ".join([w[:TRAIN_WORD] for w in words[s : s + WINDOW]]) for s in starts]
+    return [b" ".join(words[s : s + WINDOW]) for s in starts]
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> bytes | float:
