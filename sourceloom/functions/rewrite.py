@@ -81,6 +81,26 @@ def class_name(struct: Column) -> Column:
     return pascal(camel(F.regexp_replace(struct, "_t$", "")))
 
 
+def host_name(variable: Column, keep: bool = False, first_upper: bool = False) -> Column:
+    """The name for a host variable (colon, indicator, subscript and member go): camelCase, or as it is; with a capital if asked for."""
+    bare = F.regexp_extract(variable, r"^:?(\w+)", 1)
+    name = bare if keep else camel(bare)
+    return pascal(name) if first_upper else name
+
+
+def host_names(variables: Column, keep: bool = False, first_upper: bool = False) -> Column:
+    """The names for a list of host variables, each once, in order."""
+    return F.array_distinct(F.transform(variables, lambda v: host_name(v, keep, first_upper)))
+
+
+def safe_id(c: Column, most: int = 50) -> Column:
+    """A text as an identifier of at most ``most`` characters; one that is cut ends with a hash of the whole, so that two don't meet."""
+    plain = F.regexp_replace(c, r"[^A-Za-z0-9_]", "_")
+    plain = F.when(F.regexp_like(plain, F.lit("^[0-9]")), F.concat(F.lit("_"), plain)).otherwise(plain)
+    mark = F.lower(F.lpad(F.hex(F.xxhash64(c).bitwiseAND(0xFFFFFFFF)), 8, "0"))
+    return F.when(F.length(plain) <= most, plain).otherwise(F.concat(F.substring(plain, 1, most - 9), F.lit("_"), mark))
+
+
 def stripped_name(c: Column, prefixes: tuple[str, ...]) -> Column:
     """The first (longest) of the prefixes removed, then camelCase."""
     longest = "|".join(sorted(prefixes, key=len, reverse=True))

@@ -62,6 +62,10 @@ CONVERTER_TAGS, GENERATOR_TAGS = ({"select": "select", "declare_cursor": "select
 HEADER_MARKS = {"has_stp": r"_stp\s*\[\s*\]", "has_struct": r"typedef\s+struct", "has_macro": r"(?m)^\s*#define\s+\w+\s+\S", "has_func": r"(?m)^\s*(?:extern\s+)?\w+[\s*]+\w+\s*\([^;{]*\)\s*;"}
 
 
+# fixed values: headers of the C library
+SYSTEM_HEADERS = ("stdio.h", "stdlib.h", "string.h", "math.h", "time.h", "ctype.h", "errno.h", "signal.h", "stdarg.h", "stddef.h", "limits.h", "float.h")
+
+
 class RuleSet:
     """Rules that can be added to, listed, cleared and compiled."""
 
@@ -174,11 +178,13 @@ def is_ddl(kind: Column) -> Column:
 
 def typed_headers(headers: DataFrame, text: str = "content", name: str = "file_id") -> DataFrame:
     """header_type, n, files: all headers by type."""
-    return headers.select(header_type(F.col(text)).alias("header_type"), name).groupBy("header_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(name)).alias("files"))
+    return headers.select(header_type(F.col(text), F.col(name).cast("string")).alias("header_type"), name).groupBy("header_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(name)).alias("files"))
 
 
-def header_type(text: Column) -> Column:
-    """stp, mixed, struct, macro, function or unknown, by the marks that a header has."""
+def header_type(text: Column, path: Column | None = None) -> Column:
+    """stp, mixed, struct, macro, function or unknown, by the marks that a header has; system, by its name, if a path is given."""
+    if path is not None:
+        return F.when(F.regexp_extract(path, r"([^/]*)$", 1).isin(*SYSTEM_HEADERS), "system").otherwise(header_type(text))
     marks = {k: F.regexp_like(text, F.lit(p)) for k, p in HEADER_MARKS.items()}
     several = sum(m.cast("int") for k, m in marks.items() if k != "has_stp") >= 2
     return F.when(marks["has_stp"], "stp").when(several, "mixed").when(marks["has_struct"], "struct").when(marks["has_macro"], "macro").when(marks["has_func"], "function").otherwise("unknown")

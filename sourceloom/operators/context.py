@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rewrite import camel
+from ..functions.rewrite import camel, xml_escape
 
 # fixed values: names of the field that counts an array's entries, best first
 COUNT_NAMES = ("{}_count", "{}_cnt", "{}Count", "{}Cnt")
@@ -77,10 +77,37 @@ def function_contexts(functions: DataFrame, variables: DataFrame, stmts: DataFra
     return out.withColumn("summary", F.format_string("%s: %d variables, %d statements, %d calls", "function", *(F.coalesce(F.size(c), F.lit(0)) for c in ("variables", "statements", "calls"))))
 
 
-def prompt_text(contexts: DataFrame) -> DataFrame:
-    """file_id, function and a markdown text of each context."""
-    sql = F.array_join(F.transform(F.coalesce("statements", F.array()), lambda s: F.format_string("- %d %s", s["line_start"], s["sql_type"])), "\n")
-    return contexts.select("file_id", "function", F.concat_ws("\n", F.concat(F.lit("## "), "function"), "summary", sql).alias("text"))
+def prompt_text(contexts: DataFrame, form: str = "markdown", most: int = 20) -> DataFrame:
+    """file_id, function and a text of each context: ``markdown``, ``compact`` or ``xml``; the latter two show ``most`` variables."""
+    none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as array<struct<{kind}>>)"))
+    stmts, held, calls = none("statements", "line_start: bigint, sql_type: string"), F.slice(none("variables", "name: string, data_type: string"), 1, most), none("calls", "name: string")
+    lines = lambda c, one, sep="\n": F.array_join(F.transform(c, one), sep)
+    if form == "markdown":
+        sql = lines(stmts, lambda s: F.format_string("- %d %s", s["line_start"], s["sql_type"]))
+        text = F.concat_ws("\n", F.concat(F.lit("## "), "function"), "summary", sql)
+    elif form == "compact":
+        part = lambda name, c, one, sep: F.when(F.size(c) > 0, F.concat(F.lit(name), lines(c, one, sep)))
+        text = F.concat_ws(
+            "\n",
+            F.format_string("[FUNC]%s %d-%d", "function", "line_start", "line_end"),
+            part("[VARS]", held, lambda v: F.concat_ws(" ", v["data_type"], v["name"]), ";"),
+            F.when(F.size(stmts) > 0, lines(stmts, lambda s: F.format_string("[SQL:%s]%d", s["sql_type"], s["line_start"]))),
+            part("[CALLS]", calls, lambda c: c["name"], ","),
+        )
+    elif form == "xml":
+        esc = lambda c: F.replace(xml_escape(F.coalesce(c, F.lit(""))), F.lit('"'), F.lit("&quot;"))
+        group = lambda name, c, one: F.when(F.size(c) > 0, F.concat(F.lit(f"  <{name}>\n"), lines(c, one), F.lit(f"\n  </{name}>")))
+        text = F.concat_ws(
+            "\n",
+            F.format_string('<function name="%s" from="%d" to="%d">', esc(F.col("function")), "line_start", "line_end"),
+            group("variables", held, lambda v: F.format_string('    <variable type="%s" name="%s"/>', esc(v["data_type"]), esc(v["name"]))),
+            group("statements", stmts, lambda s: F.format_string('    <statement line="%d" type="%s"/>', s["line_start"], s["sql_type"])),
+            group("calls", calls, lambda c: F.format_string('    <call name="%s"/>', esc(c["name"]))),
+            F.lit("</function>"),
+        )
+    else:
+        raise ValueError(form)
+    return contexts.select("file_id", "function", text.alias("text"))
 
 
 def searched(notes: DataFrame, query: str, most: int = 5) -> DataFrame:
@@ -95,6 +122,17 @@ def tag_counts(notes: DataFrame) -> DataFrame:
     return notes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def episode_stats(episodes: DataFrame, *by: str) -> DataFrame:
+    """n, successes, success_rate, average steps and score of episodes (success, steps, score), by some columns or of all."""
+    won = F.count_if("success")
+    return episodes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), won.alias("successes"), (won / F.count(F.lit(1))).alias("success_rate"), F.avg("steps").alias("avg_steps"), F.avg("score").alias("avg_score"))
+
+
+def in_order(elements: DataFrame) -> DataFrame:
+    """Elements with ``position``, from 1 in each file: by first line, then in the order in which they were found (seq)."""
+    return elements.withColumn("position", F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("line_start").asc_nulls_last(), "seq")))
+
+
 def verdicts(results: DataFrame) -> DataFrame:
     """stage, n, failed, passed: a stage passes if nothing in it failed."""
     return results.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "fail", 1)).alias("failed")).withColumn("passed", F.col("failed") == 0)

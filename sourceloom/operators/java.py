@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,11 +72,11 @@ def code_of(answer: str) -> str:
     return "\n".join(found) if found else answer
 
 
-def merged(skeleton: str, answers: list[str], visibility: str | None = None, every: bool = False) -> str:
+def merged(skeleton: str, answers: list[str], visibility: str | None = None, every: bool = False, mains: bool = False) -> str:
     """The skeleton with the answers' imports and methods, in order, overloads too.
 
     Of methods with the same name and parameter types, which no class can hold, the
-    last stays, or all with ``every``. Of main methods, the skeleton's too, the last stays.
+    last stays, or all with ``every``. Of main methods, the skeleton's too, the last stays, or all with ``mains``.
     """
     imports, found = set(re.findall(r"^\s*import\s+([^;]+);", skeleton, re.M)), {}
     for answer in answers:
@@ -93,8 +94,86 @@ def merged(skeleton: str, answers: list[str], visibility: str | None = None, eve
     opening = re.search(r"\b(?:class|interface|enum)\s+\w+[^{]*\{", rest)
     end = closing(rest, opening.end() - 1) if opening else None
     if end is None:
-        return one_main("\n\n".join([skeleton, *found.values()]))
-    return one_main(head + "".join(f"import {i};\n" for i in order) + ("\n" if order else "") + rest[:end].rstrip() + "\n\n" + "\n\n".join(found.values()) + "\n" + rest[end:])
+        whole = "\n\n".join([skeleton, *found.values()])
+        return whole if mains else one_main(whole)
+    whole = head + "".join(f"import {i};\n" for i in order) + ("\n" if order else "") + rest[:end].rstrip() + "\n\n" + "\n\n".join(found.values()) + "\n" + rest[end:]
+    return whole if mains else one_main(whole)
+
+
+PHASES = ("method", "class")
+
+
+@dataclass(frozen=True)
+class MergePlugin:
+    """One change of a merge: of each method before it goes in, or of the whole class after; lower priorities first."""
+
+    name: str
+    phase: str
+    change: Callable[[str], str]
+    priority: int = 50
+
+
+class MergePlugins:
+    """Plugins by name; a name is registered once."""
+
+    def __init__(self, *plugins: MergePlugin) -> None:
+        self.held: dict[str, MergePlugin] = {}
+        for p in plugins:
+            self.register(p)
+
+    def register(self, plugin: MergePlugin) -> MergePlugins:
+        if plugin.name in self.held or plugin.phase not in PHASES:
+            raise ValueError(f"{plugin.name}: registered already, or no phase {plugin.phase}")
+        self.held[plugin.name] = plugin
+        return self
+
+    def of(self, phase: str, names: list[str] | None = None) -> list[MergePlugin]:
+        """Those of a phase, of some names if asked for, in order of priority; unknown names are left out."""
+        return sorted((p for p in self.held.values() if p.phase == phase and (names is None or p.name in names)), key=lambda p: (p.priority, p.name))
+
+    def applied(self, phase: str, text: str, names: list[str] | None = None) -> str:
+        for p in self.of(phase, names):
+            text = p.change(text)
+        return text
+
+
+_VISIBILITY = re.compile(r"^(\s*(?:@\w+(?:\([^)]*\))?\s+)*)(?:(?:public|protected|private)\s+)?")
+
+
+def with_visibility(word: str) -> MergePlugin:
+    """Each method with this visibility, whatever it had."""
+    return MergePlugin("visibility", "method", lambda text: _VISIBILITY.sub(lambda m: f"{m[1]}{word} ", text, count=1), 30)
+
+
+def with_annotation(annotation: str) -> MergePlugin:
+    """An annotation on a line of its own above each method that does not have it."""
+
+    def change(text: str) -> str:
+        if re.search(re.escape(annotation) + r"\b", text):
+            return text
+        indent = re.match(r"\n*([ \t]*)", text)[1]
+        return f"{indent}{annotation}\n{text}"
+
+    return MergePlugin("category", "method", change, 50)
+
+
+def single_main() -> MergePlugin:
+    """Only the last of a class's main methods."""
+    return MergePlugin("main_deduplicator", "class", one_main, 200)
+
+
+def merge_with(translations: DataFrame, plugins: MergePlugins, names: list[str] | None = None) -> DataFrame:
+    """class_id, text: each class's skeleton with its answers' methods, all in order, changed by plugins."""
+    ship(translations.sparkSession)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord")
+        answers = ["\n\n".join(plugins.applied("method", text, names) for _, text in methods(code_of(a))) for a in frame["llm_response"].fillna("")]
+        imports = ["\n".join(re.findall(r"^\s*import\s+[^;]+;", code_of(a), re.M)) for a in frame["llm_response"].fillna("")]
+        text = merged(frame["skeleton"].iloc[0], [f"{i}\n{a}" for i, a in zip(imports, answers)], every=True, mains=True)
+        return pd.DataFrame({"class_id": frame["class_id"].iloc[:1], "text": [plugins.applied("class", text, names)]})
+
+    return translations.select("class_id", "skeleton", "llm_response", "ord").groupBy("class_id").applyInPandas(one, "class_id string, text string")
 
 
 def merge_classes(translations: DataFrame, visibility: str | None = None, every: bool = False) -> DataFrame:

@@ -220,10 +220,25 @@ def declared_scope(variables: DataFrame, sections: DataFrame, functions: DataFra
     return placed.withColumn("scope", scope).select(*variables.columns, "scope")
 
 
-def statement_ids(stmts: DataFrame) -> DataFrame:
-    """sql_id by place in the file, and a name by kind with its own counter from 0."""
+def statement_ids(stmts: DataFrame, counters: DataFrame | None = None) -> DataFrame:
+    """sql_id by place in the file, and a name by kind with its own counter from 0.
+
+    ``counters`` (file_id, sql_type, next; a null sql_type: of sql_id) say where counting goes on, as ``next_ids`` gives them.
+    """
     by_file, by_kind = Window.partitionBy("file_id").orderBy("line_start"), Window.partitionBy("file_id", "sql_type").orderBy("line_start")
-    return stmts.withColumn("sql_id", F.format_string("sql_%03d", F.row_number().over(by_file))).withColumn("sql_name", F.concat("sql_type", F.lit("_"), (F.row_number().over(by_kind) - 1).cast("string")))
+    numbered = stmts.withColumns({"_id": F.row_number().over(by_file), "_name": F.row_number().over(by_kind) - 1})
+    if counters is not None:
+        ids = counters.where("sql_type is null").select("file_id", (F.col("next") - 1).alias("_i"))
+        names = counters.where("sql_type is not null").select("file_id", "sql_type", F.col("next").alias("_n"))
+        numbered = numbered.join(ids, "file_id", "left").join(names, ["file_id", "sql_type"], "left")
+        numbered = numbered.withColumns({"_id": F.col("_id") + F.coalesce("_i", F.lit(0)), "_name": F.col("_name") + F.coalesce("_n", F.lit(0))}).drop("_i", "_n")
+    return numbered.withColumn("sql_id", F.format_string("sql_%03d", F.col("_id").cast("long"))).withColumn("sql_name", F.concat("sql_type", F.lit("_"), F.col("_name").cast("string"))).drop("_id", "_name")
+
+
+def next_ids(stmts: DataFrame) -> DataFrame:
+    """file_id, sql_type, next: the numbers that come next, by kind, and for sql_id (null kind); without using them up."""
+    kinds = stmts.groupBy("file_id", "sql_type").agg(F.count(F.lit(1)).alias("next"))
+    return kinds.unionByName(stmts.groupBy("file_id").agg((F.count(F.lit(1)) + 1).alias("next")).withColumn("sql_type", F.lit(None).cast("string")))
 
 
 def built_sql(calls: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SOURCE_SUFFIXES = ("pc", "h")
 GRAPH_SUFFIXES = ("c", "pc", "h", "cpp", "hpp")
@@ -23,6 +25,41 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 
+def globbed(paths: DataFrame, pattern: str) -> DataFrame:
+    """Paths that a pattern names: ``*`` and ``?`` stay within a folder, ``**`` goes through any number of them."""
+    steps = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    body = "".join(steps.get(x) or (x if x.startswith("[") else re.escape(x)) for x in re.findall(r"\*\*/|\*\*|\*|\?|\[[^\]]+\]|[^*?\[]+|\[", pattern))
+    return paths.where(F.regexp_like("path", F.lit(f"^(?:.*/)?{body}$" if not pattern.startswith("/") else f"^{body}$")))
+
+
+def tree(paths: DataFrame, depth: int | None = None, hidden: bool = False, folders_only: bool = False) -> DataFrame:
+    """folder or file of each place (relative paths, length) as lines of a tree: ``at`` (sorts them), ``path``, ``line``.
+
+    Folders come first, then by name, case aside. Levels are windows over siblings, whether a
+    folder is its parent's last decides what stands before all that lies in it.
+    """
+    parts = F.split("path", "/")
+    upto = lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")
+    places = paths.select("length", F.size(parts).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("level"), upto(k).alias("place"), (k < F.size(parts)).alias("is_folder")))).alias("p"))
+    nodes = places.select("p.*", F.when(~F.col("p.is_folder"), F.col("length")).alias("length")).groupBy("place", "level", "is_folder").agg(F.max("length").alias("length"))
+    nodes = nodes.withColumns({"name": F.element_at(F.split("place", "/"), -1), "parent": F.regexp_extract("place", r"^(.*)/[^/]*$", 1)})
+    if not hidden:
+        nodes = nodes.where(~F.regexp_like("place", F.lit(r"(?:^|/)\.")))
+    if folders_only:
+        nodes = nodes.where("is_folder")
+    if depth is not None:
+        nodes = nodes.where(F.col("level") <= depth)
+    siblings = Window.partitionBy("parent").orderBy(F.desc("is_folder"), F.lower("name"), "name")
+    ranked = nodes.withColumns({"rank": F.row_number().over(siblings), "is_last": F.lead("name").over(siblings).isNull()})
+    above = ranked.where("is_folder").select(F.col("place").alias("folder"), F.col("level").alias("folder_level"), F.col("rank").alias("folder_rank"), F.col("is_last").alias("folder_last"))
+    chain = ranked.select("place", F.explode(F.transform(F.sequence(F.lit(1), F.col("level")), lambda k: F.array_join(F.slice(F.split("place", "/"), F.lit(1), k), "/"))).alias("folder")).where("folder <> place").join(above, "folder")
+    before = chain.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("folder_level", "folder_rank", "folder_last"))).alias("above"))
+    led = F.array_join(F.transform(F.coalesce("above", F.expr("cast(array() as array<struct<folder_level: int, folder_rank: int, folder_last: boolean>>)")), lambda a: F.when(a["folder_last"], "    ").otherwise("│   ")), "")
+    shown = F.when(F.col("is_folder"), F.concat("name", F.lit("/"))).otherwise(F.format_string("%s (%d bytes)", "name", "length"))
+    order = F.concat(F.transform(F.coalesce("above", F.expr("cast(array() as array<struct<folder_level: int, folder_rank: int, folder_last: boolean>>)")), lambda a: a["folder_rank"]), F.array("rank"))
+    return ranked.join(before, "place", "left").select(order.alias("at"), F.col("place").alias("path"), F.concat(led, F.when(F.col("is_last"), "└── ").otherwise("├── "), shown).alias("line"))
+
+
 def conversion_pairs(spark: SparkSession, path: str) -> DataFrame:
     """file, idx, sql, parsed_sql, metadata of each YAML file's pairs; items that are none are left out."""
 
