@@ -337,7 +337,8 @@ def k1(spark, sf_dir):
 
 @query("k2_check_totals")
 def k2(spark, sf_dir):
-    return checks.check_totals(checks.conversion_checks(_pairs(spark, sf_dir)))
+    totals = checks.check_totals(checks.conversion_checks(_pairs(spark, sf_dir)))
+    return totals.withColumn("file", F.coalesce(F.col("file").cast("string"), F.lit("all")))
 
 
 @query("k3_token_diffs")

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from sourceloom.plans import inventory, queries, shapes  # noqa: F401
+from sourceloom.plans import inventory, nested, programs, queries, shapes, units  # noqa: F401
 
 QUERIES = queries.QUERIES | shapes.queries()
 ORACLES = queries.ORACLES | shapes.oracles()
