@@ -110,7 +110,7 @@ def s19(spark, sf_dir):
     return sinks.report_html(rows_of(spark, sf_dir, "supplier", "s_name AS name", "if(s_suppkey % 2 = 0, 'pass', 'fail') AS status", "concat(s_suppkey, ' < 9 & more') AS message"), "Checks")
 
 
-_STRUCTS = f"concat('#define N ', p_size, {NL}, 'typedef struct {{', {NL}, '  int  k_no;  /* the key */', {NL}, '  char p_nm[ N + 1];', {NL}, '  long amt_{{k}};', {NL}, '}} rec', p_partkey, '_t;', {NL}, 'rec', p_partkey, '_stp[] = {{ {{', {Q}, 'w', {Q}, ', 1, 0, 0}}, {{', {Q}, 'i', {Q}, ', 4, 0, 0}}, {{', {Q}, 's', {Q}, ', 3, 0, 0}}, {{', {Q}, 'd', {Q}, ', ', p_size + 2, ', 2, 0}}, {{', {Q}, '0', {Q}, ', 0, 0, 0}} }};', {NL})".replace("{{k}}", "x").replace("{{", "{").replace("}}", "}")
+_STRUCTS = f"concat('#define N ', p_size, {NL}, 'typedef struct {{', {NL}, '  int  k_no;  /* the key */', {NL}, '  char p_nm[ N + 1];', {NL}, '  long amt_x;', {NL}, '}} rec', p_partkey, '_t;', {NL}, 'rec', p_partkey, '_stp[] = {{ {{', {Q}, 'w', {Q}, ', 1, 0, 0}}, {{', {Q}, 'i', {Q}, ', 4, 0, 0}}, {{', {Q}, 's', {Q}, ', 3, 0, 0}}, {{', {Q}, 'd', {Q}, ', ', p_size + 2, ', 2, 0}}, {{', {Q}, '0', {Q}, ', 0, 0, 0}} }};', {NL})"
 
 
 @query(
