@@ -109,7 +109,9 @@ def cursor_groups(stmts: DataFrame) -> DataFrame:
     One pass over each (file, cursor name): a later DECLARE of the name starts a
     new group, so the join with all later statements becomes a running count.
     """
-    named = _named(stmts.where(F.col("sql_type").isin("declare_cursor", "open_cursor", "fetch_into", "close_cursor")), _CURSOR)
+    # the words first: a kind may be a long ladder of rules
+    worded = stmts.where(F.regexp_like("sql_text", F.lit(r"(?i)\b(?:DECLARE|OPEN|FETCH|CLOSE)\b")))
+    named = _named(worded.where(F.col("sql_type").isin("declare_cursor", "open_cursor", "fetch_into", "close_cursor")), _CURSOR)
     order = Window.partitionBy("file_id", "name").orderBy("line_start")
     grouped = named.withColumn("decl", F.sum((F.col("sql_type") == "declare_cursor").cast("long")).over(order)).where("decl > 0")
     first = lambda kind: F.min(F.when(F.col("sql_type") == kind, F.col("line_start")))
