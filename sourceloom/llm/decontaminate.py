@@ -2,13 +2,15 @@
 
 Benchmark items are cut into passages. Inverse document frequencies of their
 words are counted over all documents; a randomised SVD of the passages' TF-IDF
-rows, with its sums made by Spark, gives a latent space. A stretch of a document
-is compared with a passage if it has so many of its words (each counted as often
-as the passage has it) that their longest common subsequence can be long enough:
-that bound loses no window, however common or rare its words are. The windows of
-such a stretch are folded into the latent space and tried from the highest cosine
-down; one passes if its longest common subsequence with the passage is long
-enough, or shorter but with the passage's answer present, so paraphrases count.
+rows, with its sums made by Spark, gives a latent space. Stretches of documents,
+their benchmark words alone, are folded into it and searched by cosine. The threshold of
+a pair is a floor that each stretch with enough of a passage's words is over
+(``Index.near``), whatever the rank and however common or rare the words, so the
+search loses nothing. What it finds is compared with a passage if it has so many of its
+words (each counted as often as the passage has it) that their longest common
+subsequence can be long enough; its windows are tried from the highest cosine
+down, and one passes if its longest common subsequence with the passage is long enough,
+or shorter but with the passage's answer present, so paraphrases count.
 
 The benchmark is the stated query set: it is taken in blocks of ``BLOCK``
 passages, each one more pass over the documents, so what is broadcast has a
@@ -38,12 +40,14 @@ from .neardup import word_hashes
 PASSAGE, STEP = 64, 16
 RANK, OVERSAMPLE, POWERS = 64, 16, 2
 #: the rank doubles until each passage keeps this share of its length in latent space
-KEPT = 0.6
+KEPT = 0.99
 #: passages in one pass over the documents
 BLOCK = 512
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 #: windows' starts in a stretch, words looked up at a time, stretches counted at a time
 STARTS, WORDS_HELD, COUNTED = 8, 1 << 16, 64
+#: words of a vocabulary up to which stretches are multiplied as rows of a matrix
+DENSE = 1 << 13
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -156,6 +160,8 @@ class Index:
 
     def __init__(self, items: list, words: list[list[int]], answers: list[list[int]], vocabulary: np.ndarray, idf: np.ndarray, space: np.ndarray, unknown: float) -> None:
         self.items, self.words, self.answers, self.vocabulary = items, words, answers, vocabulary
+        self.seen = self.chosen = 0  # pairs of stretches and passages, and those over their floor
+        space = np.linalg.qr(space)[0]  # lengths are those of projections
         self.vectors = np.concatenate([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
         self.squares = np.append(idf**2, unknown**2).astype(np.float32)
         latent = np.array([self.vectors[np.searchsorted(vocabulary, np.array(w, np.int64).view(np.uint64))].sum(axis=0) for w in words])
@@ -176,12 +182,39 @@ class Index:
         # the shortest common subsequence that could pass
         self.least = np.array([next(k for k in range(len(w) + 1) if k / len(w) >= LCS_WITH_ANSWER) for w in words])
         self.longest = max(map(len, words))
+        # a stretch with so many of a passage's words has this product with it at least: that of the passage's lightest words
+        self.floors = np.array([np.sort(idf[np.searchsorted(vocabulary, np.array(w, np.int64).view(np.uint64))] ** 2)[:least].sum() for w, least in zip(words, self.least)], np.float32)
+        whole = whole.astype(np.float32)
+        self.outside = np.sqrt(np.maximum(whole**2 - self.sizes**2, 0))  # what of a passage lies outside the latent space
 
     def places(self, words: np.ndarray) -> np.ndarray:
         """Each word's place in the vocabulary, or its length."""
         place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[place] == words, place, len(self.vocabulary))
 
+    def near(self, stretch: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """COUNTED stretches x passages: whose cosine in latent space is over the pair's floor.
+
+        A stretch with enough of a passage's words has a product of ``floors`` with it
+        at least; of this the latent space misses no more than the parts of both that lie
+        outside allow, so a cosine under what is left cannot belong to such a stretch.
+        """
+        norm = np.bincount(stretch, self.squares[place], COUNTED).astype(np.float32)
+        if len(self.vocabulary) <= DENSE:
+            held = np.zeros((COUNTED, len(self.vectors)), np.float32)
+            held[stretch, place] = 1
+            latent = held @ self.vectors
+        else:
+            latent = np.zeros((COUNTED, self.vectors.shape[1]), np.float32)
+            first = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1])) if len(place) else np.zeros(0, np.int64)
+            if len(first):
+                latent[stretch[first]] = np.add.reduceat(self.vectors[place], first, axis=0)
+        inside = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+        outside = np.sqrt(np.maximum(norm - inside**2, 0))
+        cosine = (latent @ self.queries) / inside[:, None]
+        floor = (0.999 * self.floors - outside[:, None] * self.outside) / (inside[:, None] * self.sizes)
+        return (cosine >= floor) & (norm[:, None] > 0)
+
     def search(self, raws: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, list[int]]]:
         """(text, passage, the text's words, stretches) for each passage a text may hold."""
         ids = [word_ids(r) for r in raws]
@@ -216,10 +249,17 @@ class Index:
         found: dict[tuple[int, int], list[int]] = {}
         for low in range(0, len(owner), COUNTED):
             part = slice(*np.searchsorted(stretches, (low, low + COUNTED)))
-            held = self.held[place[part]]
-            entry = np.arange(held.sum()) + np.repeat(self.ends[place[part]] - np.cumsum(held), held)
-            shared = np.bincount(np.repeat(stretches[part] - low, held) * len(self.words) + self.holders[entry], self.times[entry], COUNTED * len(self.words))
-            for stretch, passage in zip(*np.nonzero(shared.reshape(COUNTED, -1) >= self.least)):
+            near = self.near(stretches[part] - low, place[part])
+            self.seen += near.size
+            self.chosen += int(near.sum())
+            some = near.any(axis=1)[stretches[part] - low]
+            if not some.any():
+                continue
+            at, words = stretches[part][some] - low, place[part][some]
+            held = self.held[words]
+            entry = np.arange(held.sum()) + np.repeat(self.ends[words] - np.cumsum(held), held)
+            shared = np.bincount(np.repeat(at, held) * len(self.words) + self.holders[entry], self.times[entry], COUNTED * len(self.words))
+            for stretch, passage in zip(*np.nonzero(near & (shared.reshape(COUNTED, -1) >= self.least))):
                 text_at = int(owner[low + stretch])
                 found.setdefault((text_at, int(passage)), []).append(int(low + stretch - before[text_at]))
         for (text_at, passage), where in found.items():
@@ -311,7 +351,7 @@ def _index(docs: DataFrame, block: list):
         made = Index([r.item_id for r in block], words, [list(r.answer) for r in block], vocabulary, idf, space, unknown)
         if made.kept >= KEPT or rank >= min(len(block), len(vocabulary)):
             break
-        rank *= 2
+        rank = min(2 * rank, len(block), len(vocabulary))
     return spark.sparkContext.broadcast(made)
 
 

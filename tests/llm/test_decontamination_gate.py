@@ -53,3 +53,33 @@ def test_gate_lets_through_all_windows_that_pass():
                     want.add((t, p))
     got = {(t, p) for t, p, text, where in index.search(texts) if index.confirm(p, text, where)}
     assert want and got == want
+
+
+def test_the_cosine_search_loses_nothing_and_selects_at_full_rank(spark, monkeypatch):
+    import numpy as np
+
+    from sourceloom.llm import decontaminate
+
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(400)]
+    weights = 1 / np.arange(1, 401)
+    weights /= weights.sum()
+    texts = [list(rng.choice(words, 40, p=weights)) for _ in range(60)]
+    docs = [" ".join(rng.choice(words, 300, p=weights)) for _ in range(40)]
+    docs += [" ".join([*rng.choice(words, 100, p=weights), *(w if rng.random() > 0.25 else "other" for w in texts[k]), *rng.choice(words, 60, p=weights)]) for k in range(20)]
+    held = [list(map(int, decontaminate.word_ids(" ".join(t).encode()).astype(np.int64))) for t in texts]
+    vocabulary = np.unique(np.concatenate([np.array(h, np.int64).view(np.uint64) for h in held]))
+    counts = np.array([sum(v in set(decontaminate.word_ids(d.encode()).tolist()) for d in docs) for v in vocabulary.tolist()])
+    idf = 1 + np.log((len(docs) + 1) / (counts + 1))
+    passages = spark.createDataFrame([(h,) for h in held], "words array<long>")
+    raws = [d.encode() for d in docs]
+    found = {}
+    for name, rank, dense in (("all", 4, 1 << 13), ("few", 4, 1 << 13), ("half", 30, 0), ("full", 60, 1 << 13), ("full, gathered", 60, 0)):
+        monkeypatch.setattr(decontaminate, "DENSE", dense)
+        index = decontaminate.Index(list(range(60)), held, [h[-10:] for h in held], vocabulary, idf, decontaminate.latent_space(passages, vocabulary, idf, rank), float(idf.max()))
+        if name == "all":
+            index.near = lambda stretch, place: np.ones((decontaminate.COUNTED, 60), bool)
+        found[name] = sorted((text, passage, tuple(where)) for text, passage, _, where in index.search(raws))
+        if name.startswith("full"):
+            assert index.chosen < 0.2 * index.seen
+    assert len(found["all"]) >= 20 and all(f == found["all"] for f in found.values())
