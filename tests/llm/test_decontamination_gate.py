@@ -61,8 +61,8 @@ def test_the_cosine_search_loses_nothing_and_selects_at_full_rank(spark, monkeyp
     from sourceloom.llm import decontaminate
 
     rng = np.random.default_rng(11)
-    words = [f"w{k}" for k in range(400)]
-    weights = 1 / np.arange(1, 401)
+    words = [f"w{k}" for k in range(3000)]
+    weights = 1 / np.arange(20, 3020)
     weights /= weights.sum()
     texts = [list(rng.choice(words, 40, p=weights)) for _ in range(60)]
     docs = [" ".join(rng.choice(words, 300, p=weights)) for _ in range(40)]
