@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: longest form first: member or element with indicator, then without, then plain
@@ -31,6 +31,14 @@ def blacklist(*sets: tuple[str, ...], add: tuple[str, ...] = (), remove: tuple[s
     return tuple(dict.fromkeys(w.upper() for words in (*sets, add) for w in words if w.upper() not in left))
 
 
+def word_union(spark: SparkSession, sets: list[tuple[str, ...]], add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
+    """The same over tables (``word``) of any length: the distinct words of sets and a table, without those of another, in upper case."""
+    listed = spark.createDataFrame([(w,) for words in sets for w in words], "word string")
+    every = listed if add is None else listed.unionByName(add.select("word"))
+    upper = every.where("word is not null").select(F.upper("word").alias("word")).distinct()
+    return upper if remove is None else upper.join(remove.select(F.upper("word").alias("word")), "word", "left_anti")
+
+
 #: format models; one-letter ones are common variable names, so only ``blacklist`` with them leaves those out
 BLACKLIST = blacklist(TIME_FORMATS, remove=("A", "P", "W", "Q", "J"))
 

@@ -38,6 +38,16 @@ def returning_aliases(c: Column) -> Column:
     return F.when(has, F.concat(F.regexp_extract(c, r"(?is)^(.*?\bRETURNING\s+)", 1), listed)).otherwise(c)
 
 
+def shortened(c: Column, most: int, mark: str = " ...") -> Column:
+    """The first ``most`` characters of a text that has more, with a mark."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)
+
+
+def first_of(listed: Column, most: int) -> Column:
+    """The first ``most`` entries of a list."""
+    return F.slice(listed, 1, most)
+
+
 def marker(sql_id: Column, kind: Column) -> Column:
     return F.format_string("/* @sql %s %s */", sql_id, kind)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import hostvars as hv
 from ..functions import rewrite as rw
 from ..functions import rules
+from ..functions import text as shown
 from ..functions.corpus import FILES, HEADERS, check_derived, derived, statements
 from ..operators import builds, graphs, relations
 from ..operators.scanner import scan_files
@@ -151,8 +152,7 @@ def c18(spark, sf_dir):
 
 @query("x3_blacklist_union", "SELECT DISTINCT upper(w) AS word FROM (SELECT unnest(['" + "', '".join(hv.TIME_FORMATS + hv.DB2_REGISTERS) + "']) AS w UNION ALL SELECT lower(r_name) FROM region)")
 def x3(spark, sf_dir):
-    own = tuple(r.r_name for r in read(spark, sf_dir, "region").select("r_name").collect())
-    return spark.createDataFrame([(w,) for w in hv.blacklist(hv.TIME_FORMATS, hv.DB2_REGISTERS, add=own)], "word string")
+    return hv.word_union(spark, [hv.TIME_FORMATS, hv.DB2_REGISTERS], add=read(spark, sf_dir, "region").select(F.col("r_name").alias("word")))
 
 
 @query("a4_cursor_reads", TYPED + _CUR + " SELECT d.name, d.line_start AS declare_line, count(CASE WHEN c.sql_type = 'fetch_into' THEN 1 END) > 1 AS is_loop, count(CASE WHEN c.sql_type = 'fetch_into' THEN 1 END) > 0 AS reads_rows, 'cursor_' || d.name || '_' || lpad(CAST(row_number() OVER (PARTITION BY d.file_id, d.name ORDER BY d.line_start) AS VARCHAR), 3, '0') AS relationship_id FROM d LEFT JOIN c ON c.file_id = d.file_id AND c.name = d.name AND c.line_start > d.line_start AND (d.nxt IS NULL OR c.line_start < d.nxt) GROUP BY d.file_id, d.name, d.line_start")
@@ -234,11 +234,13 @@ def j28(spark, sf_dir):
     return builds.promoted_issues(read(spark, sf_dir, "customer").select(F.expr("concat(c_mktsegment, ' ', c_nationkey)").alias("text")))
 
 
-@query("j28_overlapping_issues", """WITH w AS (SELECT o_orderkey AS id, unnest(list_distinct(string_split(lower(o_orderpriority || '-' || o_orderkey % 7 || '-' || o_custkey % 5), '-'))) AS x FROM orders WHERE o_orderkey % 101 = 0),
- t AS (SELECT id, trim(unnest(string_split(x, ' '))) AS x FROM w), u AS (SELECT DISTINCT id, x FROM t WHERE x <> ''), s AS (SELECT id, count(*) AS n FROM u GROUP BY id)
+_ISSUE = "concat('case', CAST(floor(o_orderkey / 2) AS INT), ' area', CAST(floor(o_orderkey / 3) AS INT), ' Owner', o_orderkey % 997)"
+
+
+@query("j28_overlapping_issues", f"""WITH u AS (SELECT o_orderkey AS id, unnest(list_distinct(string_split(lower({_ISSUE}), ' '))) AS x FROM orders), s AS (SELECT id, count(*) AS n FROM u GROUP BY id)
  SELECT a.id AS a, b.id AS b, round(count(*) / least(any_value(sa.n), any_value(sb.n)), 6) AS overlap FROM u a JOIN u b ON a.x = b.x AND a.id < b.id JOIN s sa ON sa.id = a.id JOIN s sb ON sb.id = b.id GROUP BY a.id, b.id HAVING count(*) / least(any_value(sa.n), any_value(sb.n)) > 0.5""")
 def j28_pairs(spark, sf_dir):
-    issues = read(spark, sf_dir, "orders").where("o_orderkey % 101 = 0").select(F.col("o_orderkey").alias("id"), F.expr("concat(o_orderpriority, '-', o_orderkey % 7, '-', o_custkey % 5)").alias("text"))
+    issues = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_ISSUE).alias("text"))
     return graphs.similar_issues(issues).withColumn("overlap", F.round("overlap", 6))
 
 
@@ -269,4 +271,4 @@ def s13(spark, sf_dir):
 @query("w7_limits", ST + f" SELECT line_start, substr(sql_text, 1, 40) AS shown, CAST(least(2, len(regexp_extract_all(sql_text, '{PLAIN}'))) AS BIGINT) AS n_shown FROM st")
 def w7(spark, sf_dir):
     text = F.col("sql_text")
-    return statements(spark, sf_dir).select("line_start", F.substring(text, 1, 40).alias("shown"), F.size(F.slice(hv.variables(text), 1, 2)).cast("long").alias("n_shown"))
+    return statements(spark, sf_dir).select("line_start", shown.shortened(text, 40, "").alias("shown"), F.size(shown.first_of(hv.variables(text), 2)).cast("long").alias("n_shown"))

@@ -104,9 +104,9 @@ def v1(spark, sf_dir):
 
 
 @query("v3_variable_forms", ST + rf""", v AS (SELECT unnest({_V}) AS x FROM st) SELECT CASE WHEN x LIKE '%.%' THEN 'struct' WHEN x LIKE '%[%' THEN 'array' ELSE 'simple' END || CASE WHEN regexp_matches(x, '.:\w+$') THEN '_indicator' ELSE '' END AS form,
- regexp_extract(x, '^:(\w+)', 1) AS var_name, regexp_extract(x, '\.(\w+)', 1) AS field, CAST(count(*) AS BIGINT) AS n FROM v WHERE x NOT LIKE ':h_key%' GROUP BY ALL""")
+ regexp_extract(x, '^:(\w+)', 1) AS var_name, regexp_extract(x, '\.(\w+)', 1) AS field, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY ALL""")
 def v3(spark, sf_dir):
-    v = statements(spark, sf_dir).select(F.explode(hv.variables(F.col("sql_text"))).alias("x")).where("x not like ':h_key%'").select(hv.parsed(F.col("x")).alias("p"))
+    v = statements(spark, sf_dir).select(F.explode(hv.variables(F.col("sql_text"))).alias("x")).select(hv.parsed(F.col("x")).alias("p"))
     return v.groupBy(F.col("p.type").alias("form"), "p.var_name", F.coalesce("p.field_name", F.lit("")).alias("field")).agg(n())
 
 
@@ -411,9 +411,12 @@ def a17(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("lang").agg(n(), F.sum(F.length("text")).alias("chars"))
 
 
-@query("j28_similar_issues", r"WITH w AS (SELECT DISTINCT s_suppkey AS id, unnest(regexp_split_to_array(lower(s_name), '\W+')) AS word FROM supplier), s AS (SELECT id, count(*) AS n FROM w WHERE word <> '' GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM w x JOIN w y ON x.word = y.word AND x.word <> '' AND x.id < y.id GROUP BY ALL) SELECT a, b, k / CAST(least(sa.n, sb.n) AS DOUBLE) AS overlap FROM p JOIN s sa ON sa.id = a JOIN s sb ON sb.id = b WHERE k / CAST(least(sa.n, sb.n) AS DOUBLE) > 0.5")
+_NOTE = "concat(s_name, ' in nation', s_nationkey, ' nation', s_nationkey, '. owner', CAST(floor(s_suppkey / 4) AS INT))"
+
+
+@query("j28_similar_issues", rf"WITH w AS (SELECT DISTINCT s_suppkey AS id, unnest(regexp_split_to_array(lower({_NOTE}), '\W+')) AS word FROM supplier), s AS (SELECT id, count(*) AS n FROM w WHERE word <> '' GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM w x JOIN w y ON x.word = y.word AND x.word <> '' AND x.id < y.id GROUP BY ALL) SELECT a, b, k / CAST(least(sa.n, sb.n) AS DOUBLE) AS overlap FROM p JOIN s sa ON sa.id = a JOIN s sb ON sb.id = b WHERE k / CAST(least(sa.n, sb.n) AS DOUBLE) > 0.5")
 def j28(spark, sf_dir):
-    return graphs.similar_issues(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text")))
+    return graphs.similar_issues(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr(_NOTE).alias("text")))
 
 
 @query("s17_cypher", "SELECT 0 AS ord, 'CREATE (:Nation {id: ''' || n_nationkey || ''', name: ''' || n_name || '''});' AS value FROM nation UNION ALL SELECT 1, 'MATCH (a {id: ''' || n_nationkey || '''}), (b {id: ''' || n_regionkey || '''}) CREATE (a)-[:IN]->(b);' FROM nation")

@@ -110,6 +110,11 @@ def s19(spark, sf_dir):
     return sinks.report_html(rows_of(spark, sf_dir, "supplier", "s_name AS name", "if(s_suppkey % 2 = 0, 'pass', 'fail') AS status", "concat(s_suppkey, ' < 9 & more') AS message"), "Checks")
 
 
+@query("s19_report_lines", """SELECT 1 AS ord, c_name AS name, '<tr><td>' || c_name || '</td><td class="' || c_mktsegment || '">' || c_mktsegment || '</td><td>&lt;' || c_custkey || '&gt;</td></tr>' AS value FROM customer UNION ALL SELECT 0, '', '<html><head><title>All</title></head><body><table>' UNION ALL SELECT 2, '', '</table></body></html>'""")
+def s19_lines(spark, sf_dir):
+    return sinks.report_lines(rows_of(spark, sf_dir, "customer", "c_name AS name", "c_mktsegment AS status", "concat('<', c_custkey, '>') AS message"), "All")
+
+
 _STRUCTS = f"concat('#define N ', p_size, {NL}, 'typedef struct {{', {NL}, '  int  k_no;  /* the key */', {NL}, '  char p_nm[ N + 1];', {NL}, '  long amt_x;', {NL}, '}} rec', p_partkey, '_t;', {NL}, 'rec', p_partkey, '_stp[] = {{ {{', {Q}, 'w', {Q}, ', 1, 0, 0}}, {{', {Q}, 'i', {Q}, ', 4, 0, 0}}, {{', {Q}, 's', {Q}, ', 3, 0, 0}}, {{', {Q}, 'd', {Q}, ', ', p_size + 2, ', 2, 0}}, {{', {Q}, '0', {Q}, ', 0, 0, 0}} }};', {NL})"
 
 

@@ -81,8 +81,16 @@ def section_files(sections: DataFrame) -> DataFrame:
     return sections.select("file_id", F.format_string("declare_section_%d.c", F.col("seq")).alias("name"), F.col("raw").alias("body"))
 
 
+def report_lines(rows: DataFrame, title: str) -> DataFrame:
+    """(ord, name, value): the page of ``report_html`` by lines, sorted by ord and name, for reports of any length."""
+    esc = lambda c: xml_escape(F.coalesce(c, F.lit("")))
+    line = F.concat(F.lit("<tr><td>"), esc(F.col("name")), F.lit('</td><td class="'), "status", F.lit('">'), "status", F.lit("</td><td>"), esc(F.col("message")), F.lit("</td></tr>"))
+    ends = rows.sparkSession.createDataFrame([(0, "", f"<html><head><title>{title}</title></head><body><table>"), (2, "", "</table></body></html>")], "ord int, name string, value string")
+    return ends.union(rows.select(F.lit(1).alias("ord"), "name", line.alias("value")))
+
+
 def report_html(rows: DataFrame, title: str) -> DataFrame:
-    """html: a report of rows (name, status, message) as one page, in order of names."""
+    """html: a report of rows (name, status, message) as one page, in order of names; one row, so for short reports (else ``report_lines``)."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     line = F.concat(F.lit("<tr><td>"), esc(F.col("name")), F.lit('</td><td class="'), "status", F.lit('">'), "status", F.lit("</td><td>"), esc(F.col("message")), F.lit("</td></tr>"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("l")))), lambda x: x["l"])

@@ -20,7 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sourceloom-"))
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="sourceloom-")
+    return _own[app]
 
 
 def stored(df: DataFrame) -> DataFrame:
