@@ -1,22 +1,27 @@
 """Licence scans by a trained paragraph classifier.
 
 A paragraph is a run of lines with words, so a notice may be wrapped at any place.
-Wherever enough of a template's word pairs lie in one line, or within SPREAD times
-the template's words of a paragraph, its lines, the stretch itself and the stretch
-with MARGIN words on each side are scored by a sparse logistic regression for each
-licence family over hashed n-grams of one to three words; so words around a notice
-don't hide it. Only a document's text is read. The score is calibrated on held-out
-made-up paragraphs: a family is predicted where its probability passes the threshold
-that keeps PRECISION there, and anything else is of the unknown class. A prediction
-counts if it is the family of the template; of overlapping ones the closest
-template's stays.
-
-The classifier is fitted in numpy, once for each process, on TRAIN_ROWS made-up
-paragraphs: templates cut, reworded and set among other words, and near misses
-(words of licences out of order, mentions of other licences).
+Every paragraph is read in overlapping windows of several widths, and by its lines,
+each scored by a sparse logistic regression for each licence family over hashed
+n-grams of one to three words; so words around a notice don't hide it. Only a
+document's text is read. The scores are calibrated on held-out paragraphs: a family
+is predicted where its probability passes the threshold that keeps PRECISION there.
+
+A prediction is confirmed by template comparison: some stretch of its paragraph,
+of at most SPREAD times the words of one of the family's templates, must hold enough of
+the template's word pairs, and score as that family by itself, by its lines or with
+MARGIN words on each side; of overlapping stretches the closest template's stays.
+A paragraph with a window over ``licence_like``, the threshold that at most STRAY of
+held-out paragraphs without licences pass, in which nothing is confirmed is of the
+unknown class: licence-like, of no known family.
+
+The classifier is fitted in numpy on TRAIN_ROWS made-up paragraphs (templates cut,
+reworded and set among other words, and near misses: words of licences out of order,
+mentions of other licences) and on NEGATIVES stretches of the documents themselves,
+drawn at random, but for those that hold a good part of a template.
 
 Defined results: a document without confirmed notices has the family list ''
-and confidence 0; a null or empty text has no paragraphs; repeated rows are
+and confidence 0; a null or empty text has no paragraphs, licensed or unknown; repeated rows are
 scanned again; a null doc_id stays null; an empty table gives no rows; texts of
 any length are scanned whole; other columns are not looked at.
 """
@@ -52,7 +57,13 @@ TEMPLATES: dict[str, list[str]] = {
 }
 FAMILIES = list(TEMPLATES)
 BITS, NGRAM = 16, 3
-TRAIN_ROWS, PRECISION = 6000, 0.995
+TRAIN_ROWS, PRECISION, STRAY = 6000, 0.995, 0.002
+#: stretches of documents to learn from, and their words
+NEGATIVES, NEGATIVE_WORDS = 1500, 48
+#: words whose windows are scored at a time
+PART_WORDS = 1 << 15
+#: windows' widths in words; each starts at every third of its width
+WIDTHS = (6, 12, 24, 48)
 #: share of a template's word pairs that confirms a prediction
 CONFIRM = 0.6
 #: a notice's words, in template lengths; words scored on each side of it
@@ -100,9 +111,15 @@ def _made(rng: random.Random) -> tuple[str, int]:
 
 
 class Classifier:
-    def __init__(self) -> None:
+    def __init__(self, others: list[bytes] = ()) -> None:
+        """``others``: stretches of texts; those with a good part of a template are left out."""
         rng = random.Random(23)
+        self.templates = [(f, len(word_ids(t.encode())), np.unique(_pairs(word_ids(t.encode())))) for f, name in enumerate(FAMILIES) for t in TEMPLATES[name]]
+        self.least = [next(k for k in range(len(pairs) + 1) if k / len(pairs) >= CONFIRM) for _, _, pairs in self.templates]
+        self.known = np.unique(np.concatenate([pairs for _, _, pairs in self.templates]))
+        self.holders: list[list[int]] = [[t for t, (_, _, pairs) in enumerate(self.templates) if k in pairs] for k in self.known]
         made = [_made(rng) for _ in range(TRAIN_ROWS)]
+        made += [(t.decode("utf-8", "replace"), -1) for t in others if not self._partly(word_ids(t))]
         ids = [word_ids(t.encode()) for t, _ in made]
         lines, buckets = features(np.concatenate(ids), np.repeat(np.arange(len(made)), [len(x) for x in ids]))
         y = np.array([f for _, f in made])
@@ -135,10 +152,16 @@ class Classifier:
             right = np.cumsum(y[~fit][order] == f) / np.arange(1, len(order) + 1)
             good = np.flatnonzero(right >= PRECISION)
             self.thresholds[f] = scores[order[good[-1]], f] if len(good) else np.inf
-        self.templates = [(f, len(word_ids(t.encode())), np.unique(_pairs(word_ids(t.encode())))) for f, name in enumerate(FAMILIES) for t in TEMPLATES[name]]
-        self.least = [next(k for k in range(len(pairs) + 1) if k / len(pairs) >= CONFIRM) for _, _, pairs in self.templates]
-        self.known = np.unique(np.concatenate([pairs for _, _, pairs in self.templates]))
-        self.holders: list[list[int]] = [[t for t, (_, _, pairs) in enumerate(self.templates) if k in pairs] for k in self.known]
+        clean = np.sort(scores[y[~fit] < 0].max(axis=1))
+        self.licence_like = float(max(clean[-1 - int(STRAY * len(clean))], 0.0)) if len(clean) else 0.0
+
+    def _partly(self, words: np.ndarray) -> bool:
+        """Whether half of what confirms a template is there."""
+        seen = defaultdict(int)
+        for k in np.unique(self._hits(words)[1]).tolist() if len(words) > 1 else ():
+            for t in self.holders[k]:
+                seen[t] += 1
+        return any(2 * n >= self.least[t] for t, n in seen.items())
 
     @staticmethod
     def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int, length: np.ndarray) -> np.ndarray:
@@ -169,20 +192,70 @@ class Classifier:
                 seen[t] += 1
         return {t for t, n in seen.items() if n >= self.least[t]}
 
+    def windows(self, words: np.ndarray, paragraph: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, scores by family) of the windows of all paragraphs; words are given with their paragraph and line."""
+        n = len(words)
+        edges = np.flatnonzero(np.append(True, paragraph[1:] != paragraph[:-1]))
+        first, last = np.repeat(edges, np.diff(np.append(edges, n))), np.repeat(np.append(edges[1:], n), np.diff(np.append(edges, n)))
+        own = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        begins, ends = [own], [np.minimum(np.append(own[1:], n), own + 2 * WIDTHS[-1])]
+        for width in WIDTHS:
+            start = np.arange(0, n, width // 3)
+            for at in (start, edges, np.maximum(np.append(edges[1:], n) - width, edges)):
+                at = np.unique(at)
+                begins.append(at)
+                ends.append(np.minimum(at + width, last[at]))
+        begin, end = np.unique(np.stack([np.concatenate(begins), np.concatenate(ends)], axis=1), axis=0).T
+        total, count = np.zeros((len(begin), len(FAMILIES))), np.zeros(len(begin))
+        key = np.zeros(n, np.uint64)
+        for size in range(1, NGRAM + 1):
+            m = n - size + 1
+            if m < 1:
+                break
+            key = key[:m] * _STEP + words[size - 1 :]
+            sums = np.zeros((m + 1, len(FAMILIES)))
+            np.cumsum(self.weights[(mix(key + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64)], axis=0, out=sums[1:])
+            start = np.minimum(begin, m)
+            stop = np.maximum(end - size + 1, start)  # n-grams that lie whole inside
+            total += sums[stop] - sums[start]
+            count += stop - start
+        return begin, end, total / np.sqrt(np.maximum(count, 1))[:, None] + self.bias
+
     def scan(self, raw: bytes) -> tuple[int, list[tuple[int, int, float, float]]]:
         """Paragraphs of a text, and (paragraph, family, probability, template share) of each confirmed notice."""
+        return self.scan_all(raw)[:2]
+
+    def scan_all(self, raw: bytes) -> tuple[int, list[tuple[int, int, float, float]], list[int]]:
+        """The same, and the paragraphs of the unknown class."""
         paragraphs = sum(1 for x in re.split(rb"\n[ \n]*\n", raw.translate(_LINES)) if x.strip())
-        if not self._possible(self._hits(word_ids(raw))[1]):
-            return paragraphs, []
         ids = [word_ids(x) for x in raw.split(b"\n")]
         sizes = np.array([len(x) for x in ids])
+        if not sizes.sum():
+            return paragraphs, [], []
         words, line = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
         paragraph = (np.cumsum((sizes > 0) & (np.append(0, sizes[:-1]) == 0)) - 1)[line]
+        proposed: dict[int, set[int]] = defaultdict(set)
+        like: set[int] = set()
+        for low, high in _parts(paragraph):
+            begin, _, scores = self.windows(words[low:high], paragraph[low:high], line[low:high])
+            top = scores.argmax(axis=1)
+            best = scores[np.arange(len(top)), top]
+            for k in np.flatnonzero(best >= self.thresholds[top]).tolist():
+                proposed[int(paragraph[low + begin[k]])].add(int(top[k]))
+            like.update(paragraph[low + begin[best >= self.licence_like]].tolist())
+        found = []
+        for number, families in proposed.items():
+            low, high = np.searchsorted(paragraph, (number, number + 1))
+            found += self._confirmed(families, words[low:high], line[low:high], int(low))
+        kept = sorted(_apart(found), key=lambda x: x[2])
+        notices = [(int(paragraph[begin]), family, p, -share) for _, _, begin, _, family, p, share in kept]
+        return paragraphs, notices, sorted(like - {n[0] for n in notices})
+
+    def _confirmed(self, families: set[int], words: np.ndarray, line: np.ndarray, offset: int) -> list[tuple]:
+        """Stretches of a paragraph, which begins at ``offset``, that hold a template of a predicted family and score as it."""
         at, which = self._hits(words)
-        inside = paragraph[at] == paragraph[at + 1]
-        at, which = at[inside], which[inside]
+        possible = {t for t in self._possible(which) if self.templates[t][0] in families}
         places = defaultdict(list)
-        possible = self._possible(which)
         for x, k in zip(at.tolist(), which.tolist()):
             for t in self.holders[k]:
                 if t in possible:
@@ -190,18 +263,16 @@ class Classifier:
         found = []
         for t, hits in places.items():
             family, _, pairs = self.templates[t]
-            near, by_line = self._spans(t, hits, line, paragraph)
+            near, by_line = self._spans(t, hits, line)
             for whole, (n, size, begin, end) in [(False, x) for x in _apart(near)] + [(True, x) for x in by_line]:
                 first, last = np.searchsorted(line, (line[begin], line[end - 1] + 1))
-                low, high = np.searchsorted(paragraph, (paragraph[begin], paragraph[begin] + 1))
-                scores = self.scores([words[first:last], words[begin:end], words[max(low, begin - MARGIN) : min(high, end + MARGIN)]])
+                scores = self.scores([words[first:last], words[begin:end], words[max(0, begin - MARGIN) : end + MARGIN]])
                 top = scores[(scores.argmax(axis=1) == family) & (scores[:, family] >= self.thresholds[family]), family]
                 if len(top):
-                    found.append(((whole, n / len(pairs)), size, begin, end, family, float(1 / (1 + np.exp(-top.max()))), n / len(pairs)))
-        kept = sorted(_apart(found), key=lambda x: x[2])
-        return paragraphs, [(int(paragraph[begin]), family, p, -share) for _, _, begin, _, family, p, share in kept]
+                    found.append(((whole, n / len(pairs)), size, offset + begin, offset + end, family, float(1 / (1 + np.exp(-top.max()))), n / len(pairs)))
+        return found
 
-    def _spans(self, t: int, hits: list[tuple[int, int]], line: np.ndarray, paragraph: np.ndarray) -> tuple[list[tuple], list[tuple]]:
+    def _spans(self, t: int, hits: list[tuple[int, int]], line: np.ndarray) -> tuple[list[tuple], list[tuple]]:
         """(-pairs, words, begin, end) where a template has enough pairs, from each of its hits and by line."""
         reach = SPREAD * self.templates[t][1]
         near, by_line, lines = [], [], defaultdict(list)
@@ -211,7 +282,7 @@ class Classifier:
             seen: set[int] = set()
             end = begin
             for x, other in hits[a : a + reach]:
-                if x + 2 - begin > reach or paragraph[x] != paragraph[begin]:
+                if x + 2 - begin > reach:
                     break
                 if other not in seen:
                     seen.add(other)
@@ -242,6 +313,18 @@ def _pairs(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * _STEP + words[1:])
 
 
+def _parts(paragraph: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about PART_WORDS words; a longer paragraph is one of its own, in ranges that overlap by the widest window."""
+    n, low = len(paragraph), 0
+    while low < n:
+        high = min(low + PART_WORDS, n)
+        if high < n:
+            cut = int(np.searchsorted(paragraph, paragraph[high]))
+            high = cut if cut > low else high
+        yield low, high
+        low = high if high == n or paragraph[high] != paragraph[high - 1] else high - 2 * WIDTHS[-1]
+
+
 _model: list[Classifier] = []
 
 
@@ -251,20 +334,37 @@ def classifier() -> Classifier:
     return _model[0]
 
 
+def sampled_stretches(docs: DataFrame, most: int = NEGATIVES) -> list[bytes]:
+    """A stretch of each of about ``most`` documents, from a random place; at most NEGATIVE_WORDS words each."""
+    rows = max(1, docs.count())
+
+    def cut(chunks: Iterator[list[list]]) -> Iterator[dict]:
+        rng = random.Random(5)
+        for (raws,) in chunks:
+            words = [r.split() for r in raws]
+            starts = [rng.randrange(max(1, len(w) - NEGATIVE_WORDS + 1)) for w in words]
+            yield {"stretch": [b" ".join(w[k : k + NEGATIVE_WORDS])[: 32 * NEGATIVE_WORDS] for w, k in zip(words, starts)]}
+
+    sample = with_bytes(docs).select("raw").sample(False, min(1.0, most / rows), 19)
+    return sorted(bytes(r.stretch) for r in map_rows(sample, ["raw"], cut, "stretch binary").collect())
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_licensed, families (sorted, comma-joined), confidence, paragraphs (of each notice found)."""
-    held = docs.sparkSession.sparkContext.broadcast(classifier())
+    """doc_id, n_paragraphs, n_licensed, families (sorted, comma-joined), confidence, paragraphs (of each notice found), n_unknown and unknown (paragraphs of the unknown class)."""
+    held = docs.sparkSession.sparkContext.broadcast(Classifier(sampled_stretches(docs)))
 
     def run(chunks: Iterator[list[list]]) -> Iterator[dict]:
         for doc_ids, raws in chunks:
-            out: dict[str, list] = {"doc_id": doc_ids, "n_paragraphs": [], "n_licensed": [], "families": [], "confidence": [], "paragraphs": []}
+            out: dict[str, list] = {"doc_id": doc_ids, "n_paragraphs": [], "n_licensed": [], "families": [], "confidence": [], "paragraphs": [], "n_unknown": [], "unknown": []}
             for raw in raws:
-                n, found = held.value.scan(raw)
+                n, found, unknown = held.value.scan_all(raw)
                 out["n_paragraphs"].append(n)
                 out["n_licensed"].append(len(found))
                 out["families"].append(",".join(sorted({FAMILIES[f] for _, f, _, _ in found})))
                 out["confidence"].append(max((p for _, _, p, _ in found), default=0.0))
                 out["paragraphs"].append([{"paragraph": k, "family": FAMILIES[f], "probability": p, "template_share": s} for k, f, p, s in found])
+                out["n_unknown"].append(len(unknown))
+                out["unknown"].append(unknown)
             yield out
 
-    return map_rows(with_bytes(docs), ["doc_id", "raw"], run, "doc_id long, n_paragraphs long, n_licensed long, families string, confidence double, paragraphs array<struct<paragraph:int,family:string,probability:double,template_share:double>>")
+    return map_rows(with_bytes(docs), ["doc_id", "raw"], run, "doc_id long, n_paragraphs long, n_licensed long, families string, confidence double, paragraphs array<struct<paragraph:int,family:string,probability:double,template_share:double>>, n_unknown long, unknown array<int>")
