@@ -20,6 +20,8 @@ from ..session import ship
 BATCH_BYTES = 2 << 20
 #: a key with more than this part of all rows is hot
 HOT_KEYS = 1000
+#: how many bytes an Arrow batch may have
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: removes a query's shuffle files when it ends
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -102,6 +104,12 @@ def give_back() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, unless the session says how large: by rows alone, those of long texts fill the JVM and the worker."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(4 * BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list]]], Iterator[dict]], schema: str, uses: str = "") -> DataFrame:
     """``mapInArrow`` over chosen columns; ``uses`` names what the worker process may keep (see ``keeps``).
 
@@ -109,6 +117,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[list[list
     BATCH_BYTES of text each) and yields dicts of column lists.
     """
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     out = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
     limit = BATCH_BYTES
@@ -136,6 +145,7 @@ def keep_rows(df: DataFrame, text: str, judge: Callable[[], Callable[[list[bytes
     ``judge`` is called once in each task and gives what judges a list of texts.
     """
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import numpy as np
 from .common import keeps
 
 #: chunks and words kept by a worker process before a cache starts anew
-CACHE_CHUNKS, CACHE_WORDS = 600_000, 400_000
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 300_000
 #: longer ones are not kept, so the caches' bytes are bounded too
 CACHE_BYTES = 48
 
