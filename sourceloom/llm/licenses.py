@@ -11,9 +11,10 @@ A prediction is confirmed by template comparison: some stretch of its paragraph,
 of at most SPREAD times the words of one of the family's templates, must hold enough of
 the template's word pairs, and score as that family by itself, by its lines or with
 MARGIN words on each side; of overlapping stretches the closest template's stays.
-A paragraph with a window over ``licence_like``, the threshold that at most STRAY of
-held-out paragraphs without licences pass, in which nothing is confirmed is of the
-unknown class: licence-like, of no known family.
+A further output tells licence-like words, of known families or not, from all else. A
+paragraph with a window over its threshold, which at most STRAY of held-out
+paragraphs without licences pass, in which nothing is confirmed is of the unknown class:
+licence-like, of no known family.
 
 The classifier is fitted in numpy on TRAIN_ROWS made-up paragraphs (templates cut,
 reworded and set among other words, and near misses: words of licences out of order,
@@ -56,6 +57,8 @@ TEMPLATES: dict[str, list[str]] = {
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited"],
 }
 FAMILIES = list(TEMPLATES)
+#: outputs of the classifier: the families, and whether a text is licence-like
+OUTPUTS, LIKE = len(FAMILIES) + 1, len(FAMILIES)
 BITS, NGRAM = 16, 3
 TRAIN_ROWS, PRECISION, STRAY = 6000, 0.995, 0.002
 #: stretches of documents to learn from, and their words
@@ -88,7 +91,7 @@ def features(words: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _made(rng: random.Random) -> tuple[str, int]:
-    """A paragraph and its family's number (-1: unknown)."""
+    """A paragraph and its family's number (-1: licence-like, of none; -2: nothing of the kind)."""
     word = lambda: "".join(rng.choice("aeiounrstldmhc") for _ in range(rng.randint(2, 10)))
     filler = lambda k: [word() for _ in range(rng.randint(0, k))]
     family = rng.randrange(len(FAMILIES))
@@ -104,10 +107,13 @@ def _made(rng: random.Random) -> tuple[str, int]:
         return " ".join(rng.choice(pool) for _ in range(rng.randint(3, 25))), -1
     if draw < 0.75:  # too little of a notice
         at = rng.randrange(len(words))
-        return " ".join(filler(12) + words[at : at + 2] + filler(12)), -1
-    if draw < 0.82:  # other licences and talk of licences
-        return rng.choice(["Licensed under the {} License", "Released under the {} License, version {}", "this work is licensed to {}", "driver license of {} {}", "see the {} license"]).format(word(), word()), -1
-    return " ".join(filler(60) + [word()]), -1
+        return " ".join(filler(12) + words[at : at + 2] + filler(12)), -2
+    if draw < 0.80:  # other licences
+        form = rng.choice(["Licensed under the {} License", "Released under the {} License, version {}", "This work is licensed under the {} {} License", "distributed under the terms of the {} License"])
+        return " ".join([*filler(12), form.format(word().capitalize(), word()), *filler(12)]), -1
+    if draw < 0.84:  # talk of licences
+        return rng.choice(["this work is licensed to {}", "driver license of {} {}", "see the {} license"]).format(word(), word()), -2
+    return " ".join(filler(60) + [word()]), -2
 
 
 class Classifier:
@@ -119,15 +125,15 @@ class Classifier:
         self.known = np.unique(np.concatenate([pairs for _, _, pairs in self.templates]))
         self.holders: list[list[int]] = [[t for t, (_, _, pairs) in enumerate(self.templates) if k in pairs] for k in self.known]
         made = [_made(rng) for _ in range(TRAIN_ROWS)]
-        made += [(t.decode("utf-8", "replace"), -1) for t in others if not self._partly(word_ids(t))]
+        made += [(t.decode("utf-8", "replace"), -2) for t in others if not self._partly(word_ids(t))]
         ids = [word_ids(t.encode()) for t, _ in made]
         lines, buckets = features(np.concatenate(ids), np.repeat(np.arange(len(made)), [len(x) for x in ids]))
         y = np.array([f for _, f in made])
         fit = np.arange(len(made)) % 3 > 0
         used, at = np.unique(buckets, return_inverse=True)
-        weights, bias = np.zeros((len(used), len(FAMILIES))), np.full(len(FAMILIES), -3.0)
+        weights, bias = np.zeros((len(used), OUTPUTS)), np.full(OUTPUTS, -3.0)
         seen_w, seen_b = np.full(weights.shape, 1e-6), np.full(bias.shape, 1e-6)
-        target = y[:, None] == np.arange(len(FAMILIES))
+        target = np.concatenate([y[:, None] == np.arange(LIKE), y[:, None] >= -1], axis=1)
         on = fit[lines]
         rows, cols = lines[on], at[on]
         length = np.sqrt(np.maximum(np.bincount(lines, minlength=len(made)), 1))
@@ -140,19 +146,21 @@ class Classifier:
             seen_b += error.sum(axis=0) ** 2
             weights -= 0.5 * grad / np.sqrt(seen_w)
             bias -= 0.5 * error.sum(axis=0) / np.sqrt(seen_b)
-        self.weights = np.zeros((1 << BITS, len(FAMILIES)), np.float32)
+        self.weights = np.zeros((1 << BITS, OUTPUTS), np.float32)
         self.weights[used] = weights
         self.bias = bias.astype(np.float32)
         scores = self._sums(weights, bias, lines, at, len(made), length)[~fit]
         # the calibrated unknown class: below its threshold, a family is not predicted
         self.thresholds = np.zeros(len(FAMILIES))
         for f in range(len(FAMILIES)):
-            best = np.flatnonzero(scores.argmax(axis=1) == f)
+            best = np.flatnonzero(scores[:, :LIKE].argmax(axis=1) == f)
             order = best[np.argsort(-scores[best, f], kind="stable")]
             right = np.cumsum(y[~fit][order] == f) / np.arange(1, len(order) + 1)
             good = np.flatnonzero(right >= PRECISION)
             self.thresholds[f] = scores[order[good[-1]], f] if len(good) else np.inf
-        clean = np.sort(scores[y[~fit] < 0].max(axis=1))
+        # by the best of a paragraph's windows, as they are judged
+        none = lambda x: np.zeros(len(x), np.int64)
+        clean = np.sort([self.windows(x, none(x), none(x))[2][:, LIKE].max() for x, kind, learned in zip(ids, y, fit) if kind == -2 and not learned and len(x)])
         self.licence_like = float(max(clean[-1 - int(STRAY * len(clean))], 0.0)) if len(clean) else 0.0
 
     def _partly(self, words: np.ndarray) -> bool:
@@ -171,7 +179,7 @@ class Classifier:
         return out / length[:, None] + bias
 
     def scores(self, units: list[np.ndarray]) -> np.ndarray:
-        """Units x families."""
+        """Units x outputs."""
         lines, buckets = features(np.concatenate(units), np.repeat(np.arange(len(units)), [len(x) for x in units]))
         order = np.argsort(lines, kind="stable")
         counts = np.bincount(lines, minlength=len(units))
@@ -193,7 +201,7 @@ class Classifier:
         return {t for t, n in seen.items() if n >= self.least[t]}
 
     def windows(self, words: np.ndarray, paragraph: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, end, scores by family) of the windows of all paragraphs; words are given with their paragraph and line."""
+        """(begin, end, scores) of the windows of all paragraphs; words are given with their paragraph and line."""
         n = len(words)
         edges = np.flatnonzero(np.append(True, paragraph[1:] != paragraph[:-1]))
         first, last = np.repeat(edges, np.diff(np.append(edges, n))), np.repeat(np.append(edges[1:], n), np.diff(np.append(edges, n)))
@@ -206,14 +214,14 @@ class Classifier:
                 begins.append(at)
                 ends.append(np.minimum(at + width, last[at]))
         begin, end = np.unique(np.stack([np.concatenate(begins), np.concatenate(ends)], axis=1), axis=0).T
-        total, count = np.zeros((len(begin), len(FAMILIES))), np.zeros(len(begin))
+        total, count = np.zeros((len(begin), OUTPUTS)), np.zeros(len(begin))
         key = np.zeros(n, np.uint64)
         for size in range(1, NGRAM + 1):
             m = n - size + 1
             if m < 1:
                 break
             key = key[:m] * _STEP + words[size - 1 :]
-            sums = np.zeros((m + 1, len(FAMILIES)))
+            sums = np.zeros((m + 1, OUTPUTS))
             np.cumsum(self.weights[(mix(key + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64)], axis=0, out=sums[1:])
             start = np.minimum(begin, m)
             stop = np.maximum(end - size + 1, start)  # n-grams that lie whole inside
@@ -238,11 +246,11 @@ class Classifier:
         like: set[int] = set()
         for low, high in _parts(paragraph):
             begin, _, scores = self.windows(words[low:high], paragraph[low:high], line[low:high])
-            top = scores.argmax(axis=1)
+            top = scores[:, :LIKE].argmax(axis=1)
             best = scores[np.arange(len(top)), top]
             for k in np.flatnonzero(best >= self.thresholds[top]).tolist():
                 proposed[int(paragraph[low + begin[k]])].add(int(top[k]))
-            like.update(paragraph[low + begin[best >= self.licence_like]].tolist())
+            like.update(paragraph[low + begin[scores[:, LIKE] >= self.licence_like]].tolist())
         found = []
         for number, families in proposed.items():
             low, high = np.searchsorted(paragraph, (number, number + 1))
@@ -267,7 +275,7 @@ class Classifier:
             for whole, (n, size, begin, end) in [(False, x) for x in _apart(near)] + [(True, x) for x in by_line]:
                 first, last = np.searchsorted(line, (line[begin], line[end - 1] + 1))
                 scores = self.scores([words[first:last], words[begin:end], words[max(0, begin - MARGIN) : end + MARGIN]])
-                top = scores[(scores.argmax(axis=1) == family) & (scores[:, family] >= self.thresholds[family]), family]
+                top = scores[(scores[:, :LIKE].argmax(axis=1) == family) & (scores[:, family] >= self.thresholds[family]), family]
                 if len(top):
                     found.append(((whole, n / len(pairs)), size, offset + begin, offset + end, family, float(1 / (1 + np.exp(-top.max()))), n / len(pairs)))
         return found
