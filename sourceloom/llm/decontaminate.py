@@ -39,10 +39,10 @@ from .neardup import word_hashes
 #: words of a passage and of a step; windows have two and four steps
 PASSAGE, STEP = 64, 16
 RANK, OVERSAMPLE, POWERS = 64, 16, 2
-#: the rank doubles until each passage keeps this share of its length in latent space
+#: the rank grows fourfold until each passage keeps this share of its length in latent space
 KEPT = 0.99
-#: passages in one pass over the documents
-BLOCK = 512
+#: passages in one pass over the documents, and tasks that sum over them
+BLOCK, SUMS = 512, 4
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 #: windows' starts in a stretch, words looked up at a time, stretches counted at a time
 STARTS, WORDS_HELD, COUNTED = 8, 1 << 16, 64
@@ -143,10 +143,14 @@ def latent_space(passages: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, r
                     row = tf * weight[at]
                     row /= np.linalg.norm(row) or 1
                     total[at] += np.outer(row, row @ right[at])
-            yield {"sums": [total.tobytes()]}
+            yield {"sums": [total.astype(np.float32).tobytes()]}
 
         # a row for each task over a block of passages, each words x rank
-        return sum(np.frombuffer(r.sums).reshape(basis.shape) for r in map_rows(passages, ["words"], part, "sums binary").collect())
+        out = np.zeros(basis.shape)
+        for r in map_rows(passages.coalesce(SUMS), ["words"], part, "sums binary").toLocalIterator():
+            out += np.frombuffer(r.sums, np.float32).reshape(basis.shape)
+        held.destroy()  # the driver holds no basis longer than its product
+        return out
 
     for _ in range(POWERS):
         basis = np.linalg.qr(product(basis))[0]
@@ -351,7 +355,7 @@ def _index(docs: DataFrame, block: list):
         made = Index([r.item_id for r in block], words, [list(r.answer) for r in block], vocabulary, idf, space, unknown)
         if made.kept >= KEPT or rank >= min(len(block), len(vocabulary)):
             break
-        rank = min(2 * rank, len(block), len(vocabulary))
+        rank = min(4 * rank, len(block), len(vocabulary))
     return spark.sparkContext.broadcast(made)
 
 
