@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +72,23 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, stop: Da
             reached = stored(reached)
 
 
+def walked(first: DataFrame, following: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of a recursive query, repeats kept: the first ones, and what each level's rows lead to until a level is empty.
+
+    Each level is stored, and now and then all of them as one, so neither the
+    number of rows nor that of levels has a limit.
+    """
+    level = stored(first)
+    rows = level
+    for depth in itertools.count(1):
+        level = stored(following(level))
+        if level.isEmpty():
+            return rows
+        rows = rows.union(level)
+        if depth % 16 == 0:
+            rows = stored(rows)
+
+
 def call_chains(edges: DataFrame, seeds: DataFrame, most: int = 10) -> DataFrame:
     """root, node, depth: callees up to ``most`` calls away at their least depth."""
     return reach(edges, seeds.select(F.col("node").alias("root"), "node"), most)

@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import graphs
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: name: Spark text, or (Spark text, checking text)
@@ -204,6 +206,25 @@ SELECT user_id, CAST(island AS BIGINT) AS island, CAST(count(*) AS BIGINT) AS n,
     "a20_success_rate": "SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS rate FROM {events} GROUP BY user_id",
 }
 
+#: recursive shapes level by level on Spark, whose recursive queries end at a number of rows: the first rows, those that a level leads to, the result
+LEVELS: dict[str, tuple[str, str, str]] = {
+    "r1_recursive_hierarchy": (
+        "SELECT p_partkey AS k, 1 AS lvl, CAST(p_partkey AS STRING) AS path FROM {part} WHERE p_partkey < 10",
+        """
+SELECT p.p_partkey AS k, t.lvl + 1 AS lvl, concat(t.path, '/', CAST(p.p_partkey AS STRING)) AS path
+FROM {part} p JOIN {level} t ON CAST(floor(p.p_partkey / 10) AS BIGINT) = t.k WHERE p.p_partkey >= 10 AND t.lvl < 10""",
+        "SELECT k AS node, CAST(lvl AS BIGINT) AS depth, path FROM {rows}",
+    ),
+    "r19_hierarchical_chain": (
+        "SELECT CAST(p_partkey AS BIGINT) AS node, 1 AS lvl, concat('/', CAST(p_partkey AS STRING)) AS path FROM {part} WHERE p_partkey BETWEEN 1 AND 6",
+        """
+SELECT e.child AS node, h.lvl + 1 AS lvl, concat(h.path, '/', CAST(e.child AS STRING)) AS path
+FROM (SELECT CAST(p_partkey AS BIGINT) AS child, CAST(floor(p_partkey / 7) AS BIGINT) AS parent FROM {part}) e JOIN {level} h ON e.parent = h.node
+WHERE concat(h.path, '/') NOT LIKE concat('%/', CAST(e.child AS STRING), '/%')""",
+        "SELECT node, CAST(lvl AS BIGINT) AS lvl, path, p.parent IS NULL AS is_leaf FROM {rows} LEFT JOIN (SELECT DISTINCT CAST(floor(p_partkey / 7) AS BIGINT) AS parent FROM {part}) p ON p.parent = node",
+    ),
+}
+
 
 def _spark_text(text: str) -> str:
     return text.replace("{string}", "STRING")
@@ -220,7 +241,11 @@ def run_shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     shape = SHAPES[name]
     text = _spark_text(shape[0] if isinstance(shape, tuple) else shape)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    if name not in LEVELS:
+        return spark.sql(text, **used)
+    given = lambda step, **more: spark.sql(step, **{t: df for t, df in (used | more).items() if "{" + t + "}" in step})
+    first, following, result = LEVELS[name]
+    return given(result, rows=graphs.walked(given(first), lambda level: given(following, level=level)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
