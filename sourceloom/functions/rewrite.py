@@ -195,20 +195,23 @@ ORACLE_TO_MYSQL = sqltree.Dialect(
     },
     {("SYSDATE",): "NOW()", ("SYSTIMESTAMP",): "NOW()"},
     concat="CONCAT",
+    looks=False,
 )
 DB2_TO_MYSQL = sqltree.Dialect(
     {"VALUE": "IFNULL", "POSSTR": "LOCATE"},
     {("CURRENT", "DATE"): "CURDATE()", ("CURRENT", "TIMESTAMP"): "NOW()", ("CURRENT", "TIME"): "CURTIME()", ("FETCH", "FIRST", "#", "ROW|ROWS", "ONLY"): ""},
+    looks=False,
 )
 MYSQL_TO_ORACLE = sqltree.Dialect(
     {"IFNULL": "NVL", "NOW": lambda args: None if args else "SYSDATE", "CURDATE": lambda args: "TRUNC(SYSDATE)", "CURTIME": lambda args: "TO_CHAR(SYSDATE, 'HH24:MI:SS')"},
     {("LIMIT", "#", "OFFSET", "#"): "", ("LIMIT", "#"): ""},
+    looks=False,
 )
-CONCATENATION = sqltree.Dialect({}, concat="CONCAT")
+CONCATENATION = sqltree.Dialect({}, concat="CONCAT", looks=False)
 
 
 def in_dialect(dialect: sqltree.Dialect) -> Rewrite:
-    return lambda c: sqltree.as_column(dialect.rewritten, "string", c)
+    return lambda c: sqltree.as_column(dialect.rewritten if dialect.looks else sqltree.Forms(dialect.of_tokens), "string", c)
 
 
 def decode_to_case(c: Column) -> Column:

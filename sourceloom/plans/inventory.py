@@ -16,6 +16,7 @@ from ..functions.corpus import FILES, HEADERS, check_derived, derived, statement
 from ..operators import builds, graphs, relations
 from ..operators.scanner import scan_files
 from ..sources import sinks
+from ..storage import spread
 from .queries import _CUR, ORACLES, PLAIN, ST, TYPED, query, read, typed
 
 FI = check_derived("fi", FILES, "customer")
@@ -101,7 +102,7 @@ def n6(spark, sf_dir):
 @query("h3_every_decode", f"SELECT o_orderkey AS k, 'SELECT CASE k WHEN ' || o_orderkey || ' THEN a ELSE b END, CASE s WHEN 1 THEN x WHEN 2 THEN y END' || {NL} || 'FROM t WHERE CONCAT(p, q) = r AND DATE_ADD(d, INTERVAL ' || o_orderkey % 12 || ' MONTH) > TIMESTAMPDIFF(MONTH, v, u)' AS sql FROM orders")
 def h3(spark, sf_dir):
     text = F.expr("concat('SELECT DECODE(k, ', o_orderkey, ', a, b), DECODE(s, 1, x, 2, y)\nFROM t WHERE p\n  || q = r AND ADD_MONTHS(d, ', o_orderkey % 12, ') > MONTHS_BETWEEN(u, v)')")
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), rw.oracle_to_mysql(text).alias("sql"))
+    return spread(read(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("k"), rw.oracle_to_mysql(text).alias("sql"))
 
 
 @query("h7_paging_gate", TYPED + " SELECT line_start, (sql_type = 'declare_cursor' OR (sql_type = 'select' AND line_start % 3 = 0)) AS paged FROM ty")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import hostvars as hv
 from ..functions import rewrite as rw
 from ..operators import diffs, relations
+from ..storage import spread
 from .queries import query, read
 
 
 def made(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """(k, t): a text for each order."""
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(text).alias("t"))
+    return spread(read(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("k"), F.expr(text).alias("t"))
 
 
 @query(

@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over twice as many tasks as there are cores, for work that costs much for each row: a table may lie in one file of few row groups."""
+    return df.repartition(2 * max(df.sparkSession.sparkContext.defaultParallelism, 1))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` in the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
