@@ -57,3 +57,26 @@ def test_ten_thousand_rules(spark):
     assert len(rows) == 2400
     for r in rows:
         assert r.target == f"agent{min((k for k in (r.id, r.id + 1) if k < 12_000), key=lambda k: (-(k % 7), k))}"
+
+
+def test_pieces_that_expressions_need():
+    found = {r"^order 107[05]*\b": "order 107", "ab?c+d": "a", r"a(bc)def[x]gh": "def", "a|b": "", r"(?x) a b": "", "ab{0,2}cde": "cde", r"\x41bcd": "", r"x\.yz": "yz", "A+B": "a", "[]ab]cd": "cd", "a{b": ""}
+    assert {p: automaton.required(p) for p in found} == found
+
+
+def test_letters_that_meet_ascii_case_aside(spark):
+    rules = [("k", 5, 0, "^kel*in"), ("s", 4, 1, "s+t$"), ("plain", 3, 2, "mask"), ("i", 2, 3, "x+in")] + [(f"r{k}", 1, 10 + k, f"zz{k}") for k in range(20)]
+    texts = ["Kelvin", "Kelin", "faſt", "masK", "xİn", "xıN", "ZZ1 zz19", "É", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    table = spark.createDataFrame(rules, "target string, priority int, ord int, pattern string")
+    for block in (5, 1000):
+        got = {r.text: r.target for r in automaton.routed(df, table, "text", block_rules=block).collect()}
+        assert got == {t: plain_route(rules, t) for t in texts}
+
+
+def test_long_tables_are_one_join(spark):
+    table = spark.range(4000).selectExpr("concat('agent', id) as target", "1 as priority", "cast(id as int) as ord", "concat('keyword', id, '!') as pattern")
+    texts = spark.range(40).selectExpr("concat('keyword', id, '!') as text")
+    routed = automaton.routed(texts, table, "text", block_rules=10)
+    assert routed._jdf.queryExecution().toString().count("MapInArrow") < 20
+    assert {r.text[7:-1]: r.target[5:] for r in routed.collect()} == {str(k): str(k) for k in range(40)}
