@@ -29,3 +29,12 @@ def test_methods_without_a_class_to_hold_them():
 def test_query_keeps_each_order(spark, sf_dir):
     out = queries.QUERIES["k8_java_merge"](spark, sf_dir).collect()
     assert sum(r.text.count("public int m") for r in out) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def test_classes_share_arrow_batches(spark):
+    """One call of pandas for each class took most of the time of small classes; null places come last, as before."""
+    rows = spark.createDataFrame([("a", "class A {\n}\n", f"int m{k}() {{ return {k}; }}", k if k else None) for k in range(4)] + [("b", "class B {\n}\n", None, 1)], "class_id string, skeleton string, llm_response string, ord int")
+    out = java.merge_classes(rows)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    given = [f"int m{k}() {{ return {k}; }}" for k in (1, 2, 3, 0)]
+    assert {r.class_id: r.text for r in out.collect()} == {"a": java.merged("class A {\n}\n", given), "b": java.merged("class B {\n}\n", [""])}
