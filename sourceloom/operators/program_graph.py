@@ -70,7 +70,7 @@ def resolved(includes: DataFrame, listing: DataFrame, search: list[str]) -> Data
 
 
 def facts(files: DataFrame, search: list[str] = ()) -> Relations:
-    """What each file (path, content) says: includes, functions, calls, variables, assignments, members; stored."""
+    """What each file (path, content) says: includes, functions, calls, variables; stored."""
     scan = lambda what: scan_files(files, what, "path")
     c = stored(scan("c").select("path", "kind", "name", "parent", "line_start"))
     includes = scan("directive").where("kind = 'include'").select("path", "name", F.col("value").alias("kind"))
@@ -79,8 +79,6 @@ def facts(files: DataFrame, search: list[str] = ()) -> Relations:
         "functions": c.where("kind = 'function'").select("path", "name"),
         "calls": c.where("kind = 'function_call'").select("path", F.col("parent").alias("caller"), F.col("name").alias("callee")).distinct(),
         "variables": c.where("kind = 'variable'").select("path", "name").distinct(),
-        "assignments": scan("assignment"),
-        "members": scan("field"),
     }
 
 
@@ -120,6 +118,9 @@ def program_graph(files: DataFrame, roots: DataFrame, search: list[str] = (), fo
     told = facts(files, search)
     reached = programs(told, roots, follow_calls)["file"]
     within = {k: df.join(reached, "path", "left_semi") for k, df in told.items()}
+    # what no other file's fate depends on is looked for in the reached files only
+    own_files = files.join(reached, "path", "left_semi")
+    within |= {"assignments": scan_files(own_files, "assignment", "path"), "members": scan_files(own_files, "field", "path")}
     id = lambda kind, *parts: F.concat(F.lit(f"{kind}:"), *(x for k, p in enumerate(parts) for x in (([F.lit("::")] if k else []) + [F.col(p)])))
     functions, calls = within["functions"].distinct(), within["calls"]
     own = calls.join(functions.select("path", F.col("name").alias("callee")), ["path", "callee"]).withColumn("target", F.col("path"))

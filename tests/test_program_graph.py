@@ -75,3 +75,17 @@ def test_assignments_and_members():
     text = 'int a = b + 1; /* c = d; */ char *s = "e = f;";\nx[i] = y = z == 2; p->q = r; u += v; if (m <= n) { w = (k != 3); }\nEXEC SQL UPDATE t SET g = h;'
     assert [(a["target"], a["expression"]) for a in assignments(text)] == [("a", "b + 1"), ("s", ""), ("x", "z == 2"), ("y", "z == 2"), ("u", "v"), ("w", "(k != 3)")]
     assert [(f["struct"], f["field"], f["access"], f["is_pointer"]) for f in field_uses("p->q = r.x; if (a.b == c[1].d) /* e.f */ s = \"g.h\";")] == [("p", "q", "write", True), ("r", "x", "read", False), ("a", "b", "read", False), ("c", "d", "read", False)]
+
+
+def test_scans_use_all_cores(spark, monkeypatch):
+    """A table in one part is scanned in many; what only reached files tell is looked for in those alone."""
+    from sourceloom.operators import program_graph, scanner
+
+    one = spark.createDataFrame([(f"f{k}.c", f"int f{k}(void) {{\n  int a;\n  a = {k};\n}}\n") for k in range(50)], "path string, content string").coalesce(1)
+    found = scanner.scan_files(one, "c", "path")
+    assert found.rdd.getNumPartitions() > 1 and found.where("kind = 'function'").count() == 50
+    scanned = {}
+    plain = program_graph.scan_files
+    monkeypatch.setattr(program_graph, "scan_files", lambda files, what, key: scanned.setdefault(what, files.count()) and plain(files, what, key))
+    program_graph.program_graph(one, one.where("path = 'f7.c'").select("path"))
+    assert scanned == {"c": 50, "directive": 50, "assignment": 1, "field": 1}
