@@ -16,7 +16,7 @@ from ..functions.corpus import FILES, HEADERS, check_derived, derived, statement
 from ..operators import builds, graphs, relations
 from ..operators.scanner import scan_files
 from ..sources import sinks
-from ..storage import spread
+from ..storage import spread, stored
 from .queries import _CUR, ORACLES, PLAIN, ST, TYPED, query, read, typed
 
 FI = check_derived("fi", FILES, "customer")
@@ -45,7 +45,7 @@ def b5(spark, sf_dir):
 @query("c9_variable_scopes", "SELECT c_custkey AS file_id, CAST(c_custkey % 5 + l AS BIGINT) AS line_start, replace(name, '#', CAST(c_custkey AS VARCHAR)) AS name, scope FROM customer, (VALUES (1, 'g_count', 'global'), (3, 'h_name', 'declare_section'), (4, 'h_#', 'declare_section'), (6, 's_total', 'static'), (8, 'loc', 'local'), (9, 'hits', 'static_local')) v(l, name, scope)")
 def c9(spark, sf_dir):
     f = files(spark, sf_dir)
-    c = scan_files(f, "c")
+    c = stored(scan_files(f, "c"))  # read more than once
     scoped = relations.declared_scope(c.where("kind = 'variable'").select("file_id", "line_start", "name", "raw"), scan_files(f, "section"), c.where("kind = 'function'"))
     return scoped.select("file_id", "line_start", "name", "scope")
 

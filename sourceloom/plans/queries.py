@@ -14,6 +14,7 @@ from ..functions.corpus import check_statements, statements
 from ..operators import checks, context, graphs, java, relations
 from ..operators.scanner import scan_files
 from ..sources import sinks
+from ..storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -496,7 +497,7 @@ def k8(spark, sf_dir):
 @query("j26_function_contexts")
 def j26(spark, sf_dir):
     texts = source_texts(spark, sf_dir)
-    c = scan_files(texts, "c")
+    c = stored(scan_files(texts, "c"))  # read more than once
     fns = c.where("kind = 'function'").select("file_id", "name", "line_start", "line_end")
     owned = relations.scoped(scan_files(texts, "sql").select("file_id", "line_start", "line_end", "raw"), fns).withColumn("sql_type", rules.sql_type(F.col("raw")))
     held = relations.scoped(c.where("kind = 'variable'").select("file_id", "line_start", "line_end", "name", "data_type"), fns)

@@ -17,7 +17,7 @@ from ..functions.corpus import statements
 from ..operators import builds, checks, context, graphs, java, relations
 from ..operators.scanner import scan_files
 from ..sources import files, formats, sinks
-from ..storage import shared_dir
+from ..storage import shared_dir, stored
 from .inventory import FI, HE, headers
 from .inventory import files as programs
 from .queries import ORACLES, PLAIN, ST, TYPED, query, read, typed
@@ -355,7 +355,7 @@ SELECT file_id, 'f' || line_start AS function, '## f' || line_start || {NL} || '
 def k11(spark, sf_dir):
     """Compact and XML forms of each function's context."""
     f = programs(spark, sf_dir)
-    c = scan_files(f, "c")
+    c = stored(scan_files(f, "c"))  # read more than once
     fns = c.where("kind = 'function'").select("file_id", "name", "line_start", "line_end")
     owned = relations.scoped(scan_files(f, "sql").where("raw not like '%SECTION%'"), fns).withColumn("sql_type", rules.sql_type(F.col("raw")))
     held = relations.scoped(c.where("kind = 'variable'").select("file_id", "line_start", "line_end", "name", F.regexp_replace("data_type", "^static ", "").alias("data_type")), fns).where("function is not null")

@@ -105,3 +105,11 @@ def test_formats():
     assert dynamic.formatted("%05d|%x|%s|%c|%f|%*d|%ld|%%", ["42", "255", '"a"', "'z'", "1.5", "3", "7", "8L"], {}) == "00042|ff|a|z|?|?|8|%"
     assert dynamic.formatted("%s and %s", ["b"], {"b": "known"}) == "known and ?"
     assert dynamic.arguments('a, f(b, c), "x, \\"y", \',\'') == ["a", "f(b, c)", '"x, \\"y"', "','"]
+
+
+def test_shared_scans_run_once(spark, sf_dir):
+    """Elements that a query reads several times are scanned once and stored."""
+    from sourceloom.plans import inventory
+
+    plan = inventory.c9(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
