@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import stored
+from ..storage import spread, stored
 
 from ..functions.rewrite import camel
 
@@ -139,21 +139,35 @@ def word_edges(assignments: DataFrame, variables: DataFrame) -> DataFrame:
     return words.join(variables.select("file_id", "name").distinct(), ["file_id", "name"]).select("file_id", F.col("name").alias("source"), "target").where("source <> target")
 
 
-def similar_issues(issues: DataFrame, least: float = 0.5) -> DataFrame:
-    """(a, b, overlap): issues whose word sets overlap by more than ``least`` of the smaller set.
+#: issues of one word that meet others in one task; longer lists meet in blocks
+BLOCK = 1024
+
+
+def similar_issues(issues: DataFrame, least: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """(a, b, overlap): issues (id, text; ids are unique) whose word sets overlap by more than ``least`` of the smaller set.
 
     A pair that passes shares one of the smaller set's rarest words: so many
     that the rest alone could not pass. Only those words are looked up, so a
-    word that is in all issues joins nothing but sets made of such words.
+    word that is in all issues joins nothing but sets made of such words. A pair
+    counts at the first of them that it shares and is scored there, so pairs are
+    never gathered or compared with each other. Issues that share a word meet in
+    blocks, so a frequent word's pairs spread over all tasks.
     """
-    sets = issues.select("id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")).alias("words")).withColumn("size", F.size("words"))
-    words = sets.select("id", "size", F.explode("words").alias("word"))
-    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("id").orderBy("df", "word")
-    probes = words.join(frequency, "word").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= F.col("size") - F.floor(F.col("size") * least))
-    met = probes.alias("x").join(words.alias("y"), F.expr("x.word = y.word and x.id <> y.id and (x.size < y.size or (x.size = y.size and x.id < y.id))"))
-    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("words").alias(f"words_{k}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b")
-    overlap = F.size(F.array_intersect("words_a", "words_b")) / F.least(F.size("words_a"), F.size("words_b"))
-    return scored.select("a", "b", overlap.alias("overlap")).where(F.col("overlap") > least)
+    words = issues.select("id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != ""))).alias("word"))
+    words = stored(spread(words))
+    known = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("word_id", F.monotonically_increasing_id()))
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "word_id"))), lambda w: w["word_id"])
+    sets = words.join(known, "word").groupBy("id").agg(rarest.alias("words")).withColumn("size", F.size("words"))
+    sets = stored(sets)
+    looked = sets.select("id", "size", "words", F.posexplode(F.slice("words", 1, F.col("size") - F.floor(F.col("size") * least).cast("int"))).alias("at", "word_id"))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    met = looked.groupBy("word_id").agg(F.count(F.lit(1)).alias("n")).join(known, "word_id").select("word_id", blocks("n").alias("rows"), blocks("df").alias("columns"))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    x = looked.join(met, "word_id").select("word_id", own("rows").alias("row"), all_of("columns").alias("column"), F.struct("id", "size", "words", "at").alias("x"))
+    y = sets.select("id", "size", "words", F.explode("words").alias("word_id")).join(met, "word_id").select("word_id", all_of("rows").alias("row"), own("columns").alias("column"), F.struct("id", "size", "words").alias("y"))
+    smaller = F.expr("x.id <> y.id and (x.size < y.size or (x.size = y.size and x.id < y.id))")
+    first = ~F.arrays_overlap(F.slice("x.words", F.lit(1), F.col("x.at")), F.col("y.words"))
+    overlap = F.size(F.array_intersect("x.words", "y.words")) / F.col("x.size")
+    pairs = x.hint("merge").join(y, ["word_id", "row", "column"]).where(smaller & first)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), overlap.alias("overlap")).where(F.col("overlap") > least)
