@@ -37,8 +37,9 @@ def name_links(left: DataFrame, right: DataFrame, link_type: str, *same: str) ->
     rung is an equality join on derived keys; a pair keeps its best rung, so no
     pair of names is ever compared that does not match.
     """
-    keys = lambda df, side, which: df.select(F.col("id").alias(f"{side}_id"), *same, F.explode(F.array(*(F.struct(F.lit(k).alias("rung"), rung[which](F.col("name")).alias("key")) for k, rung in enumerate(RUNGS)))).alias("_k")).select(f"{side}_id", *same, "_k.*")
-    matched = keys(left, "source", 2).join(keys(right, "target", 3), ["rung", "key", *same]).groupBy("source_id", "target_id").agg(F.min("rung").alias("rung"))
+    keys = lambda df, side, which: spread(df).select(F.col("id").alias(f"{side}_id"), *same, F.explode(F.array(*(F.struct(F.lit(k).alias("rung"), rung[which](F.col("name")).alias("key")) for k, rung in enumerate(RUNGS)))).alias("_k")).select(f"{side}_id", *same, "_k.*")
+    # a small file may hold many names, each with several keys: no side is sent to all tasks whole
+    matched = keys(left, "source", 2).hint("merge").join(keys(right, "target", 3), ["rung", "key", *same]).groupBy("source_id", "target_id").agg(F.min("rung").alias("rung"))
     rules = F.array(*(F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("confidence")) for r in RUNGS))
     best = rules[F.col("rung")]
     return matched.select("source_id", "target_id", F.lit(link_type).alias("link_type"), best["confidence"].alias("confidence"), best["rule"].alias("rule"))

@@ -29,3 +29,13 @@ def test_similar_issues_in_blocks(spark):
 def test_similar_pairs_are_not_gathered(spark):
     plan = _plan(graphs.similar_issues(spark.createDataFrame([(1, "a b"), (2, "b a")], "id long, text string")))
     assert not re.search(r"Aggregate ?\(keys=\[a#\d+L?, b#", plan)
+
+
+def test_name_keys_are_not_broadcast(spark, tmp_path):
+    left = spark.createDataFrame([(k, f"H_PART{k % 7}") for k in range(50)], "id long, name string")
+    right = spark.createDataFrame([(k, f"PART{k}") for k in range(7)], "id long, name string")
+    left.write.parquet(f"{tmp_path}/left")
+    right.write.parquet(f"{tmp_path}/right")  # a file's small size is known
+    links = graphs.name_links(spark.read.parquet(f"{tmp_path}/left"), spark.read.parquet(f"{tmp_path}/right"), "USED_IN")
+    assert "Broadcast" not in _plan(links)
+    assert sorted((r.source_id, r.target_id, r.rule) for r in links.collect()) == [(k, k % 7, "stripped") for k in range(50)]
