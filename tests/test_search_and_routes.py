@@ -80,3 +80,23 @@ def test_long_tables_are_one_join(spark):
     routed = automaton.routed(texts, table, "text", block_rules=10)
     assert routed._jdf.queryExecution().toString().count("MapInArrow") < 20
     assert {r.text[7:-1]: r.target[5:] for r in routed.collect()} == {str(k): str(k) for k in range(40)}
+
+
+def test_lists_over_many_ranges(spark):
+    """Lists of some words lie in many ranges: places go on from one to the next, and no task sorts more than its range."""
+    notes = spark.range(0, 3000, 1, 5).selectExpr("(id * 7919) % 3000 as entry_id", "concat('common half', id % 2, ' own', id) as content")
+    path = search.write_index(notes, most=500)
+    index = spark.read.parquet(f"{path}/postings")
+    sizes = [r["count"] for r in index.groupBy("range").count().collect()]
+    assert len(sizes) >= 18 and max(sizes) <= 1000
+    starts = spark.read.parquet(f"{path}/starts")
+    assert starts.count() <= len(sizes)
+    placed = index.join(starts, ["word", "range"], "left").selectExpr("word", "entry_id", "seat + coalesce(start, 0) as place").collect()
+    common = sorted((r.place, r.entry_id) for r in placed if r.word == "common")
+    assert common == [(k + 1, k) for k in range(3000)]
+    queries = spark.createDataFrame([(1, "common"), (2, "common half1"), (3, "own5 half0 common")], "query_id long, text string")
+    got = {(r.query_id, r.rank): (r.entry_id, r.hits) for r in search.search(spark, path, queries, 3).collect()}
+    texts = {k * 7919 % 3000: {"common", f"half{k % 2}", f"own{k}"} for k in range(3000)}
+    for q, words in ((1, {"common"}), (2, {"common", "half1"}), (3, {"own5", "half0", "common"})):
+        want = sorted(texts, key=lambda i: (-len(texts[i] & words), i))[:3]
+        assert [got[q, k + 1] for k in range(3)] == [(i, len(texts[i] & words)) for i in want]
