@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import map_rows, partitions, stored, with_bytes
+from .common import BATCH_BYTES, map_rows, partitions, stored, with_bytes
 from .neardup import _BYTE, mix, powers
 
 LENGTH, GRAM = 50, 16
@@ -45,6 +45,10 @@ LENGTH, GRAM = 50, 16
 MOST_STARTS = LENGTH - GRAM + 1
 #: parts of the q-grams' range for each shuffle partition, so that one part is small
 PARTS = 4
+#: bytes of text whose anchors are dealt out at a time
+GATHER_BYTES = 16 << 20
+#: repeats that one row holds
+FLAGS = 1 << 16
 
 _ANCHORS = np.dtype([("gram", "u1", 5), ("context", "<u8"), ("doc", "<i4"), ("start", "<i4"), ("starts", "u1")])
 
@@ -177,45 +181,68 @@ def _emit(flags: dict[tuple, list], asks: dict[tuple, list]) -> pa.RecordBatch:
 _CONTROL = "doc_id long, text_key int, ask boolean, spans binary"
 
 
-def first_buckets(docs: DataFrame) -> DataFrame:
+def first_buckets(docs: DataFrame, gather_bytes: int = GATHER_BYTES) -> DataFrame:
     """Steps 1 and 2: repeats of whole contexts (start, end), and contexts to refine (part, start, end)."""
     parts = PARTS * partitions(docs.sparkSession)
 
     def spread(chunks: Iterator[list[list]]) -> Iterator[dict]:
+        held, size = [], 0
         for doc_ids, keys, raws in chunks:
-            order = sorted(range(len(raws)), key=lambda k: (doc_ids[k], keys[k]))
-            ids, text_keys = np.array([doc_ids[k] for k in order], np.int64), np.array([keys[k] for k in order], np.int64)
-            found = anchors([raws[k] for k in order])
-            gram, context, doc = found["gram"], found["context"], found["doc"]
-            at = np.lexsort((doc, context, gram))
-            new = np.append(True, (gram[at][1:] != gram[at][:-1]) | (context[at][1:] != context[at][:-1]))[: len(at)]
-            leader = doc[at][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(at) else doc
-            behind = np.zeros(len(at), bool)
-            behind[at] = ids[doc[at]] > ids[leader]
-            out: dict[str, list] = {"part": [], "payload": []}
-            flags = np.flatnonzero(behind)
-            if len(flags):
-                rows = np.stack([ids[doc[flags]], text_keys[doc[flags]], found["start"][flags], found["start"][flags] + found["starts"][flags] - 1 + LENGTH], axis=1)
-                # repeats found here ride along, by document
-                out["part"].append(-1 - int(ids[0]) % parts)
-                out["payload"].append(pa.compress(rows.astype("<i8").tobytes(), codec="zstd", asbytes=True) + len(rows).to_bytes(8, "little"))
-            send = np.flatnonzero(~behind)
-            part = (gram[send] >> np.uint64(40)) % np.uint64(parts)
-            send = send[np.argsort(part, kind="stable")]
-            cuts = np.searchsorted(np.sort(part), np.arange(parts + 1).astype(np.uint64))
-            packed = np.zeros(len(send), _ANCHORS)
-            packed["gram"] = gram[send].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            packed["context"], packed["start"], packed["starts"] = context[send], found["start"][send], found["starts"][send]
-            for p in range(parts):
-                some = packed[cuts[p] : cuts[p + 1]]
-                if len(some):
-                    own = doc[send[cuts[p] : cuts[p + 1]]]
-                    used, some["doc"] = np.unique(own, return_inverse=True)
-                    # hashes don't compress; places, lengths and steps between ids do
-                    small = pa.compress(np.diff(ids[used], prepend=0).tobytes() + b"".join(np.ascontiguousarray(some[k]).tobytes() for k in ("doc", "start", "starts")), codec="zstd", asbytes=True)
-                    head = np.array([len(some), len(used), len(small)], "<i8").tobytes()
-                    out["part"].append(p)
-                    out["payload"].append(head + text_keys[used].astype("<i4").tobytes() + small + np.ascontiguousarray(some["gram"]).tobytes() + np.ascontiguousarray(some["context"]).tobytes())
+            held.append((np.array(doc_ids, np.int64), np.array(keys, np.int64), anchors(raws)))
+            size += sum(map(len, raws))
+            if size >= gather_bytes:
+                yield from dealt(held)
+                held, size = [], 0
+        if held:
+            yield from dealt(held)
+
+    def dealt(held: list[tuple]) -> Iterator[dict]:
+        """Anchors of some chunks by part: the more at a time, the less is said twice where there are many parts."""
+        ids, text_keys = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        order = np.lexsort((text_keys, ids))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ids, text_keys = ids[order], text_keys[order]
+        bases = np.cumsum([0, *(len(h[0]) for h in held)])
+        found = {k: np.concatenate([h[2][k] for h in held]) for k in ("gram", "context", "start", "starts")}
+        found["doc"] = rank[np.concatenate([h[2]["doc"] + base for h, base in zip(held, bases)])]
+        gram, context, doc = found["gram"], found["context"], found["doc"]
+        at = np.lexsort((doc, context, gram))
+        new = np.append(True, (gram[at][1:] != gram[at][:-1]) | (context[at][1:] != context[at][:-1]))[: len(at)]
+        leader = doc[at][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(at) else doc
+        behind = np.zeros(len(at), bool)
+        behind[at] = ids[doc[at]] > ids[leader]
+        out: dict[str, list] = {"part": [], "payload": []}
+        flags = np.flatnonzero(behind)
+        for a in range(0, len(flags), FLAGS):
+            some = flags[a : a + FLAGS]
+            rows = np.stack([ids[doc[some]], text_keys[doc[some]], found["start"][some], found["start"][some] + found["starts"][some] - 1 + LENGTH], axis=1)
+            # repeats found here ride along, by document
+            out["part"].append(-1 - int(rows[0, 0]) % parts)
+            out["payload"].append(pa.compress(rows.astype("<i8").tobytes(), codec="zstd", asbytes=True) + len(rows).to_bytes(8, "little"))
+        send = np.flatnonzero(~behind)
+        part = (gram[send] >> np.uint64(40)) % np.uint64(parts)
+        send = send[np.argsort(part, kind="stable")]
+        cuts = np.searchsorted(np.sort(part), np.arange(parts + 1).astype(np.uint64))
+        packed = np.zeros(len(send), _ANCHORS)
+        packed["gram"] = gram[send].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        packed["context"], packed["start"], packed["starts"] = context[send], found["start"][send], found["starts"][send]
+        size = 0
+        for p in range(parts):
+            some = packed[cuts[p] : cuts[p + 1]]
+            if len(some):
+                own = doc[send[cuts[p] : cuts[p + 1]]]
+                used, some["doc"] = np.unique(own, return_inverse=True)
+                # hashes don't compress; places, lengths and steps between ids do
+                small = pa.compress(np.diff(ids[used], prepend=0).tobytes() + b"".join(np.ascontiguousarray(some[k]).tobytes() for k in ("doc", "start", "starts")), codec="zstd", asbytes=True)
+                head = np.array([len(some), len(used), len(small)], "<i8").tobytes()
+                out["part"].append(p)
+                out["payload"].append(head + text_keys[used].astype("<i4").tobytes() + small + np.ascontiguousarray(some["gram"]).tobytes() + np.ascontiguousarray(some["context"]).tobytes())
+                size += len(out["payload"][-1])
+                if size >= BATCH_BYTES:
+                    yield out
+                    out, size = {"part": [], "payload": []}, 0
+        if out["part"]:
             yield out
 
     def unpack(payloads: list[bytes]) -> dict[str, np.ndarray]:
