@@ -53,7 +53,8 @@ def c9(spark, sf_dir):
 @query("j4_variables_in_sections", "SELECT c_custkey AS file_id, replace(name, '#', CAST(c_custkey AS VARCHAR)) AS name FROM customer, (VALUES ('h_name'), ('h_#')) v(name)")
 def j4(spark, sf_dir):
     f = files(spark, sf_dir)
-    return relations.inside_spans(scan_files(f, "c").where("kind = 'variable'"), scan_files(f, "section")).select("file_id", "name")
+    variables = scan_files(f, "c", fields=("name", "line_start"), kinds=("variable",))
+    return relations.inside_spans(variables, scan_files(f, "section", fields=("line_start", "line_end"))).select("file_id", "name")
 
 
 @query("s14_section_files", f"SELECT c_custkey AS file_id, 'declare_section_0.c' AS name, 'char h_name[20];' || {NL} || 'int h_' || c_custkey || ';' AS body FROM customer")
