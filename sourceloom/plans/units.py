@@ -133,7 +133,8 @@ def b12(spark, sf_dir):
     """SELECT 'rec' || p_partkey || '_t' AS struct_name, 'OMM Rec' || p_partkey || chr(13) || chr(10) || '{' || chr(13) || chr(10) || '	Integer kNo<length=4 description="the key">;' || chr(13) || chr(10) || '	String pNm<length=' || (p_size + 1) || ' description="p_nm">;' || chr(13) || chr(10) || '	BigDecimal amtX<length=' || (p_size + 2) || ' decimal=2 description="amt_x">;' || chr(13) || chr(10) || '}' || chr(13) || chr(10) AS text FROM part""",
 )
 def s20(spark, sf_dir):
-    return sinks.omm_texts(scan_files(rows_of(spark, sf_dir, "part", "p_partkey AS file_id", f"{_STRUCTS} AS content"), "header"))
+    fields = ("struct_name", "ordinal", "name", "dtype", "size", "decimal", "description")
+    return sinks.omm_texts(scan_files(rows_of(spark, sf_dir, "part", "p_partkey AS file_id", f"{_STRUCTS} AS content"), "header", fields=fields))
 
 
 # ---- scanners
