@@ -83,7 +83,8 @@ def s5(spark, sf_dir):
 def s12(spark, sf_dir):
     """Elements as JSON lines, a folder for each type, read back with the type from the folder (A1)."""
     path = folder(spark)
-    sinks.write_elements(scan_files(programs(spark, sf_dir), "c").withColumnRenamed("kind", "type").select("type", "name", "line_start"), path)
+    elements = scan_files(programs(spark, sf_dir), "c", fields=("kind", "name", "line_start"))
+    sinks.write_elements(elements.withColumnRenamed("kind", "type").select("type", "name", "line_start"), path)
     return spark.read.json(path).select("type", "name")
 
 
