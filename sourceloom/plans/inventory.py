@@ -228,7 +228,7 @@ def j19(spark, sf_dir):
 
 @query("j23_macro_uses", "SELECT 'LIMIT_' || s_suppkey AS macro, 's_total' AS variable FROM supplier")
 def j23(spark, sf_dir):
-    return builds.macro_uses(scan_files(headers(spark, sf_dir), "directive").where("kind = 'macro'"), scan_files(files(spark, sf_dir), "c").where("kind = 'variable'"))
+    return builds.macro_uses(scan_files(headers(spark, sf_dir), "directive").where("kind = 'macro'"), scan_files(files(spark, sf_dir), "c", fields=("name",), kinds=("variable",)))
 
 
 @query("j28_promoted_issues", "SELECT c_mktsegment || ' ' || c_nationkey AS text, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1 HAVING count(*) >= 3")

@@ -56,7 +56,7 @@ def test_only_named_fields_are_made(spark):
     assert scanner.scan_files(files, "c", fields=("seq", "kind")).columns == ["file_id", "seq", "kind"]
 
 
-@pytest.mark.parametrize("place, name", [(inventory, "j4_variables_in_sections"), (units, "s12_elements_by_type"), (units, "s20_descriptors")])
+@pytest.mark.parametrize("place, name", [(inventory, "j4_variables_in_sections"), (inventory, "j23_macro_uses"), (units, "s12_elements_by_type"), (units, "s20_descriptors")])
 def test_queries_ask_for_what_they_use(spark, sf_dir, monkeypatch, place, name):
     asked, plain = {}, scanner.scan_files
     monkeypatch.setattr(place, "scan_files", lambda files, what, **more: asked.setdefault(what, plain(files, what, **more)))
