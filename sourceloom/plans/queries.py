@@ -481,9 +481,12 @@ def b18(spark, sf_dir):
 def n17(spark, sf_dir):
     texts = source_texts(spark, sf_dir)
     line = F.regexp_extract("name", "[0-9]+", 0)
-    ids = scan_files(texts, "c").where("kind = 'function'").select("file_id", "line_start", line.alias("id"))
-    blocks = scan_files(texts, "sql").select("file_id", "start", "end", F.col("line_start") - 2)
-    blocks = blocks.toDF("file_id", "start", "end", "line_start").join(ids, ["file_id", "line_start"])
+    found = scan_files(texts, "outline", fields=("kind", "name", "start", "end", "line_start"))
+    is_sql = F.col("kind") == "sql"
+    # a block belongs to the functions that begin two lines before it: both kinds meet in one shuffle, as a join would scan twice
+    at = F.when(is_sql, F.col("line_start") - 2).otherwise(F.col("line_start")).alias("line_start")
+    met = found.groupBy("file_id", at).agg(F.collect_list(F.when(is_sql, F.struct("start", "end"))).alias("b"), F.collect_list(F.when(~is_sql, line)).alias("ids"))
+    blocks = met.select("file_id", F.explode("b").alias("b"), "ids").select("file_id", "b.*", F.explode("ids").alias("id"))
     return text.spliced(texts, blocks.select("file_id", "start", "end", text.marker(F.col("id"), F.lit("x")).alias("marker")))
 
 

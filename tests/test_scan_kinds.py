@@ -66,3 +66,8 @@ def test_queries_ask_for_what_they_use(spark, sf_dir, monkeypatch, place, name):
     if name in ("j4_variables_in_sections", "j23_macro_uses"):
         monkeypatch.setattr(scanner, "_nested_elements", None)  # variables need no tokens
         assert list(scanner.c_elements("int a;\nvoid f() { g(); }", ("variable",)))[0]["name"] == "a"
+
+
+def test_spliced_files_are_scanned_once(spark, sf_dir):
+    plan = QUERIES["n17_spliced_markers"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
