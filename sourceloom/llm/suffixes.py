@@ -13,13 +13,17 @@ coarse first and refined only where they hold several documents:
 2. Per task, only the smallest doc_id of each (q-gram, context) goes on; others
    are repeats already, so no frequent passage reaches one task in many copies.
    After the shuffle by q-gram, contexts found in a smaller document are repeats.
-3. Buckets with several contexts are refined byte by byte: suffixes of the
+   Of different contexts, only those can share a string that also agree in the
+   ``SIDE`` bytes before or after the q-gram, as a string reaches that far to one
+   side; in a large corpus most q-grams meet by chance, and these end here. Where
+   the q-gram stands in a context twice, its whole bucket goes on.
+3. Buckets with several such contexts are refined byte by byte: suffixes of the
    contexts are put in buckets by their first 8 bytes, then sorted on pairs of
    bucket identifiers, their own and that at a later offset, whose refined
    identifiers are written back and used again for 16, 32 and then LENGTH bytes.
    Only places that still share a bucket are sorted in the next round.
 
-A context is told by 104 bits of hash; step 3 compares bytes.
+A context is told by 96 bits of hash and its part; step 3 compares bytes.
 
 Defined results: a null or empty text has nothing to remove; repeated rows (one
 doc_id, any text) never remove each other; rows with a null doc_id are kept
@@ -43,6 +47,10 @@ from .neardup import _BYTE, mix, powers
 LENGTH, GRAM = 50, 16
 #: strings of one context at most; a run of equal q-grams has several contexts
 MOST_STARTS = LENGTH - GRAM + 1
+#: bytes that a string has before or after its q-gram, whichever is more, at least
+SIDE = (LENGTH - GRAM) // 2
+#: in the byte of an anchor's string count: the q-gram is there twice
+TWICE = 128
 #: parts of the q-grams' range for each shuffle partition, so that one part is small
 PARTS = 4
 #: bytes of text whose anchors are dealt out at a time
@@ -50,7 +58,7 @@ GATHER_BYTES = 16 << 20
 #: repeats that one row holds
 FLAGS = 1 << 16
 
-_ANCHORS = np.dtype([("gram", "u1", 5), ("context", "<u8"), ("doc", "<i4"), ("start", "<i4"), ("starts", "u1")])
+_HASHES = np.dtype([("gram", "<u4"), ("context", "u1", 6), ("left", "<u2"), ("right", "<u2")])
 
 
 def _starts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +67,15 @@ def _starts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """gram (hash), context (hash), doc (index), start, starts of each group of strings with one anchor."""
+    """gram (hash), context (hash), doc (index), start, starts of each group of strings with one anchor.
+
+    left, right: a hash of the SIDE bytes before and after the q-gram, 0 where the context ends before; twice: the q-gram is there twice.
+    """
     base, doc = _starts(texts)
     codes = np.frombuffer(b"".join(texts), np.uint8)
     n, width = len(codes), LENGTH - GRAM + 1
     if n < LENGTH:
-        return {k: np.zeros(0, t) for k, t in (("gram", np.uint64), ("context", np.uint64), ("doc", np.int64), ("start", np.int64), ("starts", np.int64))}
+        return {k: np.zeros(0, t) for k, t in (("gram", np.uint64), ("context", np.uint64), ("doc", np.int64), ("start", np.int64), ("starts", np.int64), ("left", np.uint16), ("right", np.uint16), ("twice", bool))}
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[codes] * up[:n], out=sums[1:])
@@ -87,7 +98,33 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
         sizes = np.minimum(ends - first, MOST_STARTS)
     ends = first + sizes
     context = mix((sums[ends + LENGTH - 1] - sums[first]) * down[first] + sizes.astype(np.uint64))
-    return {"gram": least[first], "context": context, "doc": doc[first].astype(np.int64), "start": first - base[doc[first]], "starts": sizes}
+    # where the q-gram stands: in the first string's window at least once
+    gram, place, count = least[first], np.zeros(len(first), np.int64), np.zeros(len(first), np.int8)
+    for k in range(LENGTH - GRAM + MOST_STARTS):
+        rows = np.flatnonzero(sizes > k - width + 1) if k >= width else slice(None)
+        hit = grams[first[rows] + k] == gram[rows]
+        count[rows] += hit
+        if k < width:
+            place[hit] = first[hit] + k
+    twice = count > 1
+    side = lambda ok, a: np.where(ok & ~twice, 1 + mix((sums[np.where(ok, a + SIDE, SIDE)] - sums[np.where(ok, a, 0)]) * down[np.where(ok, a, 0)]) % np.uint64(2**16 - 1), 0).astype(np.uint16)
+    left, right = side(place - SIDE >= first, place - SIDE), side(place + GRAM + SIDE <= ends + LENGTH - 1, place + GRAM)
+    return {"gram": gram, "context": context, "doc": doc[first].astype(np.int64), "start": first - base[doc[first]], "starts": sizes, "left": left, "right": right, "twice": twice}
+
+
+def may_share(gram: np.ndarray, context: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Which contexts may share a string with another context of their q-gram in another document."""
+    out = np.isin(gram, gram[twice])
+    for side in (left, right):
+        some = np.flatnonzero(side)
+        some = some[np.lexsort((context[some], side[some], gram[some]))]
+        if len(some):
+            new = np.append(True, (gram[some][1:] != gram[some][:-1]) | (side[some][1:] != side[some][:-1]))
+            heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+            others = new | np.append(True, context[some][1:] != context[some][:-1])
+            apart = np.minimum.reduceat(ids[some], heads) < np.maximum.reduceat(ids[some], heads)
+            out[some] |= ((np.bincount(group[others]) > 1) & apart)[group]
+    return out
 
 
 def repeated(texts: list[bytes], docs: np.ndarray, valid: list[np.ndarray]) -> list[np.ndarray]:
@@ -204,7 +241,7 @@ def first_buckets(docs: DataFrame, gather_bytes: int = GATHER_BYTES) -> DataFram
         rank[order] = np.arange(len(order))
         ids, text_keys = ids[order], text_keys[order]
         bases = np.cumsum([0, *(len(h[0]) for h in held)])
-        found = {k: np.concatenate([h[2][k] for h in held]) for k in ("gram", "context", "start", "starts")}
+        found = {k: np.concatenate([h[2][k] for h in held]) for k in ("gram", "context", "start", "starts", "left", "right", "twice")}
         found["doc"] = rank[np.concatenate([h[2]["doc"] + base for h, base in zip(held, bases)])]
         gram, context, doc = found["gram"], found["context"], found["doc"]
         at = np.lexsort((doc, context, gram))
@@ -224,20 +261,21 @@ def first_buckets(docs: DataFrame, gather_bytes: int = GATHER_BYTES) -> DataFram
         part = (gram[send] >> np.uint64(40)) % np.uint64(parts)
         send = send[np.argsort(part, kind="stable")]
         cuts = np.searchsorted(np.sort(part), np.arange(parts + 1).astype(np.uint64))
-        packed = np.zeros(len(send), _ANCHORS)
-        packed["gram"] = gram[send].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        packed["context"], packed["start"], packed["starts"] = context[send], found["start"][send], found["starts"][send]
+        packed = np.zeros(len(send), _HASHES)
+        packed["gram"] = gram[send] & np.uint64(2**32 - 1)
+        packed["context"] = context[send].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        packed["left"], packed["right"] = found["left"][send], found["right"][send]
+        start, starts = found["start"][send].astype("<i4"), (found["starts"][send] + TWICE * found["twice"][send]).astype("u1")
         size = 0
         for p in range(parts):
             some = packed[cuts[p] : cuts[p + 1]]
             if len(some):
-                own = doc[send[cuts[p] : cuts[p + 1]]]
-                used, some["doc"] = np.unique(own, return_inverse=True)
+                used, own = np.unique(doc[send[cuts[p] : cuts[p + 1]]], return_inverse=True)
                 # hashes don't compress; places, lengths and steps between ids do
-                small = pa.compress(np.diff(ids[used], prepend=0).tobytes() + b"".join(np.ascontiguousarray(some[k]).tobytes() for k in ("doc", "start", "starts")), codec="zstd", asbytes=True)
+                small = pa.compress(np.diff(ids[used], prepend=0).tobytes() + b"".join(x.tobytes() for x in (own.astype("<i4"), start[cuts[p] : cuts[p + 1]], starts[cuts[p] : cuts[p + 1]])), codec="zstd", asbytes=True)
                 head = np.array([len(some), len(used), len(small)], "<i8").tobytes()
                 out["part"].append(p)
-                out["payload"].append(head + text_keys[used].astype("<i4").tobytes() + small + np.ascontiguousarray(some["gram"]).tobytes() + np.ascontiguousarray(some["context"]).tobytes())
+                out["payload"].append(head + text_keys[used].astype("<i4").tobytes() + small + some.tobytes())
                 size += len(out["payload"][-1])
                 if size >= BATCH_BYTES:
                     yield out
@@ -246,7 +284,7 @@ def first_buckets(docs: DataFrame, gather_bytes: int = GATHER_BYTES) -> DataFram
             yield out
 
     def unpack(payloads: list[bytes]) -> dict[str, np.ndarray]:
-        cols: dict[str, list] = {k: [] for k in ("gram", "context", "id", "key", "start", "starts")}
+        cols: dict[str, list] = {k: [] for k in ("gram", "context", "left", "right", "id", "key", "start", "starts", "twice")}
         for blob in payloads:
             n, used, small = np.frombuffer(blob, "<i8", 3)
             at = 24
@@ -256,9 +294,11 @@ def first_buckets(docs: DataFrame, gather_bytes: int = GATHER_BYTES) -> DataFram
             ids = np.cumsum(np.frombuffer(rest, "<i8", used))
             doc, start, starts = (np.frombuffer(rest, kind, n, 8 * used + skip * n) for kind, skip in (("<i4", 0), ("<i4", 4), ("u1", 8)))
             at += small
-            gram = np.zeros((n, 8), np.uint8)
-            gram[:, :5] = np.frombuffer(blob, "u1", 5 * n, at).reshape(n, 5)
-            for k, v in (("gram", gram.view("<u8").ravel()), ("context", np.frombuffer(blob, "<u8", n, at + 5 * n)), ("id", ids[doc]), ("key", keys[doc]), ("start", start), ("starts", starts)):
+            hashes = np.frombuffer(blob, _HASHES, n, at)
+            # the sides tell contexts apart as well, so two bytes of a context's hash come from them
+            context = np.zeros((n, 8), np.uint8)
+            context[:, :6], context[:, 6:] = hashes["context"], (hashes["left"] * np.uint16(40503) + hashes["right"]).astype("<u2").view(np.uint8).reshape(-1, 2)
+            for k, v in (("gram", hashes["gram"]), ("context", context.view("<u8").ravel()), ("left", hashes["left"]), ("right", hashes["right"]), ("id", ids[doc]), ("key", keys[doc]), ("start", start), ("starts", starts % TWICE), ("twice", starts >= TWICE)):
                 cols[k].append(v)
         return {k: np.concatenate(v) for k, v in cols.items()}
 
@@ -278,10 +318,11 @@ def first_buckets(docs: DataFrame, gather_bytes: int = GATHER_BYTES) -> DataFram
         contexts = np.bincount(group[pairs])[group]
         low = np.minimum.reduceat(ids, np.flatnonzero(grams))[group]
         high = np.maximum.reduceat(ids, np.flatnonzero(grams))[group]
-        flag, ask = ids > least, (ids == least) & (contexts > 1) & (low < high)
+        flag, ask = ids > least, np.flatnonzero((ids == least) & (contexts > 1) & (low < high))
+        ask = ask[may_share(gram[ask], context[ask], ids[ask], *(c[k][at[ask]] for k in ("left", "right", "twice")))]
         start, end, keys = c["start"][at], c["start"][at] + c["starts"][at].astype(np.int64) - 1 + LENGTH, c["key"][at]
         flags = _by_doc(((int(ids[k]), int(keys[k])), (int(start[k]), int(end[k]))) for k in np.flatnonzero(flag))
-        asks = _by_doc(((int(ids[k]), int(keys[k])), (part, int(start[k]), int(end[k]))) for k in np.flatnonzero(ask))
+        asks = _by_doc(((int(ids[k]), int(keys[k])), (part, int(start[k]), int(end[k]))) for k in ask)
         yield _emit(flags, asks)
 
     source = _keyed(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("raw") >= LENGTH))
