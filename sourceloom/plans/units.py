@@ -42,7 +42,7 @@ def s4(spark, sf_dir):
     """Reviewed pairs are exported as a YAML file for each customer (S18) and loaded again."""
     items = rows_of(spark, sf_dir, "orders", "concat('c', o_custkey) AS file", "o_orderkey AS idx", f"concat('SELECT ', o_orderstatus, {NL}, '  FROM t: ', o_orderpriority, ';') AS sql", "concat('SELECT #', o_orderkey) AS parsed_sql", "if(o_orderkey % 3 = 0, 'approved', null) AS status", "if(o_orderkey % 4 = 0, concat('said: \"', o_orderpriority, '\" # ', o_orderkey), null) AS comment")
     path = folder(spark)
-    sinks.write_items(items, path)
+    sinks.write_items(items, path, folders=1024)
     formats.register(spark)
     back = spark.read.format("conversion_pairs").load(path)
     entry = lambda k: F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit(""))

@@ -1,10 +1,12 @@
 """Formats of our own for ``spark.read`` and ``df.write``, as Python data sources.
 
-Readers: ``conversion_pairs``, ``yaml_checklist`` and ``source_tree`` list the files under
-a path, deal them out by size, and give a row with an ``error`` for a file that
-cannot be read, instead of failing. Writer: ``text_files`` writes a file for each row; tasks
-write to a folder aside, and only the commit moves what the tasks that count have written
-to its place, so a repeated or failed task leaves nothing.
+Readers: ``conversion_pairs``, ``yaml_checklist`` and ``source_tree`` deal out the files under
+a path by size, and give a row with an ``error`` for a file that cannot be read,
+instead of failing. The driver keeps folders, not files: it looks at one folder after the
+other, and tasks list the folders, or shares of large ones, that they get. Writer:
+``text_files`` writes a file for each row; tasks write to a folder aside, with a sorted list of
+names, and only the commit moves what the tasks that count have written to its place, so a
+repeated or failed task leaves nothing; it merges the lists, a little of each at a time.
 
 Paths are opened by pyarrow (local, HDFS, S3 and the like); for a store that only
 Spark opens use the functions of ``files``. ``register`` makes the formats known.
@@ -13,12 +15,17 @@ Spark opens use the functions of ``files``. ``register`` makes the formats known
 from __future__ import annotations
 
 import contextlib
+import heapq
+import itertools
+import json
 import os
 import posixpath
 import time
 import uuid
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -27,8 +34,12 @@ from pyspark.sql.types import StructType
 
 from ..session import ship
 
-#: bytes of files that one task reads
-PART_BYTES = 32 << 20
+#: bytes of files, and files, that one task reads
+PART_BYTES, PART_FILES = 32 << 20, 20_000
+#: bytes of a task's list of names that the commit holds at a time, names that it looks at at once, and files that it moves at once
+LIST_BYTES, LOOK_AT, MOVERS = 1 << 14, 1000, 16
+#: the list of names in a task's folder
+NAMES = "names"
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -38,16 +49,45 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
+def entries(system: fs.FileSystem, folder: str, sizes: bool = True) -> Iterator[tuple[str, bool, int]]:
+    """path, whether it is a folder, and size of what lies in a folder; of a local one without a list of all."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            if info.type in (fs.FileType.File, fs.FileType.Directory):
+                yield info.path, info.type == fs.FileType.Directory, info.size or 0
+        return
+    with os.scandir(folder) as found:
+        for x in found:
+            if x.is_dir() or x.is_file():
+                yield posixpath.join(folder, x.name), x.is_dir(), x.stat().st_size if sizes and not x.is_dir() else 0
+
+
+def share_of(path: str, shares: int) -> int:
+    """Which of a folder's shares a file is in."""
+    return zlib.crc32(posixpath.basename(path).encode("utf-8", "surrogateescape")) % shares
+
+
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    #: files that are named themselves
+    paths: list[str] = field(default_factory=list)
+    #: (folder, which share of its own files, of how many)
+    folders: list[tuple[str, int, int]] = field(default_factory=list)
 
 
-def pairs_of(text: str) -> Iterator[tuple]:
-    """idx, sql, parsed_sql, metadata of a YAML text's pairs; items that are none are left out, but keep their number."""
+def loaded(text: str) -> object:
+    """A YAML text's value, by the library's parser in C where there is one; what that refuses is left to the plain one."""
     import yaml
 
-    items = yaml.safe_load(text) or []
+    if yaml.__with_libyaml__:
+        with contextlib.suppress(yaml.YAMLError):
+            return yaml.load(text, yaml.CSafeLoader)
+    return yaml.safe_load(text)
+
+
+def pairs_of(text: str) -> Iterator[tuple]:
+    """idx, sql, parsed_sql, metadata of a YAML text's pairs; items that are none are left out, but keep their number."""
+    items = loaded(text) or []
     for idx, item in enumerate(items if isinstance(items, list) else [items]):
         if isinstance(item, dict) and item.get("sql") is not None and item.get("parsed_sql") is not None:
             yield idx, str(item["sql"]).strip(), str(item["parsed_sql"]).strip(), {str(k): str(v) for k, v in item.items() if k not in ("sql", "parsed_sql")}
@@ -76,21 +116,41 @@ class _FileReader(DataSourceReader):
         found = system.get_file_info([place])[0]
         if found.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.source.options["path"])
+        if found.type == fs.FileType.File:
+            return [Files(paths=[place] if place.lower().endswith(self._suffixes()) else [])]
         deep = self.source.options.get("recursive", "true").lower() == "true"
-        infos = [found] if found.type == fs.FileType.File else system.get_file_info(fs.FileSelector(place, recursive=deep))
-        suffixes = tuple(f".{s.strip()}" for s in self.source.options.get("suffixes", self.source.suffixes).split(","))
-        parts, size = [Files([])], 0
-        for info in sorted((i for i in infos if i.type == fs.FileType.File and i.path.lower().endswith(suffixes)), key=lambda i: i.path):
-            if parts[-1].paths and size + info.size > PART_BYTES:
-                parts.append(Files([]))
-                size = 0
-            parts[-1].paths.append(info.path)
-            size += info.size
+        parts, size, count, todo = [Files()], 0, 0, [place]
+        while todo:
+            folder, below, own, files = todo.pop(), [], 0, 0
+            for path, is_folder, length in entries(system, folder):
+                if is_folder:
+                    below.append(path)
+                elif path.lower().endswith(self._suffixes()):
+                    own, files = own + length, files + 1
+            if deep:
+                todo += sorted(below, reverse=True)
+            if not files:
+                continue
+            shares = max(-(-own // PART_BYTES), -(-files // PART_FILES), 1)
+            for share in range(min(shares, files)):
+                if parts[-1].folders and (size + own // shares > PART_BYTES or count + files // shares > PART_FILES):
+                    parts.append(Files())
+                    size = count = 0
+                parts[-1].folders.append((folder, share, min(shares, files)))
+                size, count = size + own // shares, count + files // shares
         return parts
 
+    def _suffixes(self) -> tuple[str, ...]:
+        return tuple(f".{s.strip()}" for s in self.source.options.get("suffixes", self.source.suffixes).split(","))
+
+    def _paths(self, system: fs.FileSystem, partition: Files) -> Iterator[str]:
+        yield from partition.paths
+        for folder, share, shares in partition.folders:
+            yield from sorted(path for path, is_folder, _ in entries(system, folder, sizes=False) if not is_folder and path.lower().endswith(self._suffixes()) and share_of(path, shares) == share)
+
     def read(self, partition: Files) -> Iterator[tuple]:
         system, _ = opened(self.source.options["path"])
-        for path in partition.paths:
+        for path in self._paths(system, partition):
             try:
                 with system.open_input_file(path) as held:
                     raw = held.read()
@@ -156,8 +216,8 @@ class SourceTree(_FileSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    #: (where it is, the name it gets)
-    files: list[tuple[str, str]]
+    #: the task's folder: files 0, 1, ... and NAMES, lines of (name, number), sorted
+    own: str
 
 
 class _TextFileWriter(DataSourceWriter):
@@ -169,33 +229,54 @@ class _TextFileWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         system, place = opened(self.path)
-        files: list[tuple[str, str]] = []
+        names: list[tuple[str, int]] = []
         own = posixpath.join(place, self.aside, uuid.uuid4().hex)
         system.create_dir(own, recursive=False)  # fails once the folder is gone: a task that goes on after an abort leaves nothing
         for row in iterator:
             name = posixpath.normpath(row.name)
             if name.startswith(("/", "..")) or name == ".":
                 raise ValueError(f"no file name: {row.name!r}")
-            held = posixpath.join(own, str(len(files)))
-            with system.open_output_stream(held) as out:
+            with system.open_output_stream(posixpath.join(own, str(len(names)))) as out:
                 out.write((row.content or "").encode(self.encoding))
-            files.append((held, name))
-        return Written(files)
+            names.append((name, len(names)))
+        with system.open_output_stream(posixpath.join(own, NAMES)) as out:
+            for some in itertools.batched(sorted(names), LOOK_AT):
+                out.write("".join(f"{json.dumps(x)}\n" for x in some).encode())
+        return Written(own)
+
+    def _listed(self, own: str) -> Iterator[tuple[str, str]]:
+        """name and place of a task's files; its list is opened anew for each piece, as there may be many tasks."""
+        system, _ = opened(self.path)
+        at, rest = 0, b""
+        while True:
+            with system.open_input_file(posixpath.join(own, NAMES)) as held:
+                held.seek(at)
+                piece = held.read(LIST_BYTES)
+            if not piece:
+                return
+            at += len(piece)
+            *lines, rest = (rest + piece).split(b"\n")
+            for name, number in map(json.loads, lines):
+                yield name, posixpath.join(own, str(number))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, place = opened(self.path)
-        files = [f for m in messages if m is not None for f in m.files]
-        names = [name for _, name in files]
-        twice = sorted({n for n in names if names.count(n) > 1}) if len(set(names)) < len(names) else []
-        there = [] if self.overwrite else [n for n in names if system.get_file_info([posixpath.join(place, n)])[0].type != fs.FileType.NotFound]
+        files = lambda: heapq.merge(*(self._listed(m.own) for m in messages if m is not None))
+        twice = list(itertools.islice((a[0] for a, b in itertools.pairwise(files()) if a[0] == b[0]), 3))
+        there = (name for some in itertools.batched((name for name, _ in files()), LOOK_AT) for name, info in zip(some, system.get_file_info([posixpath.join(place, n) for n in some])) if info.type != fs.FileType.NotFound)
+        there = [] if self.overwrite or twice else list(itertools.islice(there, 3))
         if twice or there:
             self.abort(messages)
-            raise ValueError(f"files written twice: {twice[:3]}" if twice else f"files are there already: {there[:3]}")
+            raise ValueError(f"files written twice: {list(dict.fromkeys(twice))}" if twice else f"files are there already: {there}")
         system.create_dir(place, recursive=True)
-        for held, name in files:
-            target = posixpath.join(place, name)
-            system.create_dir(posixpath.dirname(target), recursive=True)
-            system.move(held, target)
+        made = ""
+        with ThreadPoolExecutor(MOVERS) as movers:
+            for some in itertools.batched(files(), LOOK_AT):
+                targets = [posixpath.join(place, name) for name, _ in some]
+                for target in targets:
+                    if made != (folder := posixpath.dirname(target)):
+                        system.create_dir(made := folder, recursive=True)
+                list(movers.map(system.move, (held for _, held in some), targets))
         self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:

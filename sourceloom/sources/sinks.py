@@ -144,9 +144,10 @@ def item_yaml(items: DataFrame) -> DataFrame:
     return items.groupBy("file").agg(F.array_join(ordered, "").alias("yaml"))
 
 
-def write_items(items: DataFrame, path: str) -> None:
-    """``<file>.yaml`` for each file's reviewed pairs; ``conversion_pairs`` reads them back."""
-    write_texts(item_yaml(items).select(F.concat(safe_name(F.col("file")), F.lit(".yaml")).alias("name"), F.col("yaml").alias("content")), path)
+def write_items(items: DataFrame, path: str, folders: int = 0) -> None:
+    """``<file>.yaml`` for each file's reviewed pairs; ``conversion_pairs`` reads them back. Many files go to so many ``folders``."""
+    name = F.concat(safe_name(F.col("file")), F.lit(".yaml"))
+    write_texts(item_yaml(items).select((F.concat(F.pmod(F.hash(name), F.lit(folders)), F.lit("/"), name) if folders else name).alias("name"), F.col("yaml").alias("content")), path)
 
 
 def write_marked(files: DataFrame, blocks: DataFrame, path: str) -> None:
